@@ -1,5 +1,5 @@
 """The operators whose queries are registered."""
 
-from sealgrove.llm import lines, mixing, sharding
+from sealgrove.llm import lines, mixing, sharding, topk
 
-MODULES = (lines, mixing, sharding)
+MODULES = (lines, mixing, sharding, topk)
