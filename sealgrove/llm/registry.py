@@ -1,5 +1,5 @@
 """The operators whose queries are registered."""
 
-from sealgrove.llm import bpe, lines, mixing, sharding, topk
+from sealgrove.llm import bpe, lines, mixing, sharding, simhash, topk
 
-MODULES = (bpe, lines, mixing, sharding, topk)
+MODULES = (bpe, lines, mixing, sharding, simhash, topk)
