@@ -1,5 +1,5 @@
 """The operators whose queries are registered."""
 
-from sealgrove.llm import bpe, langid, lines, mixing, quality, sharding, simhash, topk
+from sealgrove.llm import bpe, langid, lines, media, mixing, quality, sharding, simhash, topk
 
-MODULES = (bpe, langid, lines, mixing, quality, sharding, simhash, topk)
+MODULES = (bpe, langid, lines, media, mixing, quality, sharding, simhash, topk)
