@@ -10,7 +10,7 @@ searched more widely. The looked-up keys meet the parts of all fingerprints in a
 Texts: A-Z are lower-cased; words are runs of anything but ASCII white space; shingles of `words` words, repeats included.
 Fewer words than that are one shingle, and no words (null and empty texts too) give fingerprint zero, which links like any other.
 
-Edge cases: repeated rows and equal texts share a fingerprint and so a component; a null doc_id never names a component unless
+Edge cases: repeated rows and equal texts share a fingerprint and so a component; rows of equal doc_id are one document, in one component; a null doc_id never names a component unless
 nothing else is in it, which then has none (null); an empty table gives an empty table.
 """
 
@@ -226,15 +226,16 @@ def links(prints: DataFrame, lanes: int, max_distance: int, parts: int, guarante
 
 
 def near_duplicates(
-    df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, lanes: int = 4, max_distance: int = 38, parts: int = 16, guaranteed: int | None = 19
-) -> DataFrame:
-    """A row for each row of `df`: doc_id, the fingerprint's lanes and `component_id`, the smallest doc_id reachable by links.
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, lanes: int = 4, max_distance: int = 38, parts: int = 16, guaranteed: int | None = 19,
+    extra: tuple[str, ...] = (),
+) -> DataFrame:
+    """A row for each row of `df`: doc_id, the `extra` columns, the fingerprint's lanes and `component_id`, the smallest doc_id reachable.
 
     Each row asks for the fingerprints of greater id only; as any pair is within reach of either's keys, none is lost.
     The defaults take 256 bits: 38 differing bits stand for a cosine of cos(38 pi / 256) = 0.89, a Jaccard similarity of 0.8.
     """
     names = lanes_of(lanes)
-    slim = written(fingerprints(df.select(F.col(doc_id).cast("long").alias("_doc"), F.col(text).alias("_text")), "_text", words, lanes), "simhash-docs")
+    slim = written(fingerprints(df.select(F.col(doc_id).cast("long").alias("_doc"), *extra, F.col(text).alias("_text")), "_text", words, lanes), "simhash-docs")
     ids = F.coalesce(F.min("_doc"), F.lit(NO_ID) + F.pmod(F.xxhash64(*names), F.lit(NO_ID)))
     prints = written(slim.groupBy(*names).agg(ids.alias("id")), "simhash-prints")
     found = written(links(prints, lanes, max_distance, parts, guaranteed).distinct(), "simhash-links")
