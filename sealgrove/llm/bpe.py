@@ -9,24 +9,23 @@ Encoding equals the tokenizers library's for byte-level BPE files without normal
 special tokens' own strings in a text become their ids. Decoding is the inverse; ids that aren't in the vocabulary are
 skipped, and bytes that aren't UTF-8 become U+FFFD.
 
-Edge cases: null and empty texts have no ids, null ids decode to null; texts of any length are read whole.
+Edge cases: null and empty texts have no ids, null ids decode to null; texts of any length are read whole;
+an existing column of an output's name is replaced.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, StringType, StructField
 
-from sealgrove.llm.texts import bounded_batches
+from sealgrove.llm.texts import appended
 from sealgrove.sources.tables import read_table
 
 #: Fixed value: the byte-level pattern of the vocabulary's family.
@@ -217,33 +216,16 @@ def vocabulary(path: str | None = None) -> str:
         return f.read()
 
 
-def _mapped(df: DataFrame, field: StructField, f, data: str) -> DataFrame:
-    """`df` with a column that f(Bpe, batch) gives."""
-    if field.name in df.columns:
-        raise ValueError(f"the column {field.name} exists already")
-    bounded_batches(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(data)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _loaded(shared.value)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, f(bpe, batch)], names=[*batch.schema.names, field.name])
-
-    return df.mapInArrow(run, StructType([*df.schema.fields, field]))
-
-
 def encode(df: DataFrame, text: str = "text", ids: str = "ids", data: str | None = None) -> DataFrame:
     """`df` with `ids`: the text's token ids as little-endian unsigned 32-bit integers."""
-    at = df.columns.index(text)
-    f = lambda bpe, b: pa.array(bpe.encode([t or "" for t in b.column(at).to_pylist()]), pa.binary())
-    return _mapped(df, StructField(ids, BinaryType()), f, data or vocabulary())
+    shared = df.sparkSession.sparkContext.broadcast(data or vocabulary())
+    return appended(df, [StructField(ids, BinaryType())], lambda texts: [_loaded(shared.value).encode([t or "" for t in texts])], text)
 
 
 def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", data: str | None = None) -> DataFrame:
     """`df` with `text` decoded from `ids`."""
-    at = df.columns.index(ids)
-    f = lambda bpe, b: pa.array([None if x is None else bpe.decode(x) for x in b.column(at).to_pylist()], pa.string())
-    return _mapped(df, StructField(text, StringType()), f, data or vocabulary())
+    shared = df.sparkSession.sparkContext.broadcast(data or vocabulary())
+    return appended(df, [StructField(text, StringType())], lambda rows: [[None if x is None else _loaded(shared.value).decode(x) for x in rows]], ids)
 
 
 def round_trip(docs: DataFrame) -> DataFrame:

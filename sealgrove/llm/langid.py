@@ -10,7 +10,8 @@ The kept n-grams of a language are at most (mean distinct n-grams of a document
 filter has a fixed size and is built on the driver.
 
 Edge cases: null text and text without a letter are `und` with score 0, and so is everything when nothing was learned; ties go
-to the language first by code point; case and anything but letters are ignored; rows of null language teach nothing.
+to the language first by code point; case and anything but letters are ignored; rows of null language teach nothing; an
+existing column of an output's name is replaced.
 """
 
 from __future__ import annotations
@@ -20,12 +21,11 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField
 
-from sealgrove.llm.texts import bounded_batches, held_out
+from sealgrove.llm.texts import appended, bounded_batches, held_out
 from sealgrove.sources.tables import read_table
 
 UND = "und"
@@ -117,21 +117,14 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", min_share: floa
 
 def predict(df: DataFrame, model: Filter, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """`df` with the predicted language and its score; only the text is looked at."""
-    for name in (lang_pred, score):
-        if name in df.columns:
-            raise ValueError(f"the column {name} exists already")
-    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
-    at = df.columns.index(text)
-    schema = StructType([*df.schema.fields, StructField(lang_pred, StringType()), StructField(score, DoubleType())])
+    fields = [StructField(lang_pred, StringType()), StructField(score, DoubleType())]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [shared.value.decide(t) for t in batch.column(at).to_pylist()]
-            new = [pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, lang_pred, score])
+    def decide(texts: list) -> list[list]:
+        got = [shared.value.decide(t) for t in texts]
+        return [[x[0] for x in got], [x[1] for x in got]]
 
-    return df.mapInArrow(run, schema)
+    return appended(df, fields, decide, text)
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ host's pages; a line on at least `min_pages` pages with a share above `max_ratio
 page of the host. Blank lines always stay.
 
 Edge cases: null text stays null and has no lines, but its page counts for the host; null is a host like any other; a line
-that a page repeats counts once for it; a repeated row is a page of its own; a page whose lines all go keeps an empty text.
+that a page repeats counts once for it; a repeated row is a page of its own; a page whose lines all go keeps an empty text;
+existing columns named n_lines or n_dropped are replaced where counts are asked for.
 
 Lines are keyed by 64-bit hashes within their host. A host has at most (mean distinct lines of a page / max_ratio) boilerplate
 lines, so the set attached to its pages is bounded however large the host is.
@@ -16,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sealgrove.llm.texts import carried, others, unpacked
 from sealgrove.sources.tables import read_table, written
 
 MIN_PAGES = 5
@@ -49,17 +51,17 @@ def drop_boilerplate(
     """
     host = F.col(host) if isinstance(host, str) else host
     bad = written(boilerplate(df, host, text, min_pages, max_ratio), "boilerplate")
-    joined = df.withColumn("_key", host).join(bad, F.col("_key").eqNullSafe(F.col("_host")), "left")
-    lines = F.split(text, "\n")
-    kept = F.filter(lines, lambda x: (_bare(x) == "") | ~F.array_contains(F.col("_bad"), F.xxhash64(_bare(x))))
-    kept = F.when(F.col("_bad").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    out = joined.withColumn("_kept", kept)
+    joined = carried(df, _key=host, _text=F.col(text)).join(bad, F.col("_key").eqNullSafe(F.col("_host")), "left")
+    lines = F.split("_text", "\n")
+    is_bad = lambda x: (_bare(x) != "") & F.array_contains(F.col("_bad"), F.xxhash64(_bare(x)))
+    kept = F.when(F.col("_bad").isNull(), F.col("_text")).otherwise(F.array_join(F.filter(lines, lambda x: ~is_bad(x)), "\n"))
+    new = []
     if counts:
-        n_bad = F.size(F.filter(lines, lambda x: (_bare(x) != "") & F.array_contains(F.col("_bad"), F.xxhash64(_bare(x)))))
-        out = out.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long"))
-        out = out.withColumn("n_dropped", F.when(F.col(text).isNull() | F.col("_bad").isNull(), 0).otherwise(n_bad).cast("long"))
-    columns = [F.col("_kept").alias(c) if c == text else F.col(f"`{c}`") for c in df.columns]
-    return out.select(*columns, *(["n_lines", "n_dropped"] if counts else []))
+        none = F.col("_text").isNull()
+        new.append(F.when(none, 0).otherwise(F.size(lines)).cast("long").alias("n_lines"))
+        new.append(F.when(none | F.col("_bad").isNull(), 0).otherwise(F.size(F.filter(lines, is_bad))).cast("long").alias("n_dropped"))
+    columns = others(df, *(["n_lines", "n_dropped"] if counts else []))
+    return joined.select(*(kept.alias(c) if c == text else unpacked(joined, [c])[0] for c in columns), *new)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

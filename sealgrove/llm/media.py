@@ -5,26 +5,23 @@ cuts the samples into a row for each block, which begins at a known sample and a
 samples can be read without what precedes it. encode_media stores bytes losslessly as 8-bit mono samples.
 
 Edge cases: a null stream has null samples, no blocks and no error; a damaged or foreign one too, and says so in `media_error`;
-an empty payload is stored as null. Each row is coded by itself, so repeated rows get equal values.
+an empty payload is stored as null. Each row is coded by itself, so repeated rows get equal values; an existing column of
+an output's name is replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from sealgrove.llm.flac import Damaged, decode_streams, encode_streams
-from sealgrove.llm.texts import bounded_batches
+from sealgrove.llm.texts import appended, carried, others, unpacked
 from sealgrove.sources.tables import read_table
 
 UNIT = 64
 INDEX = ArrayType(StructType([StructField("sample_offset", LongType()), StructField("byte_offset", LongType()), StructField("n_samples", IntegerType())]))
-ARROW_INDEX = pa.list_(pa.struct([("sample_offset", pa.int64()), ("byte_offset", pa.int64()), ("n_samples", pa.int32())]))
 
 
 def payload_of(text: Column) -> Column:
@@ -34,27 +31,17 @@ def payload_of(text: Column) -> Column:
     return F.rpad(raw, (units * UNIT).cast("int"), F.lit(b"\x00"))
 
 
-def _check_new(df: DataFrame, *names: str) -> None:
-    if clash := set(names) & set(df.columns):
-        raise ValueError(f"columns exist already: {sorted(clash)}")
-
-
 def encode_media(df: DataFrame, payload: str = "payload", media: str = "media") -> DataFrame:
     """`df` with `media`: the payload's bytes as a FLAC stream of 8-bit mono samples."""
-    _check_new(df, media)
-    bounded_batches(df.sparkSession)
-    at = df.columns.index(payload)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = batch.column(at).to_pylist()
-            full = [i for i, p in enumerate(got) if p]
-            streams: list[bytes | None] = [None] * len(got)
-            for i, s in zip(full, encode_streams([got[i] for i in full]), strict=True):
-                streams[i] = s
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(streams, pa.binary())], names=[*batch.schema.names, media])
+    def encoded(payloads: list) -> list[list]:
+        full = [i for i, p in enumerate(payloads) if p]
+        streams: list[bytes | None] = [None] * len(payloads)
+        for i, s in zip(full, encode_streams([bytes(payloads[i]) for i in full]), strict=True):
+            streams[i] = s
+        return [streams]
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(media, BinaryType())]))
+    return appended(df, [StructField(media, BinaryType())], encoded, payload)
 
 
 def feature_of(x: np.ndarray, blocks: int) -> str:
@@ -83,35 +70,28 @@ def _decoded(streams: list[bytes]) -> list:
 
 def decode_media(df: DataFrame, media: str = "media", pcm: str = "pcm", index: str = "blocks", feature: str = "feature", error: str = "media_error") -> DataFrame:
     """`df` with the stream's samples, its index of blocks, a feature string, and what is wrong with it."""
-    _check_new(df, pcm, index, feature, error)
-    bounded_batches(df.sparkSession)
-    at = df.columns.index(media)
-    schema = StructType([*df.schema.fields, StructField(pcm, BinaryType()), StructField(index, INDEX), StructField(feature, StringType()), StructField(error, StringType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = batch.column(at).to_pylist()
-            full = [i for i, s in enumerate(got) if s is not None]
-            columns: tuple[list, list, list, list] = tuple([None] * len(got) for _ in range(4))
-            for i, x in zip(full, _decoded([got[i] for i in full]), strict=True):
-                if isinstance(x, str):
-                    columns[3][i] = x
-                else:
-                    columns[0][i], columns[2][i] = _pcm(x[0], x[2]), feature_of(x[0], len(x[1]))
-                    columns[1][i] = [{"sample_offset": s, "byte_offset": b, "n_samples": n} for s, b, n in x[1]]
-            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.binary(), ARROW_INDEX, pa.string(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=schema.names)
-
-    return df.mapInArrow(run, schema)
+    fields = [StructField(pcm, BinaryType()), StructField(index, INDEX), StructField(feature, StringType()), StructField(error, StringType())]
+
+    def decoded(streams: list) -> list[list]:
+        full = [i for i, s in enumerate(streams) if s is not None]
+        columns: list[list] = [[None] * len(streams) for _ in fields]
+        for i, x in zip(full, _decoded([bytes(streams[i]) for i in full]), strict=True):
+            if isinstance(x, str):
+                columns[3][i] = x
+            else:
+                columns[0][i], columns[2][i] = _pcm(x[0], x[2]), feature_of(x[0], len(x[1]))
+                columns[1][i] = [{"sample_offset": s, "byte_offset": b, "n_samples": n} for s, b, n in x[1]]
+        return columns
+
+    return appended(df, fields, decoded, media)
 
 
 def pcm_blocks(df: DataFrame, pcm: str = "pcm", index: str = "blocks", width: int = 1) -> DataFrame:
     """A row for each block: df's other columns, block_no, sample_offset, byte_offset, n_samples and the block's `pcm` bytes."""
-    out = df.select("*", F.posexplode(index).alias("block_no", "_b")).select(
-        *(F.col(f"`{c}`") for c in df.columns if c not in (pcm, index)), "block_no", "_b.*",
-        F.expr(f"substring(`{pcm}`, cast(_b.sample_offset * {width} + 1 as int), cast(_b.n_samples * {width} as int))").alias(pcm),
-    )
-    return out
+    keep = others(df, pcm, index, "block_no", "sample_offset", "byte_offset", "n_samples")
+    rows = carried(df, _pcm=F.col(pcm), _index=F.col(index)).select("_row", "_pcm", F.posexplode("_index").alias("_no", "_b"))
+    own = F.expr(f"substring(_pcm, cast(_b.sample_offset * {width} + 1 as int), cast(_b.n_samples * {width} as int))")
+    return rows.select(*unpacked(rows, keep), F.col("_no").alias("block_no"), "_b.*", own.alias(pcm))
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:

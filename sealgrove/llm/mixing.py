@@ -11,7 +11,8 @@ Sources are dealt weights by code point, null last, repeating `weights`. Targets
 stops at `cap` times its source's size, and the excess is shared again among the others until none is above.
 
 Edge cases: null text has size 0 and null is a source; rows of equal doc_id share one fate; a source without words has target 0;
-an empty table gives an empty table. The draws depend on the seed, doc_id, source and sizes only, so reruns agree.
+an empty table gives an empty table; existing columns
+of the outputs' names are replaced. The draws depend on the seed, doc_id, source and sizes only, so reruns agree.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sealgrove.llm.texts import n_words
+from sealgrove.llm.texts import carried, n_words, others, unpacked
 from sealgrove.sources.tables import read_table, written
 
 WEIGHTS = (5, 2, 1)
@@ -123,25 +124,26 @@ def mix_plan(
 
 def mixed(df: DataFrame, plan: DataFrame, source: str = "source", doc_id: str = "doc_id", seed: int = SEED) -> DataFrame:
     """`df` with source_size, target and `shards`: the shard of each copy of the row that the mix takes."""
-    h = position(F.col(doc_id), str(seed))
-    out = df.withColumn("_h", h).join(plan, F.col(source).eqNullSafe(F.col("_source")))
+    rows = carried(df, _h=position(F.col(doc_id), str(seed)), _own=F.col(source))
+    out = rows.join(plan, F.col("_own").eqNullSafe(F.col("_source")))
     out = out.withColumn("_block", F.shiftright("_h", HASH_BITS - BLOCK_BITS).cast("int"))
     once_more = (F.col("_block") < F.col("_full")) | ((F.col("_block") == F.col("_full")) & (F.col("_h") <= F.col("_cut")))
     copies = F.col("_rounds") + F.when(once_more, 1).otherwise(0)
     draws = F.transform(F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>")), lambda c: c * BLOCKS + F.col("_block"))
     shard = F.transform(draws, lambda d: F.size(F.filter(F.col("_ends"), lambda e: e <= d)))
-    return out.withColumn("shards", shard).drop("_source", "_h", "_block", "_rounds", "_full", "_cut", "_ends")
+    return out.select(*unpacked(out, others(df, "source_size", "target", "shards")), "source_size", "target", shard.alias("shards"))
 
 
 def mix_sources(df: DataFrame, source: str = "source", doc_id: str = "doc_id", text: str = "text", seed: int = SEED, local_shuffle: bool = True, **options) -> DataFrame:
     """The mix: a row of `df` for each copy taken, with `shard`, in each shard in an order of its own."""
     plan = mix_plan(df, source, doc_id, text, seed=seed, **options)
-    taken = mixed(df, plan, source, doc_id, seed).select(*(F.col(f"`{c}`") for c in df.columns), F.posexplode("shards").alias("_copy", "shard"))
+    slim = carried(df, doc_id=F.col(doc_id), source=F.col(source))
+    taken = mixed(slim, plan, "source", "doc_id", seed).select("_row", "doc_id", F.posexplode("shards").alias("copy", "shard"))
     if local_shuffle:
-        order = F.xxhash64(F.lit(seed), F.col("shard"), F.col("_copy"), F.col(doc_id))
+        order = F.xxhash64(F.lit(seed), F.col("shard"), F.col("copy"), F.col("doc_id"))
         # Shards are dealt in pieces by the same hash, so that no task needs a whole shard.
         taken = taken.repartition(F.col("shard"), F.pmod(order, F.lit(64))).sortWithinPartitions("shard", order)
-    return taken.drop("_copy")
+    return taken.select(*unpacked(taken, others(df, "shard")), "shard")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ weight's share, and when one child's weight changes, only rows that move into it
 children's times stay as they were. Movement is therefore confined to the subtrees whose weights change. A shard
 that joins as a subtree of its own (a new region) takes rows only into itself.
 
-Edge cases: a null key is a key like any other, equal keys always meet in one shard, empty tables give empty tables.
+Edge cases: a null key is a key like any other, equal keys always meet in one shard, empty tables give empty tables;
+existing columns named shard, slot or grown_shard are replaced.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sealgrove.llm.texts import with_key
+from sealgrove.llm.texts import carried, others, unpacked
 from sealgrove.sources.tables import read_table
 
 #: Slots are counted within buckets of a shard, so that no task needs a whole shard; the offsets have one row for each of them.
@@ -84,18 +85,21 @@ def shard_rows(df: DataFrame, key: str = "doc_id", leaves: tuple[Leaf, ...] = EI
     Slots are dealt in two steps: rows are counted in buckets of a shard, a small table of bucket offsets is made of the
     counts, and rows are numbered within their bucket. Rows of equal key are numbered in any order.
     """
-    df = with_key(df, "shard", shard_of(F.col(key), leaves))
+    name = F.coalesce(F.col(key).cast("string"), F.lit("\x00"))
+    bucket = F.conv(F.substring(F.md5(F.concat(F.lit("slot|"), name).cast("binary")), 1, 3), 16, 10).cast("int")
+    columns = {"_key": F.col(key), "_shard": shard_of(F.col(key), leaves), "_bucket": bucket}
     if grown is not None:
-        df = with_key(df, "grown_shard", shard_of(F.col(key), grown))
-    digits = F.substring(F.md5(F.concat(F.lit("slot|"), F.coalesce(F.col(key).cast("string"), F.lit("\x00"))).cast("binary")), 1, 3)
-    df = df.withColumn("_bucket", F.conv(digits, 16, 10).cast("int"))
-    counts = df.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    numbered = df.withColumn("_row", F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy(key)))
+        columns["_grown"] = shard_of(F.col(key), grown)
+    rows = carried(df, **columns)
+    counts = rows.groupBy("_shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    numbered = rows.withColumn("_number", F.row_number().over(Window.partitionBy("_shard", "_bucket").orderBy("_key")))
     # The offsets have a row for each bucket of each shard at most, whatever the input: a broadcast of bounded size.
-    out = numbered.join(F.broadcast(offsets), ["shard", "_bucket"])
-    return out.withColumn("slot", F.col("_offset") + F.col("_row") - 1).drop("_bucket", "_row", "_offset")
+    out = numbered.join(F.broadcast(offsets), ["_shard", "_bucket"])
+    new = [F.col("_shard").alias("shard"), (F.col("_offset") + F.col("_number") - 1).cast("long").alias("slot")]
+    new += [F.col("_grown").alias("grown_shard")] if grown is not None else []
+    return out.select(*unpacked(out, others(df, "shard", "slot", *(["grown_shard"] if grown is not None else []))), *new)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +109,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
     )
     placed = shard_rows(docs, "doc_id", EIGHT, NINE)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 def _sql_time(path: str, weight: float) -> str:

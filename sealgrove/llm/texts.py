@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 #: A word is a run of anything but space, tab, newline, vertical tab, form feed and carriage return.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -28,8 +33,41 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, nbytes: int = 8 << 20
             spark.conf.set(key, str(most))
 
 
-def with_key(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """`df` with a column `name`, which must not be there yet."""
-    if name in df.columns:
-        raise ValueError(f"the column {name} exists already")
-    return df.withColumn(name, value)
+def others(df: DataFrame, *names: str) -> list[str]:
+    """The columns of `df` but for those of the names, which an operator's own columns replace."""
+    taken = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores before it as make it new to `df`."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def carried(df: DataFrame, **columns: Column) -> DataFrame:
+    """`df` as the one column _row, beside an operator's own columns: whatever names df has, none clashes."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), *(c.alias(name) for name, c in columns.items()))
+
+
+def unpacked(df: DataFrame, names: list[str]) -> list[Column]:
+    """The carried columns of the names again."""
+    return [F.col("_row").getField(c).alias(c) for c in names]
+
+
+def appended(df: DataFrame, fields: list[StructField], f: Callable[[list], list[list]], column: str) -> DataFrame:
+    """`df` with columns that `f` gives for the values of a column, batch by batch; existing columns of their names are replaced."""
+    bounded_batches(df.sparkSession)
+    keep = others(df, *(x.name for x in fields))
+    at, rest = df.columns.index(column), [df.columns.index(c) for c in keep]
+    schema = StructType([*(df.schema.fields[i] for i in rest), *fields])
+    arrow = [to_arrow_type(x.dataType) for x in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new = [pa.array(v, t) for v, t in zip(f(batch.column(at).to_pylist()), arrow, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), *new], names=schema.names)
+
+    return df.mapInArrow(run, schema)
