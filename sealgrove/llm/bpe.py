@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import heapq
 import json
-from functools import cache
 
 import numpy as np
 import regex
@@ -32,8 +31,8 @@ from sealgrove.sources.tables import read_table
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Longest match proposes tokens of at most so many bytes; exactness doesn't depend on it.
 LONGEST = 16
-#: Words kept with their ids in a worker, and the longest of them in characters; for speed only.
-CACHE_WORDS, CACHE_CHARS = 400_000, 40
+#: Words that a task keeps with their ids, and the longest of them in characters; for speed only.
+CACHE_WORDS, CACHE_CHARS = 200_000, 40
 NEVER = 1 << 40
 NONE = (NEVER, -1)
 
@@ -189,6 +188,10 @@ class Bpe:
         self.cache.update((w, x) for w, x in fresh.items() if w not in long)
         return [b"".join(map(both.__getitem__, p)) for p in pieces]
 
+    def forget(self) -> None:
+        """Gives the memory of the words back, as Python workers outlive their tasks."""
+        self.cache = self._fresh_cache()
+
     def _fresh_cache(self) -> dict[str, bytes]:
         """Special tokens are cut out of a text before words are, so that no word equals one."""
         return {s: np.array([i], dtype="<u4").tobytes() for s, i in self.special.items()}
@@ -200,12 +203,6 @@ class Bpe:
         return b"".join(map(self.bytes_of.__getitem__, at.tolist())).decode("utf-8", "replace")
 
 
-@cache
-def _loaded(data: str) -> Bpe:
-    """One encoder for each vocabulary in a Python worker, with its cache of words."""
-    return Bpe(data)
-
-
 def vocabulary(path: str | None = None) -> str:
     """The tokenizer's file, read on the driver. Its size is the vocabulary's, whatever the corpus."""
     if path is None:
@@ -216,22 +213,22 @@ def vocabulary(path: str | None = None) -> str:
         return f.read()
 
 
-def encode(df: DataFrame, text: str = "text", ids: str = "ids", data: str | None = None) -> DataFrame:
-    """`df` with `ids`: the text's token ids as little-endian unsigned 32-bit integers."""
-    shared = df.sparkSession.sparkContext.broadcast(data or vocabulary())
-    return appended(df, [StructField(ids, BinaryType())], lambda texts: [_loaded(shared.value).encode([t or "" for t in texts])], text)
+def encode(df: DataFrame, text: str = "text", ids: str = "ids", bpe: Bpe | None = None) -> DataFrame:
+    """`df` with `ids`: the text's token ids as little-endian unsigned 32-bit integers. The vocabulary's tables are broadcast."""
+    shared = df.sparkSession.sparkContext.broadcast(bpe or Bpe(vocabulary()))
+    return appended(df, [StructField(ids, BinaryType())], lambda texts: [shared.value.encode([t or "" for t in texts])], text, lambda: shared.value.forget())
 
 
-def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", data: str | None = None) -> DataFrame:
+def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", bpe: Bpe | None = None) -> DataFrame:
     """`df` with `text` decoded from `ids`."""
-    shared = df.sparkSession.sparkContext.broadcast(data or vocabulary())
-    return appended(df, [StructField(text, StringType())], lambda rows: [[None if x is None else _loaded(shared.value).decode(x) for x in rows]], ids)
+    shared = df.sparkSession.sparkContext.broadcast(bpe or Bpe(vocabulary()))
+    return appended(df, [StructField(text, StringType())], lambda rows: [[None if x is None else shared.value.decode(x) for x in rows]], ids)
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
     """Documents with n_tokens and digests of the ids and of the decoded text."""
-    data = vocabulary()
-    out = decode(encode(docs, data=data), data=data)
+    bpe = Bpe(vocabulary())
+    out = decode(encode(docs, bpe=bpe), bpe=bpe)
     return out.select(
         *(F.col(f"`{c}`") for c in docs.columns if c != "text"),
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

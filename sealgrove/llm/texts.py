@@ -57,8 +57,8 @@ def unpacked(df: DataFrame, names: list[str]) -> list[Column]:
     return [F.col("_row").getField(c).alias(c) for c in names]
 
 
-def appended(df: DataFrame, fields: list[StructField], f: Callable[[list], list[list]], column: str) -> DataFrame:
-    """`df` with columns that `f` gives for the values of a column, batch by batch; existing columns of their names are replaced."""
+def appended(df: DataFrame, fields: list[StructField], f: Callable[[list], list[list]], column: str, done: Callable[[], None] = lambda: None) -> DataFrame:
+    """`df` with columns that `f` gives for the values of a column, batch by batch; existing columns of their names are replaced. `done` runs after each task."""
     bounded_batches(df.sparkSession)
     keep = others(df, *(x.name for x in fields))
     at, rest = df.columns.index(column), [df.columns.index(c) for c in keep]
@@ -69,5 +69,6 @@ def appended(df: DataFrame, fields: list[StructField], f: Callable[[list], list[
         for batch in batches:
             new = [pa.array(v, t) for v, t in zip(f(batch.column(at).to_pylist()), arrow, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), *new], names=schema.names)
+        done()
 
     return df.mapInArrow(run, schema)
