@@ -1,5 +1,5 @@
 """The modules whose queries are registered."""
 
-from sealgrove.plans import detection
+from sealgrove.plans import detection, entities
 
-MODULES = (detection,)
+MODULES = (detection, entities)
