@@ -1,5 +1,5 @@
 """The modules whose queries are registered."""
 
-from sealgrove.plans import detection, entities
+from sealgrove.plans import detection, entities, texts
 
-MODULES = (detection, entities)
+MODULES = (detection, entities, texts)
