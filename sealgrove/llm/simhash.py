@@ -7,6 +7,10 @@ bits from it in some part i. A dynamic programme picks the thresholds of least c
 the candidates that histograms of half parts let expect: parts with a popular value are skipped or matched exactly, rare ones
 searched more widely. The looked-up keys meet the parts of all fingerprints in a join, whose condition verifies the distance.
 
+Before that, each fingerprint is compared with the smallest id of each of its parts' values. Those within reach are links, and
+the smallest of them is the fingerprint's label: fingerprints of one label are in one component, so the join leaves them
+out, and a group of m near copies costs links in proportion to m instead of all its pairs.
+
 Texts: A-Z are lower-cased; words are runs of anything but ASCII white space; shingles of `words` words, repeats included.
 Fewer words than that are one shingle, and no words (null and empty texts too) give fingerprint zero, which links like any other.
 
@@ -32,8 +36,8 @@ from sealgrove.llm.texts import bounded_batches
 from sealgrove.sources.tables import read_table, written
 
 SEED = 42
-#: What a candidate costs that a join compares, against a key that is looked up.
-CANDIDATE_COST = 0.05
+#: What a candidate costs that a join compares, against a key that is looked up: a key is shuffled with its fingerprint, a candidate isn't.
+CANDIDATE_COST = 0.005
 #: Parts are searched up to this many differing bits.
 MOST_FLIPS = 3
 NO_ID = 1 << 62
@@ -171,8 +175,8 @@ def _sums(df: DataFrame, f, size: int) -> np.ndarray:
 def links(prints: DataFrame, lanes: int, max_distance: int, parts: int, guaranteed: int | None = None) -> DataFrame:
     """(a, b): ids of fingerprints within max_distance bits, from a table of distinct ones (id and lanes_of(lanes)).
 
-    All pairs within `guaranteed` bits are found (by default all within max_distance); of those farther apart, the ones that
-    share a looked-up key.
+    All pairs within `guaranteed` bits (by default max_distance) are links or have links to a common third fingerprint; of those
+    farther apart, the ones that share a looked-up key.
     """
     names, total = lanes_of(lanes), 64 * lanes
     guaranteed = max_distance if guaranteed is None else guaranteed
@@ -196,7 +200,7 @@ def links(prints: DataFrame, lanes: int, max_distance: int, parts: int, guarante
     masks = [[np.array([sum(1 << b for b in c) for d in range(t + 1) for c in combinations(range(w), d)], dtype=np.int64) for t in range(MOST_FLIPS + 1)] for w in widths]
 
     def keyed(frame: pd.DataFrame, i: int, rows: np.ndarray, keys: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"key": keys.ravel() | i << 48} | {c: np.repeat(frame[c].to_numpy()[rows], keys.shape[1]) for c in ("id", *names)})
+        return pd.DataFrame({"key": keys.ravel() | i << 48} | {c: np.repeat(frame[c].to_numpy()[rows], keys.shape[1]) for c in frame.columns})
 
     def stored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -218,11 +222,18 @@ def links(prints: DataFrame, lanes: int, max_distance: int, parts: int, guarante
                     if len(rows):
                         yield keyed(frame, i, rows, own[rows, None] ^ masks[i][flips][None, :])
 
-    schema = "key long, id long, " + ", ".join(f"{c} long" for c in names)
-    a, b = prints.mapInPandas(asked, schema).alias("a"), prints.mapInPandas(stored, schema).alias("b")
-    apart = " + ".join(f"bit_count(a.{c} ^ b.{c})" for c in names)
-    found = a.join(b, F.expr(f"a.key = b.key and a.id < b.id and {apart} <= {max_distance}"))
-    return found.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    schema = "id long, " + ", ".join(f"{c} long" for c in names)
+    apart = lambda x, y: " + ".join(f"bit_count({x}.{c} ^ {y}.{c})" for c in names)
+    kept = prints.select("id", *names).mapInPandas(stored, f"key long, {schema}")
+    least = kept.groupBy("key").agg(F.min(F.struct("id", *names)).alias("l")).select("key", "l.*")  # a row for each value of each part
+    star = kept.alias("a").join(least.alias("b"), F.expr(f"a.key = b.key and a.id > b.id and {apart('a', 'b')} <= {max_distance}"))
+    star = written(star.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "simhash-stars")
+    labels = star.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("label"))
+    labelled = written(prints.join(labels, "id", "left").select("id", *names, F.coalesce("label", "id").alias("label")), "simhash-labelled")
+    schema = f"key long, {schema}, label long"
+    a, b = labelled.mapInPandas(asked, schema).alias("a"), labelled.mapInPandas(stored, schema).alias("b")
+    found = a.join(b, F.expr(f"a.key = b.key and a.id < b.id and a.label <> b.label and {apart('a', 'b')} <= {max_distance}"))
+    return star.union(found.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")))
 
 
 def near_duplicates(
