@@ -90,9 +90,10 @@ def code_assignment(spark, sf_dir):
 
 
 def type_counts(spark, sf_dir):
-    """Entities, replacements and mean confidence by session and type."""
-    kept = _kept(spark, sf_dir)
-    return kept.groupBy("session_id", "type").agg(F.countDistinct("key").alias("entities"), F.count(F.lit(1)).alias("replacements"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+    """Entities, replacements and mean confidence, to six digits downward, by session and type. Confidences are summed in hundredths, so that no order of rows matters."""
+    kept = _kept(spark, sf_dir).withColumn("_c", F.round(F.col("confidence") * 100).cast("long"))
+    out = kept.groupBy("session_id", "type").agg(F.countDistinct("key").alias("entities"), F.count(F.lit(1)).alias("replacements"), F.sum("_c").alias("_c"))
+    return out.withColumn("mean_confidence", F.expr("(_c * 10000) div replacements") / F.lit(1e6)).drop("_c")
 
 
 def redact_by_position(spark, sf_dir):
@@ -197,7 +198,7 @@ ORACLES = {
       case when arg_min(type, s) = 'location' then coalesce(arg_min(type, s) filter (where type like 'person%'), 'location') else arg_min(type, s) end as type,
       max(confidence) as confidence, min(s) as first_start, count(*) as n_positions from kept group by doc_id, key""",
     "code_assignment": ON_NOTES + "select * from codes",
-    "type_counts": ON_NOTES + "select session_id, type, count(distinct key) as entities, count(*) as replacements, round(avg(confidence), 6) as mean_confidence from kept group by 1, 2",
+    "type_counts": ON_NOTES + "select session_id, type, count(distinct key) as entities, count(*) as replacements, (sum(round(confidence * 100)::bigint)::bigint * 10000 // count(*))::double / 1e6 as mean_confidence from kept group by 1, 2",
     "redact_by_position": ON_NOTES + "select doc_id, redacted from redacted",
     "output_offsets": ON_NOTES + "select doc_id, shown, (s + d)::int as out_s, (s + d + length(shown))::int as out_e from (select *, coalesce(sum(length(shown) - (e - s)) over (partition by doc_id order by s rows between unbounded preceding and 1 preceding), 0) as d from coded)",
     "restore_roundtrip": ON_NOTES + "select doc_id, restored from redacted",

@@ -172,8 +172,8 @@ _WORDS = f"""words as (select session_id, word, count(*) as n from (select sessi
   people as (select distinct session_id, person as name from notes), parts as (select distinct session_id, unnest(string_split(name, ' ')) as name from people)"""
 _SPAN = "struct(s int, l int, e int)"
 _FOUND = " union all ".join(sql_scan("notes", r) for r in RULES)
-_GOAL = "substr(text, at + 7501, 500)"
-_CUT = lambda s: f"case when instr(reverse({_GOAL}), reverse({s})) > 0 then at + 7500 + 500 - instr(reverse({_GOAL}), reverse({s})) + 1 end"
+_GOAL = "substr(text, pos + 7501, 500)"
+_CUT = lambda s: f"case when instr(reverse({_GOAL}), reverse({s})) > 0 then pos + 7500 + 500 - instr(reverse({_GOAL}), reverse({s})) + 1 end"
 ORACLES = {
     "name_parse": f"""{_WITH} select doc_id, name, case when doc_id % 4 = 0 then 'Mr' when doc_id % 4 = 3 then 'Prof' end as title,
         case when doc_id % 4 = 2 then split_part(person, ' ', 2) else split_part(person, ' ', 1) end as first, split_part(person, ' ', 2) as last, case when doc_id % 4 = 1 then 'Michael' end as middle
@@ -199,12 +199,12 @@ ORACLES = {
       select session_id, p as primary_name, m as match_name, case when count(*) over (partition by session_id, m) > 1 then 'low' else 'high' end as confidence from met
       union all select a.session_id, a.name, b.name, 'low' from singles a join singles b on a.session_id = b.session_id and a.b <> b.b and starts_with(a.b, b.b) and length(b.b) >= 3""",
     "normalize_dates": f"select o_orderkey as doc_id, case when o_orderkey % 6 = 1 then text else replace(text, date, {_TWO(_D)} || '/' || {_TWO(_M)} || '/' || {_Y}) end as normalized from (select o.*, n.text, {DATE} as date from orders o join ({NOTES}) n on n.doc_id = o.o_orderkey)",
-    "chunk_overlap": f"""with recursive c(doc_id, text, no, at, stop) as (
+    "chunk_overlap": f"""with recursive c(doc_id, text, no, pos, stop) as (
         select doc_id, text, -1, 0, 0 from documents
-        union all select doc_id, text, no + 1, stop, case when length(text) <= 8000 or stop + 8000 >= length(text) then length(text) else (select coalesce({_CUT("'. '")}, {_CUT("chr(10) || chr(10)")}, {_CUT("chr(10)")}, at + 8000) from (select c.stop as at, c.text as text)) end
+        union all select doc_id, text, no + 1, stop, case when length(text) <= 8000 or stop + 8000 >= length(text) then length(text) else (select coalesce({_CUT("'. '")}, {_CUT("chr(10) || chr(10)")}, {_CUT("chr(10)")}, pos + 8000) from (select c.stop as pos, c.text as text)) end
         from c where stop < length(text) or (no = -1 and length(text) = 0)),
-      k as (select *, greatest(0, at - 200) as o, least(length(text), stop + 200) as z from c where no >= 0)
-      select doc_id, no as chunk_no, o::int as global_offset, (at - o)::int as overlap_before, (z - stop)::int as overlap_after, md5(substr(text, o + 1, z - o)) as digest from k""",
+      k as (select *, greatest(0, pos - 200) as o, least(length(text), stop + 200) as z from c where no >= 0)
+      select doc_id, no as chunk_no, o::int as global_offset, (pos - o)::int as overlap_before, (z - stop)::int as overlap_after, md5(substr(text, o + 1, z - o)) as digest from k""",
     "model_windows": "select doc_id, k::int as chunk_no, (k * 1800)::int as s, least(length(text), k * 1800 + 2000)::int as e from (select doc_id, text, unnest(range(0, greatest(0, (length(text) - 100) // 1800) + 1)) as k from documents)",
     "paragraph_pack": """with l as (select doc_id, list_transform(string_split(text, chr(10)), lambda x: {'n': length(x)::int, 'k': 1::int, 'o': []::struct(pieces int, chars int)[]}) as x from documents),
       f as (select doc_id, list_reduce(x, lambda a, b: case when a.n + 2 + b.n <= 3000 then {'n': (a.n + 2 + b.n)::int, 'k': (a.k + 1)::int, 'o': a.o} else {'n': b.n, 'k': 1::int, 'o': list_append(a.o, {'pieces': a.k, 'chars': a.n})} end) as r from l)
