@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sealgrove.llm import bpe, langid, lines, mixing, simhash
+from sealgrove.llm import bpe, langid, lines, mixing, similar
 from sealgrove.llm.texts import held_out, unused
 from sealgrove.sources.tables import read_table, written
 
@@ -34,10 +34,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (shingles of five words, similarity of 0.8 or more): the one of smallest doc_id."""
+    """One document of each group of near copies (shingles of five words, similarity of 0.8 or more, all pairs found and verified): the one of smallest doc_id."""
     sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     named = docs.select("doc_id", "text", F.when(F.col("doc_id").isNull(), sha).alias("_sha"))  # documents without a doc_id are told by their text
-    groups = written(simhash.near_duplicates(named, extra=("_sha",)).select("doc_id", "_sha", "component_id"), "groups")
+    groups = written(similar.similar_documents(named, extra=("_sha",)), "groups")
     leaders = groups.filter(F.col("doc_id") == F.col("component_id"))
     n, distinct = leaders.agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
     kept = docs.join(leaders.select("doc_id"), "doc_id", "left_semi")

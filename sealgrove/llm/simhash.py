@@ -43,23 +43,30 @@ MOST_FLIPS = 3
 NO_ID = 1 << 62
 
 
-def fingerprint(text: str | None, words: int, lanes: int) -> np.ndarray:
-    """`lanes` 64-bit integers; lane k is hashed with seed 42 + k."""
+def shingles(text: str | None, words: int) -> list[bytes]:
+    """Runs of `words` words in order, or all words if there are fewer; none of a text without words."""
     own = (text or "").encode().lower().split()  # bytes: only ASCII letters and white space count
-    out = np.zeros(lanes, dtype=np.uint64)
     if not own:
-        return out
+        return []
     flat = b" ".join(own)
     ends = list(accumulate(len(w) + 1 for w in own))
     starts = [0, *ends[: max(len(own) - words, 0)]]
     ends = ends[min(words, len(own)) - 1 :]
-    shingles = [flat[a : b - 1] for a, b in zip(starts, ends, strict=True)]
+    return [flat[a : b - 1] for a, b in zip(starts, ends, strict=True)]
+
+
+def fingerprint(text: str | None, words: int, lanes: int) -> np.ndarray:
+    """`lanes` 64-bit integers; lane k is hashed with seed 42 + k."""
+    out = np.zeros(lanes, dtype=np.uint64)
+    own = shingles(text, words)
+    if not own:
+        return out
     for k in range(lanes):
         counts = np.zeros(64, dtype=np.int64)
-        for at in range(0, len(shingles), 1 << 14):
-            h = np.array([xxhash.xxh64_intdigest(s, SEED + k) for s in shingles[at : at + (1 << 14)]], dtype="<u8")
+        for at in range(0, len(own), 1 << 14):
+            h = np.array([xxhash.xxh64_intdigest(s, SEED + k) for s in own[at : at + (1 << 14)]], dtype="<u8")
             counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[k] = np.packbits(2 * counts > len(shingles), bitorder="little").view("<u8")[0]
+        out[k] = np.packbits(2 * counts > len(own), bitorder="little").view("<u8")[0]
     return out
 
 

@@ -1,0 +1,153 @@
+"""Groups of documents whose shingles have a Jaccard similarity of 0.8 or more: all such pairs are found, and each is verified.
+
+A text's tokens are the hashes of its distinct shingles, in one order for all texts: those seen often in a sample of texts come last.
+Two similar texts share one of their first tokens (prefix filtering): of n tokens, n - ceil(0.8 n) + 1 are enough. Texts meet by
+these tokens, and pairs whose sizes or places of the token already exclude the similarity aren't formed.
+
+Each token's texts meet the one of smallest id first. The verified links of these pairs make components; then texts of one token
+meet whose components differ, so a group of m near copies doesn't cost all its pairs.
+
+Words, shingles and edge cases are those of simhash.py; texts without words are all alike. Hashes have 64 bits.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from sealgrove.llm.components import connected
+from sealgrove.llm.simhash import NO_ID, SEED, shingles
+from sealgrove.llm.texts import bounded_batches
+from sealgrove.sources.tables import remove, written
+
+#: Similarity of 4 / 5: the shared tokens are at least 4 / 9 of both texts' together.
+PART, WHOLE = 4, 5
+#: Texts that are sampled for frequent tokens, what makes a token one, and how many are told apart.
+SAMPLE, OFTEN, MOST = 20_000, 3, 200_000
+
+
+def tokens(text: str | None, words: int) -> np.ndarray:
+    """Hashes of the distinct shingles, sorted."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, words)] or [0], dtype=np.uint64)).view(np.int64)
+
+
+def _often(df: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that are frequent in a sample of texts, sorted, and how often they occur."""
+    step = max(1, df.count() // SAMPLE)
+    sample = df.filter(F.pmod(F.xxhash64("_text"), F.lit(step)) == 0).select("_text").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [tokens(t, words) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*own, np.zeros(0, dtype=np.int64)]))], names=["token"])
+
+    counts = sample.mapInArrow(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OFTEN)
+    got = counts.orderBy(F.desc("n"), "token").limit(MOST).toPandas().sort_values("token")
+    return got["token"].to_numpy(dtype=np.int64), got["n"].to_numpy(dtype=np.int64)
+
+
+def _prefix(own: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The tokens of which two similar texts share one, in the order of all texts."""
+    known, n = often
+    weight = np.zeros(len(own), dtype=np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        weight = np.where(known[at] == own, n[at], 0)
+    return own[np.lexsort((own, weight))][: len(own) + PART * len(own) // -WHOLE + 1]
+
+
+def _verified(pairs: DataFrame, slim: DataFrame, prints: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b) of ids whose texts are similar. A pair carries both texts, which take less room than their tokens."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    asked = written(prints.join(ids, "id", "left_semi"), "similar-asked")
+    texts = _led(slim.select("_doc", "_set", "_text"), asked).groupBy("_set").agg(F.first("id").alias("id"), F.first("_text").alias("text"))
+    texts = written(texts.drop("_set"), "similar-texts")
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            known: dict[str | None, np.ndarray] = {}
+            for pair in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                for t in pair:
+                    if t not in known:
+                        known[t] = tokens(t, words)
+                x, y = (known[t] for t in pair)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append((PART + WHOLE) * shared >= PART * (len(x) + len(y)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+    out = written(both.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"), "similar-links")
+    remove(pairs.sparkSession, texts)
+    return out
+
+
+def _led(slim: DataFrame, prints: DataFrame) -> DataFrame:
+    """The rows of `slim` that stand for their print, with its id: more than one where a doc_id repeats or is null."""
+    return slim.join(prints, "_set").filter(F.coalesce(F.col("_doc") == F.col("id"), F.col("id") >= NO_ID))
+
+
+def _possible(a: str, b: str) -> str:
+    """Whether the sizes n and the places `at` of a token, if it is the first of those shared, allow the similarity."""
+    return f"{WHOLE} * least({a}n, {b}n) >= {PART} * greatest({a}n, {b}n) and {PART + WHOLE} * least({a}n - {a}at, {b}n - {b}at) >= {PART} * ({a}n + {b}n)"
+
+
+def links(slim: DataFrame, prints: DataFrame, words: int) -> DataFrame:
+    """(a, b): ids of similar texts. All similar pairs are in one component of these. slim: (_doc, _text, _set); prints: (_set, id)."""
+    spark = slim.sparkSession
+    often = _often(slim, words)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = [tokens(t, words) for t in batch.column(1).to_pylist()]
+            first = [_prefix(x, often) for x in own]
+            size = np.array([len(x) for x in first])
+            id, n = np.repeat(batch.column(0).to_numpy(), size), np.repeat(np.array([len(x) for x in own], dtype=np.int32), size)
+            at = np.concatenate([np.arange(k, dtype=np.int32) for k in size])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(first), id, n, at)], names=["token", "id", "n", "at"])
+
+    rows = _led(slim, prints).select("id", "_text").mapInArrow(spread, "token long, id long, n int, at int")
+    of = Window.partitionBy("token")
+    shared = rows.withColumns({"l": F.min(F.struct("id", "n", "at")).over(of), "h": F.max("id").over(of)}).filter("l.id < h").drop("h")
+    shared = written(shared, "similar-shared")
+    near = shared.filter(f"id > l.id and {_possible('', 'l.')}").select(F.col("id").alias("a"), F.col("l.id").alias("b")).distinct()
+    star = _verified(written(near, "similar-near"), slim, prints, words)
+    labels = connected(star, "a", "b").withColumnRenamed("node", "id").withColumnRenamed("component", "label")
+    labelled = written(shared.join(labels, "id", "left").select("token", "id", "n", "at", F.coalesce("label", "id").alias("label")), "similar-labelled")
+    remove(spark, shared)
+    mixed = labelled.groupBy("token").agg(F.mode("label").alias("main"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token", "main")
+    mixed = written(labelled.join(mixed, "token"), "similar-mixed")
+    remove(spark, labelled)
+    # Of two texts of different labels, one isn't of its token's main label: those meet all others.
+    a, b = mixed.filter("label <> main").alias("a"), mixed.alias("b")
+    far = a.join(b, F.expr(f"a.token = b.token and a.label <> b.label and (a.id < b.id or b.label = b.main) and {_possible('a.', 'b.')}"))
+    far = far.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+    return star.union(_verified(written(far, "similar-far"), slim, prints, words))
+
+
+def similar_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, extra: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each row of `df`: doc_id, the `extra` columns and `component_id`, the smallest doc_id reachable over similar texts."""
+    bounded_batches(df.sparkSession)
+    slim = df.select(F.col(doc_id).cast("long").alias("_doc"), *extra, F.col(text).alias("_text"))
+    fields = slim.schema.fieldNames()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = [xxhash.xxh3_64_intdigest(tokens(t, words).tobytes(), SEED) for t in batch.column(len(fields) - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(key, dtype=np.uint64).view(np.int64))], names=[*fields, "_set"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields)
+    slim = written(slim.mapInArrow(run, f"{schema}, _set long"), "similar-docs")
+    ids = F.coalesce(F.min("_doc"), F.lit(NO_ID) + F.pmod(F.col("_set"), F.lit(NO_ID)))
+    prints = written(slim.groupBy("_set").agg(ids.alias("id")), "similar-prints")
+    reached = connected(written(links(slim.select("_doc", "_text", "_set"), prints, words).distinct(), "similar-all"), "a", "b")
+    named = prints.join(reached, prints["id"] == reached["node"], "left").select("_set", F.coalesce("component", "id").alias("component_id"))
+    named = named.withColumn("component_id", F.when(F.col("component_id") < NO_ID, F.col("component_id")))
+    return slim.join(named, "_set").select(F.col("_doc").alias(doc_id), *extra, "component_id")

@@ -1,0 +1,56 @@
+"""Near copies of the pipeline against all pairs."""
+
+import numpy as np
+
+from sealgrove.llm import similar
+
+
+def components_of(nodes, edges):
+    least = {n: n for n in nodes}
+    moved = True
+    while moved:
+        moved = False
+        for a, b in edges:
+            m = min(least[a], least[b])
+            moved |= least[a] != m or least[b] != m
+            least[a] = least[b] = m
+    return least
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_against_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(60):
+        own = [f"w{x}" for x in rng.integers(5000, size=int(rng.integers(100, 400)))]
+        rows.append((len(rows), " ".join(own)))
+        for _ in range(4 if k else 40):  # edits that leave a similarity of about 0.7 to 0.98
+            t = list(own)
+            for at in rng.choice(len(t), int(len(t) * rng.uniform(0.002, 0.035)) + 1, replace=False):
+                t[at] = f"x{rng.integers(10**6)}"
+            rows.append((len(rows), " ".join(t)))
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    close = [(a, b, jaccard(sets[a], sets[b])) for a in sets for b in sets if a < b and sets[a] & sets[b]]
+    edges = [(a, b) for a, b, j in close if j >= 0.8]
+    assert sum(0.8 <= j < 0.85 for _, _, j in close) > 50 and sum(0.7 < j < 0.8 for _, _, j in close) > 50
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == components_of(sets, edges)
+
+
+def test_every_pair_is_found_by_itself(spark):
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for k in range(300):  # pairs alone: no third text links them
+        own = [f"p{k}w{x}" for x in range(300)]
+        t = list(own)
+        for at in rng.choice(300, int(rng.integers(1, 9)), replace=False):
+            t[at] = f"p{k}x{at}"
+        sets = [{tuple(w[i : i + 5]) for i in range(296)} for w in (own, t)]
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(t))]
+        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k + (jaccard(*sets) < 0.8)}
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
