@@ -14,16 +14,17 @@ _SUFFIXES = "|".join(sorted(VARIANTS, key=len, reverse=True))
 
 
 def letters(n: Column) -> Column:
-    """0, 1, ... as A, ..., Z, AA, AB, ...: up to four letters."""
+    """0, 1, ... as A, ..., Z, AA, AB, ...: up to seven letters, which take any int; greater and negative numbers raise an error. Null stays null."""
+    n = n.cast("long")
     char = lambda x: F.chr(F.lit(65) + x.cast("long"))
-    out, first, width = None, 0, 1
-    while width <= 4:
+    out, first, width = F.when(n < 0, F.raise_error(F.concat(F.lit("no letters for "), n))), 0, 1
+    while width <= 7:
         rest = n - first
         text = F.concat(*(char(F.expr("0") + F.floor(rest / 26**k) % 26) for k in range(width - 1, -1, -1)))
-        out = F.when(n < first + 26**width, text) if out is None else out.when(n < first + 26**width, text)
+        out = out.when(n < first + 26**width, text)
         first += 26**width
         width += 1
-    return out
+    return out.when(n.isNotNull(), F.raise_error(F.concat(F.lit("no letters for "), n)))
 
 
 def code(type: Column, n: Column) -> Column:

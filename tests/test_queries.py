@@ -61,6 +61,25 @@ def test_letters(spark):
     assert len({r["x"] for r in rows}) == 18278
 
 
+def test_letters_take_any_number_or_raise(spark):
+    def name(n):
+        out = ""
+        n += 1
+        while n:
+            n, k = divmod(n - 1, 26)
+            out = chr(65 + k) + out
+        return out
+
+    ns = [18277, 18278, 475253, 475254, 475255, 12356629, 12356630, 321272405, 321272406, 2**31 - 1]
+    for kind in ("int", "long"):
+        df = spark.createDataFrame([(n,) for n in ns], f"n {kind}")
+        assert [r["x"] for r in df.select(codes.letters(F.col("n")).alias("x")).collect()] == [name(n) for n in ns]
+    assert spark.sql("select cast(null as int) as n").select(codes.letters(F.col("n"))).first()[0] is None
+    for n in (-1, sum(26**k for k in range(1, 8))):
+        with pytest.raises(Exception, match="no letters for"):
+            spark.createDataFrame([(n,)], "n long").select(codes.letters(F.col("n"))).collect()
+
+
 def test_dates(spark):
     text = "Patient visited on 12 January 2024. Follow-up scheduled for January 15, 2024. Previous appointment was 2023-12-01."
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
