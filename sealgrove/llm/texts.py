@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -57,8 +59,21 @@ def unpacked(df: DataFrame, names: list[str]) -> list[Column]:
     return [F.col("_row").getField(c).alias(c) for c in names]
 
 
+def pieces(batch: pa.RecordBatch, at: int, nbytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows whose values of column `at` have about `nbytes` bytes together, one row at least."""
+    if not batch.num_rows:
+        return
+    size = np.cumsum(np.nan_to_num(pc.binary_length(batch.column(at)).to_numpy(zero_copy_only=False).astype(float))).astype(np.int64)
+    first = 0
+    while first < batch.num_rows:
+        before = int(size[first - 1]) if first else 0
+        end = max(first + 1, int(np.searchsorted(size, before + nbytes, side="right")))
+        yield batch.slice(first, end - first)
+        first = end
+
+
 def appended(df: DataFrame, fields: list[StructField], f: Callable[[list], list[list]], column: str, done: Callable[[], None] = lambda: None) -> DataFrame:
-    """`df` with columns that `f` gives for the values of a column, batch by batch; existing columns of their names are replaced. `done` runs after each task."""
+    """`df` with columns that `f` gives for the values of a text or binary column, in pieces of a megabyte; existing columns of their names are replaced. `done` runs after each task."""
     bounded_batches(df.sparkSession)
     keep = others(df, *(x.name for x in fields))
     at, rest = df.columns.index(column), [df.columns.index(c) for c in keep]
@@ -67,8 +82,10 @@ def appended(df: DataFrame, fields: list[StructField], f: Callable[[list], list[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = [pa.array(v, t) for v, t in zip(f(batch.column(at).to_pylist()), arrow, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), *new], names=schema.names)
+            for part in pieces(batch, at):
+                new = [pa.array(v, t) for v, t in zip(f(part.column(at).to_pylist()), arrow, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in rest), *new], names=schema.names)
         done()
+        pa.default_memory_pool().release_unused()  # the worker outlives the task
 
     return df.mapInArrow(run, schema)
