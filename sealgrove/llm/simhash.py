@@ -1,27 +1,35 @@
 """SimHash near-dedup by the generalised pigeonhole principle.
 
-A text's fingerprint has a bit set where over half of its shingles' hashes have it set. Fingerprints within `max_distance` bits
+A text's fingerprint has a bit set where over half of its shingles' hashes have it set. Fingerprints within `guaranteed` bits
 are found so: bits are grouped into parts, correlated ones together; for each fingerprint, thresholds t_i of at least -1 are
 allocated to the parts with sum(t_i + 1) = guaranteed + 1, so that any fingerprint within `guaranteed` bits differs in at most t_i
 bits from it in some part i. A dynamic programme picks the thresholds of least cost, from the number of keys to look up and
 the candidates that histograms of half parts let expect: parts with a popular value are skipped or matched exactly, rare ones
 searched more widely. The looked-up keys meet the parts of all fingerprints in a join, whose condition verifies the distance.
 
-Before that, each fingerprint is compared with the smallest id of each of its parts' values. Those within reach are links, and
-the smallest of them is the fingerprint's label: fingerprints of one label are in one component, so the join leaves them
-out, and a group of m near copies costs links in proportion to m instead of all its pairs.
+Only keys that two fingerprints share go on. There, each fingerprint is first compared with the smallest one that has the key. The
+components of these links are labels; in the join after that only fingerprints of different labels meet, so a group of m near
+copies costs links in proportion to m instead of all its pairs.
 
-Texts: A-Z are lower-cased; words are runs of anything but ASCII white space; shingles of `words` words, repeats included.
-Fewer words than that are one shingle, and no words (null and empty texts too) give fingerprint zero, which links like any other.
+Two ways to say what is near: by distance alone (`similarity` None, one lane, all pairs within max_distance), or by the Jaccard
+similarity of the texts' distinct shingles (the default, 4 / 5). Then fingerprints have many lanes, of which the last only checks: its
+distance must be within max_distance, which a pair of that similarity misses once in ten thousand. Candidates are verified by
+the exact similarity of their texts, from 64-bit hashes of shingles. With 32 lanes and 96 parts a pair is looked up for certain within
+95 of 2048 bits; of pairs farther apart those are found that agree in a part (README has the measured share at 0.8).
 
-Edge cases: repeated rows and equal texts share a fingerprint and so a component; rows of equal doc_id are one document, in one component; a null doc_id never names a component unless
-nothing else is in it, which then has none (null); an empty table gives an empty table.
+Texts: A-Z are lower-cased; words are runs of anything but ASCII white space; shingles of `words` words, repeats included unless
+similarity is asked for. Fewer words than that are one shingle, and no words (null and empty texts too) give fingerprint zero,
+which links like any other.
+
+Edge cases: repeated rows and equal texts share a fingerprint and so a component; rows of equal doc_id are rows like any other; a null
+doc_id never names a component unless nothing else is in it, which then has none (null); an empty table gives an empty table;
+columns of the input that aren't asked for by `extra` aren't returned.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate, combinations
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -32,41 +40,80 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from sealgrove.llm.components import connected
-from sealgrove.llm.texts import bounded_batches
-from sealgrove.sources.tables import read_table, written
+from sealgrove.llm.texts import bounded_batches, pieces
+from sealgrove.sources.tables import read_table, remove, written
 
 SEED = 42
 #: What a candidate costs that a join compares, against a key that is looked up: a key is shuffled with its fingerprint, a candidate isn't.
 CANDIDATE_COST = 0.005
 #: Parts are searched up to this many differing bits.
 MOST_FLIPS = 3
-NO_ID = 1 << 62
+#: Similarity of 4 / 5, and lanes, parts of a lane, guaranteed bits and distance in the checking lane that go with it.
+SIMILARITY, LANES, PARTS, GUARANTEED, CHECKED = (4, 5), 32, 3, 95, 21
+#: Shingles that are hashed at once, and counters of a byte.
+AT_ONCE, BYTE = 1 << 16, 255
 
 
-def shingles(text: str | None, words: int) -> list[bytes]:
-    """Runs of `words` words in order, or all words if there are fewer; none of a text without words."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """Hashes of the runs of `words` words in order, or of all words if there are fewer; none of a text without words."""
     own = (text or "").encode().lower().split()  # bytes: only ASCII letters and white space count
     if not own:
-        return []
+        return np.zeros(0, dtype=np.uint64)
     flat = b" ".join(own)
-    ends = list(accumulate(len(w) + 1 for w in own))
-    starts = [0, *ends[: max(len(own) - words, 0)]]
-    ends = ends[min(words, len(own)) - 1 :]
-    return [flat[a : b - 1] for a, b in zip(starts, ends, strict=True)]
+    ends = np.cumsum(np.fromiter(map(len, own), dtype=np.int64, count=len(own)) + 1)
+    starts = np.concatenate([[0], ends[: max(len(own) - words, 0)]])
+    ends = ends[min(words, len(own)) - 1 :] - 1
+    del own
+    out = np.empty(len(starts), dtype=np.uint64)
+    for at in range(0, len(starts), AT_ONCE):
+        some = zip(starts[at : at + AT_ONCE].tolist(), ends[at : at + AT_ONCE].tolist(), strict=True)
+        out[at : at + AT_ONCE] = np.fromiter((xxhash.xxh64_intdigest(flat[a:b], SEED) for a, b in some), dtype=np.uint64)
+    return out
 
 
-def fingerprint(text: str | None, words: int, lanes: int) -> np.ndarray:
-    """`lanes` 64-bit integers; lane k is hashed with seed 42 + k."""
-    out = np.zeros(lanes, dtype=np.uint64)
-    own = shingles(text, words)
-    if not own:
-        return out
-    for k in range(lanes):
-        counts = np.zeros(64, dtype=np.int64)
-        for at in range(0, len(own), 1 << 14):
-            h = np.array([xxhash.xxh64_intdigest(s, SEED + k) for s in own[at : at + (1 << 14)]], dtype="<u8")
-            counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[k] = np.packbits(2 * counts > len(own), bitorder="little").view("<u8")[0]
+def token_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct hashes, sorted; texts without words have one token in common."""
+    h = np.unique(shingle_hashes(text, words))
+    return h if len(h) else np.zeros(1, dtype=np.uint64)
+
+
+def _lane(h: np.ndarray, k: int) -> np.ndarray:
+    """The hashes for lane k: lane 0 takes them as they are, the others a mix that differs by lane."""
+    if not k:
+        return h
+    x = (h ^ np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(29)
+
+
+def _majority(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For runs of hashes of the given sizes (none is 0) the 64 bits that over half of a run's hashes have set.
+
+    Eight counters of a byte are added in one word; runs of more than 255 hashes are cut into several and added up.
+    """
+    cuts = -(-sizes // BYTE)
+    run = np.repeat(np.arange(len(sizes)), cuts)
+    nth = np.arange(len(run)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+    begin = np.repeat(np.cumsum(sizes) - sizes, cuts) + nth * BYTE
+    first = np.cumsum(cuts) - cuts
+    counts = np.zeros((len(sizes), 8, 8), dtype=np.int64)  # run, byte, bit
+    for b in range(8):
+        some = np.add.reduceat(h >> np.uint64(b) & np.uint64(0x0101010101010101), begin)
+        counts[:, :, b] = np.add.reduceat(some.view(np.uint8).reshape(-1, 8).astype(np.int64), first, axis=0)
+    bits = 2 * counts.reshape(len(sizes), 64) > sizes[:, None]
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
+
+
+def fingerprints_of(texts: list[str | None], words: int, lanes: int, distinct: bool = False) -> np.ndarray:
+    """`lanes` 64-bit integers for each text."""
+    out = np.zeros((len(texts), lanes), dtype=np.uint64)
+    own = [(np.unique if distinct else np.asarray)(shingle_hashes(t, words)) for t in texts]
+    full = np.array([i for i, x in enumerate(own) if len(x)], dtype=np.int64)
+    if len(full):
+        h, sizes = np.concatenate([own[i] for i in full]), np.array([len(own[i]) for i in full], dtype=np.int64)
+        for k in range(lanes):
+            out[full, k] = _majority(_lane(h, k), sizes)
     return out
 
 
@@ -74,17 +121,18 @@ def lanes_of(lanes: int) -> list[str]:
     return [f"_w{k}" for k in range(lanes)]
 
 
-def fingerprints(df: DataFrame, text: str = "text", words: int = 5, lanes: int = 1) -> DataFrame:
-    """`df` with its texts' fingerprints in the columns lanes_of(lanes), without the text."""
+def fingerprints(df: DataFrame, text: str = "text", words: int = 5, lanes: int = 1, distinct: bool = False, keep_text: bool = False) -> DataFrame:
+    """`df` with its texts' fingerprints in the columns lanes_of(lanes), with or without the text."""
     bounded_batches(df.sparkSession)
-    fields = [f for f in df.schema.fields if f.name != text] + [StructField(c, LongType()) for c in lanes_of(lanes)]
+    at = df.columns.index(text)
+    rest = [i for i in range(len(df.columns)) if keep_text or i != at]
+    fields = [df.schema.fields[i] for i in rest] + [StructField(c, LongType()) for c in lanes_of(lanes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.names.index(text)
-            w = np.array([fingerprint(t, words, lanes) for t in batch.column(at).to_pylist()], dtype=np.uint64).reshape(-1, lanes).view(np.int64)
-            rest = [c for i, c in enumerate(batch.columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*rest, *(pa.array(np.ascontiguousarray(w[:, k])) for k in range(lanes))], names=[f.name for f in fields])
+            for part in pieces(batch, at):
+                w = fingerprints_of(part.column(at).to_pylist(), words, lanes, distinct).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in rest), *(pa.array(np.ascontiguousarray(w[:, k])) for k in range(lanes))], names=[f.name for f in fields])
 
     return df.mapInArrow(run, StructType(fields))
 
@@ -179,21 +227,21 @@ def _sums(df: DataFrame, f, size: int) -> np.ndarray:
     return out
 
 
-def links(prints: DataFrame, lanes: int, max_distance: int, parts: int, guaranteed: int | None = None) -> DataFrame:
-    """(a, b): ids of fingerprints within max_distance bits, from a table of distinct ones (id and lanes_of(lanes)).
+def keyed(prints: DataFrame, lanes: int, parts: int, guaranteed: int) -> DataFrame:
+    """(id, part, value, kind, shown columns): the parts of distinct fingerprints and the keys they look up.
 
-    All pairs within `guaranteed` bits (by default max_distance) are links or have links to a common third fingerprint; of those
-    farther apart, the ones that share a looked-up key.
+    kind 0: a part's value that the fingerprint is found by; 1: one that it looks up, too; 2: a value that it looks up only.
     """
-    names, total = lanes_of(lanes), 64 * lanes
-    guaranteed = max_distance if guaranteed is None else guaranteed
+    names = lanes_of(lanes)
     n = prints.count()
 
     def joint(frame: pd.DataFrame) -> np.ndarray:
-        b = _bits(frame, names).astype(np.float64)
-        return (b.T @ b).astype(np.int64).ravel()
+        b = _bits(frame, names).astype(np.float32).reshape(len(frame), lanes, 64).transpose(1, 0, 2)
+        return np.rint(b.transpose(0, 2, 1) @ b).astype(np.int64).ravel()
 
-    groups = group_bits(_sums(prints, joint, total * total).reshape(total, total), n, parts)
+    # Parts are made of bits of one lane: lanes are hashed apart.
+    together = _sums(prints, joint, lanes * 64 * 64).reshape(lanes, 64, 64)
+    groups = [[64 * k + b for b in g] for k in range(lanes) for g in group_bits(together[k], n, parts)]
     halves = _halves(groups)
     start = np.cumsum([0, *(1 << len(h) for h in halves)])
 
@@ -202,70 +250,118 @@ def links(prints: DataFrame, lanes: int, max_distance: int, parts: int, guarante
         return np.bincount(np.concatenate([start[i] + _project(b, h) for i, h in enumerate(halves)]), minlength=int(start[-1]))
 
     counts = _sums(prints, histogram, int(start[-1]))
-    shares = [near_shares(counts[start[i] : start[i + 1]]) for i in range(len(halves))]
+    shares = [near_shares(counts[start[i] : start[i + 1]]).astype(np.float32) for i in range(len(halves))]
     widths = [len(g) for g in groups]
     masks = [[np.array([sum(1 << b for b in c) for d in range(t + 1) for c in combinations(range(w), d)], dtype=np.int64) for t in range(MOST_FLIPS + 1)] for w in widths]
 
-    def keyed(frame: pd.DataFrame, i: int, rows: np.ndarray, keys: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"key": keys.ravel() | i << 48} | {c: np.repeat(frame[c].to_numpy()[rows], keys.shape[1]) for c in frame.columns})
-
-    def stored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            b = _bits(frame, names)
-            for i, g in enumerate(groups):
-                yield keyed(frame, i, np.arange(len(frame)), _project(b, g)[:, None])
-
-    def asked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if not len(frame):
                 continue
-            b = _bits(frame, names)
+            b, m = _bits(frame, names), len(frame)
             near = [s[_project(b, h)] for s, h in zip(shares, halves, strict=True)]
             t = allocate(list(zip(near[::2], near[1::2], strict=True)), widths, n, guaranteed)
+            rows, keys, kinds = [], [], []
             for i, g in enumerate(groups):
                 own = _project(b, g)
-                for flips in range(MOST_FLIPS + 1):
-                    rows = np.flatnonzero(t[:, i] == flips)
-                    if len(rows):
-                        yield keyed(frame, i, rows, own[rows, None] ^ masks[i][flips][None, :])
-
-    schema = "id long, " + ", ".join(f"{c} long" for c in names)
-    apart = lambda x, y: " + ".join(f"bit_count({x}.{c} ^ {y}.{c})" for c in names)
-    kept = prints.select("id", *names).mapInPandas(stored, f"key long, {schema}")
-    least = kept.groupBy("key").agg(F.min(F.struct("id", *names)).alias("l")).select("key", "l.*")  # a row for each value of each part
-    star = kept.alias("a").join(least.alias("b"), F.expr(f"a.key = b.key and a.id > b.id and {apart('a', 'b')} <= {max_distance}"))
-    star = written(star.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "simhash-stars")
-    labels = star.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("label"))
-    labelled = written(prints.join(labels, "id", "left").select("id", *names, F.coalesce("label", "id").alias("label")), "simhash-labelled")
-    schema = f"key long, {schema}, label long"
-    a, b = labelled.mapInPandas(asked, schema).alias("a"), labelled.mapInPandas(stored, schema).alias("b")
-    found = a.join(b, F.expr(f"a.key = b.key and a.id < b.id and a.label <> b.label and {apart('a', 'b')} <= {max_distance}"))
-    return star.union(found.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")))
+                rows.append(np.arange(m))
+                keys.append(own | i << 32)
+                kinds.append((t[:, i] >= 0).astype(np.int8))
+                for flips in range(1, MOST_FLIPS + 1):
+                    wide = np.flatnonzero(t[:, i] == flips)
+                    if len(wide):
+                        other = own[wide, None] ^ masks[i][flips][None, 1:]
+                        rows.append(np.repeat(wide, other.shape[1]))
+                        keys.append(other.ravel() | i << 32)
+                        kinds.append(np.full(other.size, 2, dtype=np.int8))
+            row, key, kind = (np.concatenate(x) for x in (rows, keys, kinds))
+            order = np.argsort(row, kind="stable")
+            cut = np.cumsum(np.bincount(row, minlength=m))[:-1]
+            yield pd.DataFrame({"id": frame["id"], "shown": frame["shown"], "keys": np.split(key[order], cut), "kinds": np.split(kind[order], cut)})
+
+    made = prints.select("id", "shown", *names).mapInPandas(run, "id long, shown long, keys array<long>, kinds array<tinyint>")
+    return written(made, "simhash-keys").select("id", "shown", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("kinds").alias("kind"))))
+
+
+def _similar(pairs: DataFrame, prints: DataFrame, texts: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) of ids whose texts have the similarity. A text is read for each id that is in a pair, from its print's first row."""
+    part, whole = similarity
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    asked = prints.select("id", "rep").join(ids, "id")
+    found = written(texts.select("_row", "_text").join(asked, F.col("_row") == F.col("rep")).select("id", "_text"), "simhash-texts")
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            of: dict[int, np.ndarray] = {}
+            for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                for i, t in ((a, x), (b, y)):
+                    if i not in of:
+                        of[i] = token_set(t, words)
+                shared = len(np.intersect1d(of[a], of[b], assume_unique=True))
+                keep.append((part + whole) * shared >= part * (len(of[a]) + len(of[b])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(found.select(F.col("id").alias("a"), F.col("_text").alias("x")), "a").join(found.select(F.col("id").alias("b"), F.col("_text").alias("y")), "b")
+    out = written(both.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"), "simhash-similar")
+    remove(pairs.sparkSession, found)
+    return out
+
+
+def links(prints: DataFrame, lanes: int, max_distance: int, parts: int, guaranteed: int, verify=None) -> DataFrame:
+    """(a, b): ids of fingerprints that are near, from a table of distinct ones (id, shown and lanes_of(lanes)).
+
+    `shown` is compared: pairs within max_distance bits of it are near, or those of them that `verify` lets pass. All near pairs within
+    `guaranteed` bits of the lanes are links or have links to common third fingerprints; of those farther apart, the ones that share a key.
+    """
+    spark = prints.sparkSession
+    verify = verify or (lambda pairs: pairs)
+    near = lambda x, y: f"bit_count({x}.shown ^ {y}.shown) <= {max_distance}"
+    rows = keyed(prints, lanes, parts, guaranteed)
+    both = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
+    shared = written(rows.join(both, "key"), "simhash-shared")  # keys of one fingerprint find nothing
+    least = shared.filter("kind < 2").groupBy("key").agg(F.min(F.struct("id", "shown")).alias("l")).select("key", "l.*")
+    star = shared.alias("a").join(least.alias("b"), F.expr(f"a.key = b.key and a.id > b.id and {near('a', 'b')}"))
+    star = written(verify(written(star.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "simhash-near")), "simhash-stars")
+    labels = connected(star, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("label"))
+    labelled = written(shared.join(labels, "id", "left").select("key", "id", "shown", "kind", F.coalesce("label", "id").alias("label")), "simhash-labelled")
+    remove(spark, shared)
+    # A key whose fingerprints all have one label has no pair left.
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
+    mixed = written(labelled.join(mixed, "key"), "simhash-mixed")
+    remove(spark, labelled)
+    a, b = mixed.filter("kind > 0").alias("a"), mixed.filter("kind < 2").alias("b")
+    far = a.join(b, F.expr(f"a.key = b.key and a.id < b.id and a.label <> b.label and {near('a', 'b')}"))
+    far = written(far.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "simhash-far")
+    return star.union(verify(far))
 
 
 def near_duplicates(
-    df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, lanes: int = 4, max_distance: int = 38, parts: int = 16, guaranteed: int | None = 19,
-    extra: tuple[str, ...] = (),
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, lanes: int = LANES, max_distance: int = CHECKED, parts: int = PARTS, guaranteed: int = GUARANTEED,
+    similarity: tuple[int, int] | None = SIMILARITY, extra: tuple[str, ...] = (),
 ) -> DataFrame:
-    """A row for each row of `df`: doc_id, the `extra` columns, the fingerprint's lanes and `component_id`, the smallest doc_id reachable.
+    """A row for each row of `df`: doc_id, the `extra` columns, the fingerprint's lanes, `component_id`, the smallest doc_id reachable, and
+    `group_no`, which numbers the components whether they have a doc_id or not.
 
-    Each row asks for the fingerprints of greater id only; as any pair is within reach of either's keys, none is lost.
-    The defaults take 256 bits: 38 differing bits stand for a cosine of cos(38 pi / 256) = 0.89, a Jaccard similarity of 0.8.
+    Each fingerprint asks for those of greater id only; as any pair within reach of the thresholds is within reach of either's keys, none is lost.
     """
-    names = lanes_of(lanes)
-    slim = written(fingerprints(df.select(F.col(doc_id).cast("long").alias("_doc"), *extra, F.col(text).alias("_text")), "_text", words, lanes), "simhash-docs")
-    ids = F.coalesce(F.min("_doc"), F.lit(NO_ID) + F.pmod(F.xxhash64(*names), F.lit(NO_ID)))
-    prints = written(slim.groupBy(*names).agg(ids.alias("id")), "simhash-prints")
-    found = written(links(prints, lanes, max_distance, parts, guaranteed).distinct(), "simhash-links")
-    reached = connected(found, "a", "b")
-    named = prints.join(reached, prints["id"] == reached["node"], "left").select(*names, F.coalesce("component", "id").alias("component_id"))
-    named = named.withColumn("component_id", F.when(F.col("component_id") < NO_ID, F.col("component_id")))
-    return slim.join(named, names).withColumnRenamed("_doc", doc_id)
+    names, exact = lanes_of(lanes + (similarity is not None)), similarity is not None
+    fields = [F.col(doc_id).cast("long").alias("_doc"), *extra, F.col(text).alias("_text"), *([F.monotonically_increasing_id().alias("_row")] if exact else [])]
+    slim = written(fingerprints(df.select(*fields), "_text", words, len(names), distinct=exact, keep_text=exact), "simhash-docs")
+    own = slim.groupBy(*names).agg(F.min("_doc").alias("least"), *([F.min("_row").alias("rep")] if exact else []))
+    prints = written(own.withColumns({"id": F.monotonically_increasing_id(), "shown": F.col(names[-1])}), "simhash-prints")
+    verify = (lambda pairs: _similar(pairs, prints, slim, words, similarity)) if exact else None
+    found = written(links(prints, lanes, max_distance, parts, guaranteed, verify).distinct(), "simhash-links")
+    reached = connected(found, "a", "b").withColumnRenamed("node", "id")
+    named = prints.select(*names, "id", "least").join(reached, "id", "left").select(*names, "least", F.coalesce("component", "id").alias("group_no"))
+    named = written(named, "simhash-groups")
+    ids = named.groupBy("group_no").agg(F.min("least").alias("component_id"))
+    return slim.drop("_text", "_row").join(named.drop("least").join(ids, "group_no"), names).withColumnRenamed("_doc", doc_id)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = near_duplicates(docs, words=3, lanes=1, max_distance=3, parts=3, guaranteed=3)
+    out = near_duplicates(docs, words=3, lanes=1, max_distance=3, parts=3, guaranteed=3, similarity=None)
     return out.select("doc_id", F.lpad(F.lower(F.hex("_w0")), 16, "0").alias("fingerprint"), "component_id")
 
 
