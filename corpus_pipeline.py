@@ -1,8 +1,9 @@
 """A training-data pipeline over `documents`: five stages, each an operator of sealgrove.llm applied to all that its predecessor kept.
 
 Every stage but the last returns the columns of `documents`. Edge cases: an empty table runs through; null and empty texts have no
-letter and go in the first stage; rows of equal doc_id are one document, of which near dedup keeps one row; documents without a
-doc_id stay unless one with a doc_id is their near copy; columns of other names are carried along.
+letter and go in the first stage; near dedup looks at texts alone, so rows of equal doc_id are
+near copies only where their texts are, and documents without a doc_id stay unless another row is their near copy; columns of other
+names are carried along.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sealgrove.llm import bpe, langid, lines, mixing, similar
+from sealgrove.llm import bpe, langid, lines, mixing, simhash
 from sealgrove.llm.texts import held_out, unused
 from sealgrove.sources.tables import read_table, written
 
@@ -34,20 +35,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (shingles of five words, similarity of 0.8 or more, all pairs found and verified): the one of smallest doc_id."""
-    sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    named = docs.select("doc_id", "text", F.when(F.col("doc_id").isNull(), sha).alias("_sha"))  # documents without a doc_id are told by their text
-    groups = written(similar.similar_documents(named, extra=("_sha",)), "groups")
-    leaders = groups.filter(F.col("doc_id") == F.col("component_id"))
-    n, distinct = leaders.agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
-    kept = docs.join(leaders.select("doc_id"), "doc_id", "left_semi")
-    if n > distinct:
-        kept = kept.dropDuplicates(["doc_id"])
-    lone = groups.filter(F.col("doc_id").isNull() & F.col("component_id").isNull()).select("_sha").distinct()
-    if not lone.isEmpty():
-        key = unused(docs, "sha")
-        rest = docs.filter(F.col("doc_id").isNull()).withColumn(key, sha).join(lone.withColumnRenamed("_sha", key), key, "left_semi").drop(key)
-        kept = kept.unionByName(rest)
+    """One document of each group of near copies (shingles of five words, similarity of 0.8 or more): the one of smallest doc_id, which goes before none."""
+    row, sha, own = unused(docs, "row"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+    named = docs.select("doc_id", "text", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", sha.alias("sha"), own.alias("own")).alias(row))
+    groups = simhash.near_duplicates(named, extra=(row,)).groupBy("group_no")
+    leaders = written(groups.agg(F.min(row).alias(row)).select(f"{row}.*"), "leaders")
+    kept = docs.withColumn(row, F.struct(sha.alias("sha"), own.alias("own"))).alias("a").join(
+        leaders.alias("b"), F.expr(f"a.doc_id <=> b.doc_id and a.`{row}`.sha = b.sha and a.`{row}`.own = b.own"), "left_semi")
+    if docs.select("doc_id", own.alias("own")).groupBy("doc_id", "own").count().filter("count > 1").isEmpty():
+        return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = kept.dropDuplicates(["doc_id", row])  # repeated rows
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
@@ -58,9 +55,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as token ids (little-endian unsigned 32-bit integers), whether they decode to the text, and digests."""
-    tables = bpe.Bpe(bpe.vocabulary())
-    slim = docs.select("doc_id", "source", "lang", "n_chars", "text")
-    out = bpe.decode(bpe.encode(slim, bpe=tables), bpe=tables)
+    out = bpe.encode_and_decode(docs.select("doc_id", "source", "lang", "n_chars", "text"))
     return out.select(
         "doc_id", "source", "lang", "n_chars", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same_text"),
