@@ -27,9 +27,20 @@ def letters(n: Column) -> Column:
     return out.when(n.isNotNull(), F.raise_error(F.concat(F.lit("no letters for "), n)))
 
 
-def code(type: Column, n: Column) -> Column:
+def base_id(type: Column, n: Column) -> Column:
+    """PREFIX_LETTERS of the n-th of a type; an unknown type raises an error, as its mention would stay unredacted."""
     prefix = F.create_map(*(F.lit(x) for kv in PREFIXES.items() for x in kv))
-    return F.concat(F.lit("["), prefix[type], F.lit("_"), letters(n), F.lit("]"))
+    known = F.coalesce(F.try_element_at(prefix, type), F.raise_error(F.concat(F.lit("no prefix for type "), F.coalesce(type, F.lit("null")))).cast("string"))
+    return F.concat(known, F.lit("_"), letters(n))
+
+
+def with_variant(base: Column, variant: Column) -> Column:
+    """A code in brackets: of a base alone, or with a variant."""
+    return F.concat(F.lit("["), F.concat_ws("_", base, variant), F.lit("]"))
+
+
+def code(type: Column, n: Column) -> Column:
+    return with_variant(base_id(type, n), F.lit(None).cast("string"))
 
 
 def base_of(code: Column) -> Column:

@@ -1,46 +1,116 @@
-"""Entities of sessions: codes, redaction by position, restoring, checks of placeholders."""
+"""Entities of sessions: codes with person variants, redaction by position, restoring, checks of placeholders.
+
+Tables: mentions (session_id, doc_id, doc_seq, s, e, text, type, confidence, rec_ord, pat_ord, key), codes (session_id, key, original, type, code,
+base_id, variant, anchor). A null session_id is a session like any other, and so is a null doc_id a document.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sealgrove.functions import codes as c
+from sealgrove.functions import dates
+from sealgrove.functions import names as fn
 from sealgrove.functions.scan import scan, splice
+from sealgrove.functions.words import PREFIXES, VARIANTS
+from sealgrove.operators.joins import joined, numbered
 from sealgrove.operators.recognizers import RULES, Rule, detect
-from sealgrove.operators.spans import key_of, merged_by_text, without_overlaps
+from sealgrove.operators.spans import key_of, without_overlaps
+from sealgrove.sources.tables import written
+
+PERSON_PREFIXES = tuple(v for k, v in PREFIXES.items() if k.startswith("person"))
 
 
-def kept_mentions(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keys: tuple[str, ...] = ("session_id", "doc_id", "doc_seq")) -> DataFrame:
+def kept_mentions(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keys: tuple[str, ...] = ("session_id", "doc_id", "doc_seq"), **options) -> DataFrame:
     """Mentions without overlaps: detected and resolved in the document's row, without a shuffle."""
-    found = detect(docs, rules).select(*keys, F.explode(without_overlaps(F.col("mentions"))).alias("m"))
+    found = detect(docs, rules, **options).select(*keys, F.explode(without_overlaps(F.col("mentions"))).alias("m"))
     return found.select(*keys, "m.*").withColumn("key", key_of(F.col("text"))).filter(F.length("key") > 1)
 
 
+def _persons_name(text: Column) -> Column:
+    """A name's words without title, in lower case."""
+    return F.lower(F.array_join(fn.tokens(fn.strip_title(text)), " "))
+
+
 def assign_codes(mentions: DataFrame) -> DataFrame:
-    """(session_id, key, original, type, code): numbered by first appearance in each session and type.
+    """Codes of a session's distinct keys, in the order in which they first appear in its documents.
 
-    In a document, names of several words come first. The window runs over distinct keys, of which partial aggregation leaves
-    one row for each task before the shuffle.
+    In each document, persons of two or more words are registered first: each is an anchor with a number of its own and the variant FULL (more
+    than two words) or FIRST_LAST. A person whose key begins an anchor's of this or an earlier document shares the anchor's number, with the variant that
+    it is of the anchor (the anchor of the longest key, then the earliest, if there are several). All others get the next number of their type.
     """
-    person = F.col("type").startswith("person") & F.col("key").contains(" ")
-    order = F.struct("doc_seq", F.when(person, 0).otherwise(1).alias("later"), "s", "rec_ord", "pat_ord")
-    first = mentions.groupBy("session_id", "key").agg(F.min(order).alias("_at"), F.min_by("text", order).alias("original"), F.min_by("type", order).alias("type"))
-    number = F.row_number().over(Window.partitionBy("session_id", "type").orderBy("_at.doc_seq", "_at.later", "_at.s", "key")) - 1
-    return first.withColumn("code", c.code(F.col("type"), number)).drop("_at")
+    at = F.struct("doc_seq", "s", "rec_ord", "pat_ord")
+    first = mentions.groupBy("session_id", "key").agg(F.min(at).alias("at"), F.min_by("text", at).alias("original"), F.min_by("type", at).alias("type"))
+    person = F.col("type").startswith("person")
+    full = F.when(person & (F.size(fn.tokens(fn.strip_title(F.col("original")))) >= 2), _persons_name(F.col("original")))
+    first = first.withColumn("full", full).withColumn("token", F.when(person, F.substring_index("key", " ", 1)))
+    nth = F.row_number().over(Window.partitionBy("session_id", "full").orderBy("at", "key"))
+    anchors = first.filter("full is not null").withColumn("_nth", nth).filter("_nth = 1").drop("_nth")  # the rows of one name of a session
+    first = written(joined(first, anchors.select("session_id", "key", F.lit(True).alias("anchor")), ("session_id", "key"), "left").withColumn("anchor", F.coalesce("anchor", F.lit(False))), "keys")
+
+    parents = first.filter("anchor").select("session_id", "token", F.col("key").alias("parent"), F.col("at").alias("_at"), F.col("original").alias("_name"))
+    met = joined(first.filter(~F.col("anchor") & F.col("token").isNotNull()), parents, ("session_id", "token"))
+    met = met.filter(F.startswith("parent", F.concat("key", F.lit(" "))) & (F.col("_at.doc_seq") <= F.col("at.doc_seq")))
+    best = F.struct((-F.length("parent")).alias("l"), "_at", "parent", "_name")
+    children = met.groupBy("session_id", "key", "original", "type").agg(F.min(best).alias("b")).select("session_id", "key", "original", "type", "b.parent", F.col("b._name").alias("_name"))
+
+    own = joined(first, children.select("session_id", "key"), ("session_id", "key"), "left_anti")
+    own = own.select("session_id", "key", "original", "type", "anchor", "at.*", (~F.col("anchor")).alias("later"))
+    own = numbered(own, ("session_id", "type"), ("doc_seq", "later", "s", "rec_ord", "pat_ord", "key"))
+    words = F.size(fn.tokens(fn.strip_title(F.col("original"))))
+    variant = F.when(F.col("anchor"), F.when(words > 2, "FULL").otherwise("FIRST_LAST"))
+    own = own.withColumn("base_id", c.base_id(F.col("type"), F.col("n"))).withColumn("variant", variant)
+    own = own.select("session_id", "key", "original", "type", "base_id", "variant", "anchor")
+    up = own.filter("anchor").select("session_id", F.col("key").alias("parent"), "base_id", F.col("variant").alias("_variant"))
+    part = fn.variant_for(F.col("original"), fn.person(F.col("_name")), fn.strip_title(F.col("_name")))
+    children = joined(children, up, ("session_id", "parent")).withColumn("variant", F.coalesce(part, "_variant")).withColumn("anchor", F.lit(False))
+    out = own.unionByName(children.select(*own.columns))
+    return out.select("session_id", "key", "original", "type", c.with_variant(F.col("base_id"), F.col("variant")).alias("code"), "base_id", "variant", "anchor")
+
+
+def persons(codes: DataFrame) -> DataFrame:
+    """(session_id, base_id, full, title, first, last, middle) of the anchors."""
+    name = F.col("original")
+    return codes.filter("anchor").select("session_id", "base_id", fn.strip_title(name).alias("full"), *(x.alias(k) for k, x in fn.person(name).items()))
+
+
+def mapping(codes: DataFrame) -> DataFrame:
+    """(session_id, code, original), one row a code: what each placeholder of a session stands for.
+
+    An anchor gives its base the first name and each variant its form of the name. A person without anchor gives all variants the one name. Others are as
+    they are stored.
+    """
+    p = persons(codes)
+    forms = fn.variants({k: F.col(k) for k in ("title", "first", "last", "middle")}, F.col("full"))
+    rows = [F.struct(F.lit(None).cast("string").alias("variant"), F.col("first").alias("original")), *(F.struct(F.lit(v).alias("variant"), x.alias("original")) for v, x in forms.items())]
+    named = p.select("session_id", "base_id", F.inline(F.array(*rows))).filter("original <> ''")
+    named = named.select("session_id", c.with_variant(F.col("base_id"), F.col("variant")).alias("code"), "original")
+    rest = joined(codes, p.select("session_id", "base_id"), ("session_id", "base_id"), "left_anti")
+    single = F.col("variant").isNull() & F.regexp_extract("base_id", "^[A-Z]+", 0).isin(*PERSON_PREFIXES)
+    variants = F.array(F.lit(None).cast("string"), *map(F.lit, VARIANTS))
+    rest = rest.withColumn("_v", F.explode(F.when(single, variants).otherwise(F.array("variant"))))
+    code = F.when(single, c.with_variant(F.col("base_id"), F.col("_v"))).otherwise(F.col("code"))
+    stored = rest.groupBy("session_id", code.alias("code")).agg(F.min_by("original", F.struct(F.col("_v").isNotNull(), "key")).alias("original"))
+    return named.unionByName(stored)
 
 
 def coded(mentions: DataFrame, codes: DataFrame, keep_year: bool = True) -> DataFrame:
     """Mentions with what stands for them: `code`, and `shown` with a date's year."""
-    out = mentions.drop("type").join(codes.select("session_id", "key", "type", "code", "original"), ["session_id", "key"])
+    out = joined(mentions.drop("type"), codes.select("session_id", "key", "type", "code", "original"), ("session_id", "key"))
     return out.withColumn("shown", c.rendered(F.col("code"), F.col("type"), F.col("text"), keep_year))
 
 
+def _spliced(docs: DataFrame, spans: DataFrame, text: str, name: str, shown: str) -> DataFrame:
+    """`docs` with `name`: the text with each of its spans replaced; spans are gathered by document, so that the text isn't copied for each."""
+    own = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("s", "e", F.col(shown).alias("code")))).alias("_spans"))
+    out = joined(docs, own, ("doc_id",), "left")
+    return out.withColumn(name, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(splice(F.col(text), F.col("_spans")))).drop("_spans")
+
+
 def redact(docs: DataFrame, coded: DataFrame) -> DataFrame:
     """`docs` with `redacted`: each coded mention replaced, by position."""
-    spans = coded.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("s", "e", F.col("shown").alias("code")))).alias("_spans"))
-    out = docs.join(spans, "doc_id", "left")
-    return out.withColumn("redacted", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(splice(F.col("text"), F.col("_spans")))).drop("_spans")
+    return _spliced(docs, coded, "text", "redacted", "shown")
 
 
 def output_offsets(coded: DataFrame) -> DataFrame:
@@ -56,42 +126,60 @@ def placeholders(docs: DataFrame, text: str = "redacted", keys: tuple[str, ...]
     return found.withColumn("code", F.regexp_extract("t", r"\[[^\]]+\]", 0))
 
 
-def restore(docs: DataFrame, codes: DataFrame, overrides: DataFrame | None = None, text: str = "redacted") -> DataFrame:
-    """`docs` with `restored`: placeholders replaced by their session's originals; an override goes before the original, and unknown ones stay."""
-    originals = codes.select("session_id", "code", "original")
+def with_overrides(rows: DataFrame, overrides: DataFrame) -> DataFrame:
+    """A mapping with the user's texts in place of the originals, those for codes that aren't in it included; the greatest of several for a code counts."""
+    own = overrides.groupBy("session_id", "code").agg(F.max("text").alias("_own"))
+    both = joined(rows, own, ("session_id", "code"), "left").withColumn("original", F.coalesce("_own", "original")).drop("_own")
+    return both.unionByName(joined(own, rows.select("session_id", "code"), ("session_id", "code"), "left_anti").withColumnRenamed("_own", "original"))
+
+
+def restore(docs: DataFrame, rows: DataFrame, overrides: DataFrame | None = None, text: str = "redacted", normal_dates: bool = False) -> DataFrame:
+    """`docs` with `restored`: placeholders replaced by what their session's mapping has for them; those unknown or without a text stay.
+
+    An override goes before the original. Dates of the restored text are written as dd/MM/yyyy if `normal_dates`.
+    """
     if overrides is not None:
-        own = overrides.select("session_id", "code", F.col("text").alias("_own"))
-        originals = originals.join(own, ["session_id", "code"], "full").withColumn("original", F.coalesce("_own", "original")).drop("_own")
-    found = placeholders(docs, text).join(originals.filter(F.col("original") != ""), ["session_id", "code"])
-    spans = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("s", "e", F.col("original").alias("code")))).alias("_spans"))
-    out = docs.join(spans, "doc_id", "left")
-    return out.withColumn("restored", F.when(F.col("_spans").isNull(), F.col(text)).otherwise(splice(F.col(text), F.col("_spans")))).drop("_spans")
+        rows = with_overrides(rows, overrides)
+    found = joined(placeholders(docs, text), rows.filter(F.col("original") != ""), ("session_id", "code"))
+    out = _spliced(docs, found, text, "restored", "original")
+    return dates.with_normal_dates(out, "restored", "restored") if normal_dates else out
 
 
 def unknown_placeholders(docs: DataFrame, codes: DataFrame, text: str) -> DataFrame:
     """Placeholders of a text that its session has no code for."""
-    return placeholders(docs, text).select("session_id", "doc_id", "code").distinct().join(codes.select("session_id", "code"), ["session_id", "code"], "left_anti")
+    found = placeholders(docs, text).select("session_id", "doc_id", "code").distinct()
+    return joined(found, codes.select("session_id", "code"), ("session_id", "code"), "left_anti")
 
 
 def missing_placeholders(coded: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """Codes of a document that a text of it no longer has."""
-    return coded.select("session_id", "doc_id", "code").distinct().join(placeholders(docs, text).select("doc_id", "code").distinct(), ["doc_id", "code"], "left_anti")
+    own = coded.select("session_id", "doc_id", "code").distinct()
+    return joined(own, placeholders(docs, text).select("doc_id", "code").distinct(), ("doc_id", "code"), "left_anti")
 
 
 def fix_partial_leaks(docs: DataFrame, codes: DataFrame, text: str, source: str = "text") -> DataFrame:
     """`docs` with `fixed`: letters that follow a code go, where the original with them occurs in the source."""
-    leaks = docs.select("session_id", "doc_id", F.col(source).alias("_source"), F.explode(scan(F.col(text), r"\[[A-Z_]+\][a-zA-Z]+")).alias("p")).select("session_id", "doc_id", "_source", "p.*")
+    leaks = docs.select("session_id", "doc_id", F.explode(scan(F.col(text), r"\[[A-Z_]+\][a-zA-Z]+")).alias("p")).select("session_id", "doc_id", "p.*")
     leaks = leaks.withColumn("code", F.regexp_extract("t", r"^\[[A-Z_]+\]", 0)).withColumn("_tail", F.regexp_extract("t", r"\]([a-zA-Z]+)$", 1))
-    real = leaks.join(codes.select("session_id", "code", "original"), ["session_id", "code"]).filter(F.contains(F.lower("_source"), F.lower(F.concat("original", "_tail"))))
-    spans = real.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("s", "e", "code"))).alias("_spans"))
-    out = docs.join(spans, "doc_id", "left")
-    return out.withColumn("fixed", F.when(F.col("_spans").isNull(), F.col(text)).otherwise(splice(F.col(text), F.col("_spans")))).drop("_spans")
+    known = joined(leaks, codes.groupBy("session_id", "code").agg(F.collect_set(F.lower("original")).alias("_names")), ("session_id", "code"))
+    own = known.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("s", "e", "code", "_names", "_tail"))).alias("_leaks"))
+    out = joined(docs, own, ("doc_id",), "left")
+    low = F.lower(F.col(source))
+    real = F.filter("_leaks", lambda x: F.exists(x["_names"], lambda n: F.contains(low, F.concat(n, F.lower(x["_tail"])))))
+    spans = F.transform(real, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["code"].alias("code")))
+    out = out.withColumn("_spans", spans)
+    return out.withColumn("fixed", F.when(F.col("_spans").isNull(), F.col(text)).otherwise(splice(F.col(text), F.col("_spans")))).drop("_leaks", "_spans")
+
 
+def redact_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep_year: bool = True, **options) -> tuple[DataFrame, DataFrame]:
+    """Redacted documents (session_id, doc_id, doc_seq, text, redacted, n_entities) and their sessions' codes: detect, resolve, number, replace.
 
-def redact_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep_year: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Redacted documents (session_id, doc_id, doc_seq, text, redacted, n_entities) and their sessions' codes: detect, resolve, number, replace."""
-    mentions = kept_mentions(docs, rules)
-    codes = assign_codes(mentions)
+    Texts are searched once; mentions and codes are written, which are small beside the texts.
+    """
+    mentions = written(kept_mentions(docs, rules, **options), "mentions")
+    codes = written(assign_codes(mentions), "codes")
     own = coded(mentions, codes, keep_year)
-    out = redact(docs, own).join(merged_by_text(mentions).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_entities")), "doc_id", "left")
-    return out.withColumn("n_entities", F.coalesce("n_entities", F.lit(0))), codes
+    spans = own.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("s", "e", F.col("shown").alias("code")))).alias("_spans"), F.countDistinct("key").alias("n_entities"))
+    out = joined(docs, spans, ("doc_id",), "left").withColumn("n_entities", F.coalesce("n_entities", F.lit(0)))
+    out = out.withColumn("redacted", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(splice(F.col("text"), F.col("_spans"))))
+    return out.drop("_spans"), codes

@@ -88,8 +88,8 @@ def inclusion_rule(words: list[str], type: str = "person_other") -> Rule | None:
 
 
 def found_by(rule: Rule, text: Column, exclude: tuple[str, ...] = ()) -> Column:
-    """The rule's mentions in a text, as MENTIONS. `exclude`: the user's excluded words, for names."""
-    spans = scan(text, rule.pattern, rule.group)
+    """The rule's mentions in a scannable text, as MENTIONS. `exclude`: the user's excluded words, for names."""
+    spans = scan(text, rule.pattern, rule.group, clean=True)
     drop = (*rule.drop, *((x.lower() for x in exclude) if rule.rec_ord in (5, 7) else ()))
     if drop:
         spans = F.filter(spans, lambda x: ~F.lower(x["t"]).isin(*drop))

@@ -9,13 +9,13 @@ from sealgrove.functions import words as w
 from sealgrove.operators.recognizers import BY_NAME, RULES, Rule, inclusion_rule, mentions
 from sealgrove.plans.notes import SQL as NOTES
 from sealgrove.plans.notes import notes
-from sealgrove.sources.tables import read_table
+from sealgrove.sources.tables import read_table, spread
 
 INCLUDED = ["came, too", "high street", "Versteeg"]
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _quote(x: str) -> str:

@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sealgrove.functions import codes as c
-from sealgrove.functions.words import PREFIXES
+from sealgrove.functions.names import NAME_TITLES
+from sealgrove.functions.words import PREFIXES, VARIANTS
 from sealgrove.operators import entities as e
 from sealgrove.operators import spans as sp
+from sealgrove.operators.joins import joined
 from sealgrove.operators.recognizers import BY_NAME
 from sealgrove.plans.detection import sql_scan
+from sealgrove.plans.notes import _D, _M, _TWO, _Y, DATE, notes
 from sealgrove.plans.notes import SQL as NOTES
-from sealgrove.plans.notes import notes
-from sealgrove.sources.tables import read_table
+from sealgrove.sources.tables import read_table, spread, written
 
 RULES = tuple(BY_NAME[n] for n in "email phone_mobile phone_landline phone_international id_nhi date_slash date_iso date_month_day date_day_month known_name relation_name title_name numbers_joined".split())
 KEYS = "session_id, doc_id, doc_seq"
@@ -36,16 +38,58 @@ def _letters_sql(n: str) -> str:
 
 
 _PREFIX = "case type " + " ".join(f"when '{k}' then '{v}'" for k, v in PREFIXES.items()) + " end"
-_CODES = f"""firsts as (select session_id, key, min({{'d': doc_seq, 'l': case when type like 'person%' and contains(key, ' ') then 0 else 1 end, 's': s, 't': type, 'o': text}}) as f from kept group by session_id, key),
-    numbered as (select session_id, key, f.o as original, f.t as type, row_number() over (partition by session_id, f.t order by f.d, f.l, f.s, key) - 1 as n from firsts),
-    codes as (select session_id, key, original, type, '[' || {_PREFIX} || '_' || {_letters_sql('n')} || ']' as code from numbered),
-    coded as (select k.session_id, k.doc_id, k.s, k.e, k.text, k.key, c.type, c.code, c.original,
+_TITLES = ", ".join(f"'{t}'" for t in NAME_TITLES)
+
+
+def _words_sql(x: str) -> str:
+    return f"list_filter(string_split({x}, ' '), lambda w: w <> '')"
+
+
+def _stripped_sql(x: str) -> str:
+    return f"case when lower({_words_sql(x)}[1]) in ({_TITLES}) then array_to_string(list_slice({_words_sql(x)}, 2, 100000), ' ') else {x} end"
+
+
+#: A person's name `o` taken apart, as columns complete, title, first, last, middle.
+_PERSON = f"""{_stripped_sql('o')} as complete, case when lower({_words_sql('o')}[1]) in ({_TITLES}) then replace({_words_sql('o')}[1], '.', '') end as title,
+      {_words_sql(_stripped_sql('o'))} as w"""
+_PARTS = "w[1] as first, w[-1] as last, case when len(w) > 2 then array_to_string(list_slice(w, 2, -2), ' ') end as middle"
+_FIRST_LAST = "case when last = first then first else first || ' ' || last end"
+_FORMS = {
+    "FULL": "complete", "FIRST_LAST": _FIRST_LAST, "FIRST": "first", "LAST": "last", "MIDDLE": "coalesce(middle, first)",
+    "FORMAL": "coalesce(title, 'Mr') || ' ' || last", "FIRST_MID": "first || coalesce(' ' || middle, '')",
+}
+_LOW = f"lower({_stripped_sql('k.o')})"
+_IS = f"""case when {_LOW} = lower(complete) then 'FULL' when middle is not null and {_LOW} = lower(first || ' ' || middle) then 'FIRST_MID' when {_LOW} = lower({_FIRST_LAST}) then 'FIRST_LAST'
+      when lower({_words_sql('k.o')}[1]) in ({_TITLES}) and {_LOW} = lower(last) then 'FORMAL' when {_LOW} = lower(first) then 'FIRST' when {_LOW} = lower(middle) then 'MIDDLE'
+      when {_LOW} = lower(last) then 'LAST' when length({_LOW}) >= 3 and (starts_with(lower(first), {_LOW}) or starts_with({_LOW}, lower(first))) then 'FIRST' else a.variant end"""
+_MAPPING = " union all ".join(f"select session_id, '[' || base_id || '_{v}]' as code, {x} as original from people" for v, x in _FORMS.items())
+_ALIASES = ", ".join(f"'_{v}'" for v in VARIANTS)
+#: Codes of keys: anchors and whatever isn't a part of an anchor are numbered in the order of documents, anchors before others; parts take their anchor's number.
+_CODES = f"""firsts as (select session_id, key, min({{'d': doc_seq, 's': s, 'r': rec_ord, 'p': pat_ord, 't': type, 'o': text}}) as f from kept group by session_id, key),
+    keys as (select session_id, key, f.d as d, f.s as s, f.r as r, f.p as p, f.t as type, f.o as o, {_words_sql(_stripped_sql('f.o'))} as w, f.t like 'person%' as person from firsts),
+    ranked as (select *, person and len(w) >= 2 as long, row_number() over (partition by session_id, person and len(w) >= 2, lower(array_to_string(w, ' ')) order by d, s, r, p, key) as nth from keys),
+    named as (select *, long and nth = 1 as anchor from ranked),
+    met as (select k.session_id, k.key, a.key as parent, row_number() over (partition by k.session_id, k.key order by length(a.key) desc, a.d, a.s, a.r, a.p) as best
+      from named k join named a on k.session_id = a.session_id and a.anchor and not k.anchor and k.person and starts_with(a.key, k.key || ' ') and a.d <= k.d),
+    own as (select *, row_number() over (partition by session_id, type order by d, not anchor, s, r, p, key) - 1 as n from named k
+      where not exists (from met m where m.session_id = k.session_id and m.key = k.key)),
+    numbered as (select *, {_PREFIX} || '_' || {_letters_sql('n')} as base_id, case when anchor then case when len(w) > 2 then 'FULL' else 'FIRST_LAST' end end as variant from own),
+    anchors as (select session_id, key, base_id, variant, anchor, {_PERSON} from numbered where anchor),
+    people as (select * exclude (w), {_PARTS} from anchors),
+    children as (select k.session_id, k.key, k.o, k.type, a.base_id, {_IS} as variant from met m join named k using (session_id, key) join people a on a.session_id = m.session_id and a.key = m.parent where best = 1),
+    codes as (select session_id, key, o as original, type, '[' || base_id || coalesce('_' || variant, '') || ']' as code, base_id, variant, anchor from
+      (select session_id, key, o, type, base_id, variant, anchor from numbered union all select session_id, key, o, type, base_id, variant, false from children)),
+    maps as (select session_id, '[' || base_id || ']' as code, first as original from people union all {_MAPPING}
+      union all select session_id, code, original from codes k where not anchor and not exists (from people p where p.session_id = k.session_id and p.base_id = k.base_id)
+      union all select session_id, '[' || base_id || unnest([{_ALIASES}]) || ']', original from codes k where type like 'person%' and not anchor and not exists (from people p where p.session_id = k.session_id and p.base_id = k.base_id)),
+    coded as (select k.session_id, k.doc_id, k.s, k.e, k.text, k.key, c.type, c.code, m.original,
       case when c.type = 'date' and regexp_extract(k.text, '\\b(?:19|20)\\d{{2}}\\b') <> '' then c.code || ' ' || regexp_extract(k.text, '\\b(?:19|20)\\d{{2}}\\b') else c.code end as shown
-      from kept k join codes c on k.session_id = c.session_id and k.key = c.key)"""
-_REDACTED = """pieces as (select *, substr(t.text, coalesce(lag(c.e) over (partition by c.doc_id order by c.s), 0) + 1, c.s - coalesce(lag(c.e) over (partition by c.doc_id order by c.s), 0)) as gap,
-      t.text as whole from coded c join {table} t using (doc_id)),
-    joined as (select doc_id, string_agg(gap || shown, '' order by s) || substr(any_value(whole), max(e) + 1) as redacted, string_agg(gap || original, '' order by s) || substr(any_value(whole), max(e) + 1) as restored from pieces group by doc_id),
-    redacted as (select t.session_id, t.doc_id, t.text, coalesce(j.redacted, t.text) as redacted, coalesce(j.restored, t.text) as restored from {table} t left join joined j using (doc_id))"""
+      from kept k join codes c on k.session_id = c.session_id and k.key = c.key join maps m on m.session_id = c.session_id and m.code = c.code)"""
+_GAP = "coalesce(lag(c.e) over (partition by c.doc_id order by c.s), 0)"
+_REDACTED = f"""pieces as (select *, substr(t.text, {_GAP} + 1, c.s - {_GAP}) as gap, t.text as whole from coded c join {{table}} t using (doc_id)),
+    joined as (select doc_id, string_agg(gap || shown, '' order by s) || substr(any_value(whole), max(e) + 1) as redacted,
+      string_agg(gap || original, '' order by s) || substr(any_value(whole), max(e) + 1) as restored from pieces group by doc_id),
+    redacted as (select t.session_id, t.doc_id, t.text, coalesce(j.redacted, t.text) as redacted, coalesce(j.restored, t.text) as restored from {{table}} t left join joined j using (doc_id))"""
 ON_NOTES = f"with notes as ({NOTES}), {_kept_sql('notes', RULES)}, {_CODES}, {_REDACTED.format(table='notes')} "
 DOCS = "select doc_id, source as session_id, doc_id as doc_seq, text from documents"
 DOC_RULES = (BY_NAME["email"], BY_NAME["numbers_joined"])
@@ -53,22 +97,25 @@ ON_DOCUMENTS = f"with docs as ({DOCS}), {_kept_sql('docs', DOC_RULES)}, {_CODES}
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("session_id"), F.col("doc_id").alias("doc_seq"), "text")
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("session_id"), F.col("doc_id").alias("doc_seq"), "text"))
 
 
-def _kept(spark, sf_dir):
+def _found(spark, sf_dir):
     return e.kept_mentions(notes(spark, sf_dir), RULES)
 
 
 def _coded(spark, sf_dir):
-    kept = _kept(spark, sf_dir)
-    codes = e.assign_codes(kept)
+    """Mentions are written once, as several branches of a query read them."""
+    kept = written(_found(spark, sf_dir), "mentions")
+    codes = written(e.assign_codes(kept), "codes")
     return e.coded(kept, codes), codes
 
 
 def _redacted(spark, sf_dir):
+    """Redacted notes, their coded mentions and the codes; texts are redacted once."""
     own, codes = _coded(spark, sf_dir)
-    return e.redact(notes(spark, sf_dir), own), own, codes
+    red = e.redact(notes(spark, sf_dir), own).select("session_id", "doc_id", "text", "redacted")
+    return written(red, "redacted"), own, codes
 
 
 def redact_documents(spark, sf_dir):
@@ -78,20 +125,30 @@ def redact_documents(spark, sf_dir):
 
 
 def overlap_greedy(spark, sf_dir):
-    return _kept(spark, sf_dir).select("doc_id", "s", "e", "text", "type", "confidence")
+    return _found(spark, sf_dir).select("doc_id", "s", "e", "text", "type", "confidence")
 
 
 def dedup_by_text(spark, sf_dir):
-    return sp.merged_by_text(_kept(spark, sf_dir)).select("doc_id", "key", "original", "type", "confidence", "first_start", F.col("n_positions").cast("long").alias("n_positions"))
+    return sp.merged_by_text(_found(spark, sf_dir)).select("doc_id", "key", "original", "type", "confidence", "first_start", F.col("n_positions").cast("long").alias("n_positions"))
 
 
 def code_assignment(spark, sf_dir):
     return _coded(spark, sf_dir)[1].select("session_id", "key", "original", "type", "code")
 
 
+def variant_codes(spark, sf_dir):
+    """Persons of sessions with the person they belong to and their variant."""
+    return _coded(spark, sf_dir)[1].filter("type like 'person%'").select("session_id", "key", "code", "base_id", F.coalesce("variant", F.lit("-")).alias("variant"), "anchor")
+
+
+def mapping_rows(spark, sf_dir):
+    """What each code of a session stands for, all variants of persons included."""
+    return e.mapping(_coded(spark, sf_dir)[1])
+
+
 def type_counts(spark, sf_dir):
     """Entities, replacements and mean confidence, to six digits downward, by session and type. Confidences are summed in hundredths, so that no order of rows matters."""
-    kept = _kept(spark, sf_dir).withColumn("_c", F.round(F.col("confidence") * 100).cast("long"))
+    kept = _found(spark, sf_dir).withColumn("_c", F.round(F.col("confidence") * 100).cast("long"))
     out = kept.groupBy("session_id", "type").agg(F.countDistinct("key").alias("entities"), F.count(F.lit(1)).alias("replacements"), F.sum("_c").alias("_c"))
     return out.withColumn("mean_confidence", F.expr("(_c * 10000) div replacements") / F.lit(1e6)).drop("_c")
 
@@ -106,13 +163,21 @@ def output_offsets(spark, sf_dir):
 
 def restore_roundtrip(spark, sf_dir):
     red, _, codes = _redacted(spark, sf_dir)
-    return e.restore(red, codes).select("doc_id", "restored")
+    return e.restore(red, e.mapping(codes)).select("doc_id", "restored")
+
+
+def restore_with_overrides(spark, sf_dir):
+    """Notes with one placeholder more, restored with texts of the user's for two codes, dates normalised."""
+    red, _, codes = _redacted(spark, sf_dir)
+    own = red.select("session_id").distinct().select("session_id", F.inline(F.expr("array(('[CONTACT_A]', '(withheld)'), ('[PERSON_QQ]', 'nobody'))")).alias("code", "text"))
+    edited = red.withColumn("redacted", F.concat("redacted", F.lit(" [PERSON_QQ] [ID_QQ]")))
+    return e.restore(edited, e.mapping(codes), own, normal_dates=True).select("doc_id", "restored")
 
 
 def restore_preview(spark, sf_dir):
     """Placeholders of each redacted note with their originals and how often they occur."""
     red, _, codes = _redacted(spark, sf_dir)
-    found = e.placeholders(red).join(codes.select("session_id", "code", "original"), ["session_id", "code"])
+    found = joined(e.placeholders(red), e.mapping(codes), ("session_id", "code"))
     return found.groupBy("doc_id", "code", "original").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -152,7 +217,7 @@ def partial_leak_fix(spark, sf_dir):
 
 def position_filter(spark, sf_dir):
     """Spans moved by 20 characters that are still within their note, and what is wrong with the others."""
-    moved = _kept(spark, sf_dir).select("doc_id", (F.col("s") + 20).alias("s"), (F.col("e") + 20).alias("e"), "text")
+    moved = _found(spark, sf_dir).select("doc_id", (F.col("s") + 20).alias("s"), (F.col("e") + 20).alias("e"), "text")
     ok = sp.valid_positions(moved, notes(spark, sf_dir)).select("doc_id", "s", "e", F.lit("ok").alias("issue"))
     return ok.unionByName(sp.position_issues(moved, notes(spark, sf_dir)).filter("issue = 'beyond_end'").select("doc_id", "s", "e", "issue"))
 
@@ -166,7 +231,7 @@ def _all(spark, sf_dir):
     from sealgrove.operators.recognizers import mentions
 
     m = mentions(notes(spark, sf_dir), RULES)
-    return m.withColumn("id", F.col("rec_ord") * 1000000 + F.col("pat_ord") * 100000 + F.col("s"))
+    return written(m.withColumn("id", (F.col("rec_ord") * 100 + F.col("pat_ord")).cast("long") * (1 << 32) + F.col("s")), "all-mentions")
 
 
 def subsumed_spans(spark, sf_dir):
@@ -185,11 +250,11 @@ def index_to_letters(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f for f in (
-        redact_documents, overlap_greedy, dedup_by_text, code_assignment, type_counts, redact_by_position, output_offsets, restore_roundtrip, restore_preview, extract_codes,
+        redact_documents, overlap_greedy, dedup_by_text, code_assignment, variant_codes, mapping_rows, restore_with_overrides, type_counts, redact_by_position, output_offsets, restore_roundtrip, restore_preview, extract_codes,
         replacement_stats, unknown_placeholders, missing_placeholders, partial_leak_fix, position_filter, overlap_pairs, subsumed_spans, coverage_anti_join, index_to_letters)
 }
 _PLACEHOLDERS = "unnest(list_distinct(regexp_extract_all({x}, '\\[[A-Z]+_[A-Z]+(?:_[A-Z]+)*\\]')))"
-_ALL = f"with notes as ({NOTES}), m as (select *, rec_ord * 1000000 + pat_ord * 100000 + s as id from ({' union all '.join(sql_scan('notes', r) for r in RULES)}))"
+_ALL = f"with notes as ({NOTES}), m as materialized (select *, (rec_ord * 100 + pat_ord)::bigint * 4294967296 + s as id from ({' union all '.join(sql_scan('notes', r) for r in RULES)}))"
 _COVER = "(least(f.e, x.e) - greatest(f.s, x.s)) / least(f.e - f.s, x.e - x.s)"
 ORACLES = {
     "redact_documents": ON_DOCUMENTS + "select r.doc_id, coalesce(n, 0)::bigint as n_entities, redacted from redacted r left join (select doc_id, count(distinct key) as n from kept group by 1) using (doc_id)",
@@ -197,7 +262,12 @@ ORACLES = {
     "dedup_by_text": ON_NOTES + """select doc_id, key, arg_min(text, s) as original,
       case when arg_min(type, s) = 'location' then coalesce(arg_min(type, s) filter (where type like 'person%'), 'location') else arg_min(type, s) end as type,
       max(confidence) as confidence, min(s) as first_start, count(*) as n_positions from kept group by doc_id, key""",
-    "code_assignment": ON_NOTES + "select * from codes",
+    "code_assignment": ON_NOTES + "select session_id, key, original, type, code from codes",
+    "variant_codes": ON_NOTES + "select session_id, key, code, base_id, coalesce(variant, '-') as variant, anchor from codes where type like 'person%'",
+    "mapping_rows": ON_NOTES + "select * from maps",
+    "restore_with_overrides": ON_NOTES + f"""select doc_id, case when o_orderkey % 6 = 1 then x else replace(x, {DATE}, {_TWO(_D)} || '/' || {_TWO(_M)} || '/' || {_Y}) end as restored
+      from (select doc_id, string_agg(gap || case when code = '[CONTACT_A]' then '(withheld)' else original end, '' order by s) || substr(any_value(whole), max(e) + 1) || ' nobody [ID_QQ]' as x
+        from pieces group by doc_id) join orders on o_orderkey = doc_id""",
     "type_counts": ON_NOTES + "select session_id, type, count(distinct key) as entities, count(*) as replacements, (sum(round(confidence * 100)::bigint)::bigint * 10000 // count(*))::double / 1e6 as mean_confidence from kept group by 1, 2",
     "redact_by_position": ON_NOTES + "select doc_id, redacted from redacted",
     "output_offsets": ON_NOTES + "select doc_id, shown, (s + d)::int as out_s, (s + d + length(shown))::int as out_e from (select *, coalesce(sum(length(shown) - (e - s)) over (partition by doc_id order by s rows between unbounded preceding and 1 preceding), 0) as d from coded)",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sealgrove.sources.tables import read_table
+from sealgrove.sources.tables import read_table, spread
 
 FIRST = "Sean,Maria,Ronald,Jane,David,Sofia,Rachel,Tom,Aroha,Wiremu,Hemi,Olga,Peter,Grace,Mark,Ana,Lukas,Emma,Noah,Ines"
 LAST = "Versteegh,Lintern,Smith,Wilson,Jones,Parata,Ngata,Brown,Taylor,Walker,Young,King,Wright,Scott,Green,Baker,Adams"
@@ -33,6 +33,8 @@ TEXT = " || ".join([
     f"case when o_orderkey % 4 = 1 then ' Lives at ' || cast(o_orderkey % 200 + 1 as string) || ' High Street, ' || {_pick(PLACES, 'o_custkey')} || '.' else '' end",
     f"case when o_orderkey % 2 = 0 then ' The ' || {_pick(RELATIONS, 'o_orderkey')} || ' ' || {_pick(FIRST, 'o_orderkey')} || ' came, too.' else '' end",
     f"case when o_orderkey % 8 = 0 then ' Mail ' || lower({_pick(FIRST, 'o_custkey')}) || '.' || lower({_pick(LAST, 'o_custkey')}) || '@example.co.nz now.' else '' end",
+    f"case when o_orderkey % 3 = 1 then ' Prof ' || {NAME} || ' signed.' else '' end",
+    f"case when o_orderkey % 6 = 2 then ' Dr ' || {_pick(FIRST, 'o_custkey')} || ' Jo ' || {_pick(LAST, 'o_custkey')} || ' read it.' else '' end",
     "case when o_orderkey % 9 = 0 then ' Seen at Middlemore Hospital.' else '' end", "case when o_orderkey % 10 = 0 then ' Referred to Auckland DHB.' else '' end",
     "case when o_orderkey % 11 = 0 then ' CHris and ITem agreed.' else '' end", f"case when o_orderkey % 12 = 0 then ' ACC 12' || {NUMBER} || ', MRN: X' || {NUMBER} || ', CR-12' || {NUMBER} || '.' else '' end",
     f"case when o_orderkey % 7 = 0 then ' {{first}} rang; Versteeg and Lintern too.' else '' end".replace("{first}", "Sean"), f"case when o_orderkey % 13 = 0 then ' Weighs 82 of 3/4, 12 34 56 and 1,250.' else '' end",
@@ -45,4 +47,4 @@ SQL = "select " + ", ".join(f"{e} as {c}" for c, e in COLUMNS.items()) + " from
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, session_id, doc_seq, person, text), a note for each order."""
-    return read_table(spark, sf_dir, "orders").selectExpr(*(f"{e} as {c}" for c, e in COLUMNS.items()))
+    return spread(read_table(spark, sf_dir, "orders")).selectExpr(*(f"{e} as {c}" for c, e in COLUMNS.items()))

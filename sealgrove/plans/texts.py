@@ -15,7 +15,7 @@ from sealgrove.plans.detection import _quote, sql_scan
 from sealgrove.plans.entities import RULES
 from sealgrove.plans.notes import _D, _M, _TWO, _Y, DATE, notes
 from sealgrove.plans.notes import SQL as NOTES
-from sealgrove.sources.tables import read_table
+from sealgrove.sources.tables import read_table, spread
 
 _WITH = f"with notes as ({NOTES})"
 NAME = "case doc_id % 4 when 0 then 'Mr ' || person when 1 then split_part(person, ' ', 1) || ' Michael ' || split_part(person, ' ', 2) when 2 then split_part(person, ' ', 2) else 'Prof. ' || person end"
@@ -23,7 +23,7 @@ ALIAS = "case doc_id % 9 when 0 then f || ' Michael ' || l when 1 then f || ' '
 
 
 def _documents(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _names(spark, sf_dir):
