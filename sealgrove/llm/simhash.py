@@ -7,15 +7,17 @@ bits from it in some part i. A dynamic programme picks the thresholds of least c
 the candidates that histograms of half parts let expect: parts with a popular value are skipped or matched exactly, rare ones
 searched more widely. The looked-up keys meet the parts of all fingerprints in a join, whose condition verifies the distance.
 
-Only keys that two fingerprints share go on. There, each fingerprint is first compared with the smallest one that has the key. The
-components of these links are labels; in the join after that only fingerprints of different labels meet, so a group of m near
-copies costs links in proportion to m instead of all its pairs.
+Before that, each fingerprint is compared with the smallest one of each of its parts' values. The components of these links are labels;
+in the join after that only fingerprints of different labels make pairs, so a group of m near copies costs links in proportion to m
+instead of all its pairs.
 
 Two ways to say what is near: by distance alone (`similarity` None, one lane, all pairs within max_distance), or by the Jaccard
 similarity of the texts' distinct shingles (the default, 4 / 5). Then fingerprints have many lanes, of which the last only checks: its
-distance must be within max_distance, which a pair of that similarity misses once in ten thousand. Candidates are verified by
-the exact similarity of their texts, from 64-bit hashes of shingles. With 32 lanes and 96 parts a pair is looked up for certain within
-95 of 2048 bits; of pairs farther apart those are found that agree in a part (README has the measured share at 0.8).
+distance must be within max_distance, which a pair of that similarity misses less than once in a thousand. Candidates are verified by
+the exact similarity of their texts, from 64-bit hashes of shingles, those first left out whose lanes differ in over APART of all bits. With
+12 lanes and 48 parts of 16 bits a pair is looked up for certain within 47 of 768 bits; of pairs farther apart those are found that agree in
+a part (README has the measured share at 0.8). Parts of 16 bits suit tens of millions of texts; for more, as comparisons grow with the square
+of their number over 2 ** 16, wider parts and more lanes: 32 lanes of 3 parts find as many.
 
 Texts: A-Z are lower-cased; words are runs of anything but ASCII white space; shingles of `words` words, repeats included unless
 similarity is asked for. Fewer words than that are one shingle, and no words (null and empty texts too) give fingerprint zero,
@@ -49,7 +51,11 @@ CANDIDATE_COST = 0.005
 #: Parts are searched up to this many differing bits.
 MOST_FLIPS = 3
 #: Similarity of 4 / 5, and lanes, parts of a lane, guaranteed bits and distance in the checking lane that go with it.
-SIMILARITY, LANES, PARTS, GUARANTEED, CHECKED = (4, 5), 32, 3, 95, 21
+SIMILARITY, LANES, PARTS, GUARANTEED, CHECKED = (4, 5), 12, 4, 47, 19
+#: Before texts are compared: the share of all lanes' bits that may differ. At that similarity it is 0.15, for unlike texts 0.5.
+APART = 0.22
+#: Ids of texts to look at that are broadcast, 24 bytes each.
+BROADCAST_IDS = 2_000_000
 #: Shingles that are hashed at once, and counters of a byte.
 AT_ONCE, BYTE = 1 << 16, 255
 
@@ -121,11 +127,11 @@ def lanes_of(lanes: int) -> list[str]:
     return [f"_w{k}" for k in range(lanes)]
 
 
-def fingerprints(df: DataFrame, text: str = "text", words: int = 5, lanes: int = 1, distinct: bool = False, keep_text: bool = False) -> DataFrame:
-    """`df` with its texts' fingerprints in the columns lanes_of(lanes), with or without the text."""
+def fingerprints(df: DataFrame, text: str = "text", words: int = 5, lanes: int = 1, distinct: bool = False) -> DataFrame:
+    """`df` with its texts' fingerprints in the columns lanes_of(lanes), without the text."""
     bounded_batches(df.sparkSession)
     at = df.columns.index(text)
-    rest = [i for i in range(len(df.columns)) if keep_text or i != at]
+    rest = [i for i in range(len(df.columns)) if i != at]
     fields = [df.schema.fields[i] for i in rest] + [StructField(c, LongType()) for c in lanes_of(lanes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,9 +234,9 @@ def _sums(df: DataFrame, f, size: int) -> np.ndarray:
 
 
 def keyed(prints: DataFrame, lanes: int, parts: int, guaranteed: int) -> DataFrame:
-    """(id, part, value, kind, shown columns): the parts of distinct fingerprints and the keys they look up.
+    """(id, shown, keys, kinds): for each distinct fingerprint the keys it is found by and those it looks up, a key being a part and a value.
 
-    kind 0: a part's value that the fingerprint is found by; 1: one that it looks up, too; 2: a value that it looks up only.
+    kind 0: the part's value that the fingerprint is found by; 1: one that it looks up, too; 2: a value that it looks up only.
     """
     names = lanes_of(lanes)
     n = prints.count()
@@ -280,15 +286,31 @@ def keyed(prints: DataFrame, lanes: int, parts: int, guaranteed: int) -> DataFra
             yield pd.DataFrame({"id": frame["id"], "shown": frame["shown"], "keys": np.split(key[order], cut), "kinds": np.split(kind[order], cut)})
 
     made = prints.select("id", "shown", *names).mapInPandas(run, "id long, shown long, keys array<long>, kinds array<tinyint>")
-    return written(made, "simhash-keys").select("id", "shown", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("kinds").alias("kind"))))
+    return written(made, "simhash-keys")
+
+
+def reached(df: DataFrame, asked: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of a large table with a few of its rows' keys: these are broadcast up to BROADCAST_IDS rows, beyond that both are shuffled."""
+    return df.join(F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked, on, how)
+
+
+def _text_ids(text: str) -> list:
+    """128 bits of hash that tell texts apart."""
+    return [F.xxhash64(text).alias("_t0"), F.xxhash64(F.lit(1), text).alias("_t1")]
 
 
 def _similar(pairs: DataFrame, prints: DataFrame, texts: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) of ids whose texts have the similarity. A text is read for each id that is in a pair, from its print's first row."""
+    """The pairs (a, b) of ids whose texts have the similarity. `texts` (_text) is searched for the text of each id that is in a pair."""
     part, whole = similarity
+    names = [c for c in prints.columns if c.startswith("_w")]
+    lanes = lambda side: prints.select(F.col("id").alias(side), F.array(*names).alias(f"_{side}"))
+    differ = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    pairs = pairs.join(lanes("a"), "a").join(lanes("b"), "b").filter(differ <= int(APART * 64 * len(names))).select("a", "b")
+    pairs = written(pairs, "simhash-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    asked = prints.select("id", "rep").join(ids, "id")
-    found = written(texts.select("_row", "_text").join(asked, F.col("_row") == F.col("rep")).select("id", "_text"), "simhash-texts")
+    asked = written(prints.join(ids, "id").select("id", "rep.*"), "simhash-asked")
+    found = reached(texts.select("_text", *_text_ids("_text")), asked, ["_t0", "_t1"]).groupBy("id").agg(F.any_value("_text").alias("_text"))
+    found = written(found, "simhash-texts")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,7 +326,8 @@ def _similar(pairs: DataFrame, prints: DataFrame, texts: DataFrame, words: int,
 
     both = pairs.join(found.select(F.col("id").alias("a"), F.col("_text").alias("x")), "a").join(found.select(F.col("id").alias("b"), F.col("_text").alias("y")), "b")
     out = written(both.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"), "simhash-similar")
-    remove(pairs.sparkSession, found)
+    for table in (found, asked, pairs):
+        remove(pairs.sparkSession, table)
     return out
 
 
@@ -317,22 +340,23 @@ def links(prints: DataFrame, lanes: int, max_distance: int, parts: int, guarante
     spark = prints.sparkSession
     verify = verify or (lambda pairs: pairs)
     near = lambda x, y: f"bit_count({x}.shown ^ {y}.shown) <= {max_distance}"
-    rows = keyed(prints, lanes, parts, guaranteed)
-    both = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
-    shared = written(rows.join(both, "key"), "simhash-shared")  # keys of one fingerprint find nothing
-    least = shared.filter("kind < 2").groupBy("key").agg(F.min(F.struct("id", "shown")).alias("l")).select("key", "l.*")
-    star = shared.alias("a").join(least.alias("b"), F.expr(f"a.key = b.key and a.id > b.id and {near('a', 'b')}"))
+    keys = keyed(prints, lanes, parts, guaranteed)
+
+    def rows(df: DataFrame, kinds: str) -> DataFrame:
+        rest = [c for c in df.columns if c not in ("keys", "kinds")]
+        return df.select(*rest, F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("kinds").alias("kind")))).filter(kinds).drop("kind")
+
+    stored = rows(keys, "kind < 2")
+    least = stored.groupBy("key").agg(F.min(F.struct("id", "shown")).alias("l")).select("key", "l.*")
+    star = stored.alias("a").join(least.alias("b"), F.expr(f"a.key = b.key and a.id > b.id and {near('a', 'b')}"))
     star = written(verify(written(star.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "simhash-near")), "simhash-stars")
     labels = connected(star, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("label"))
-    labelled = written(shared.join(labels, "id", "left").select("key", "id", "shown", "kind", F.coalesce("label", "id").alias("label")), "simhash-labelled")
-    remove(spark, shared)
-    # A key whose fingerprints all have one label has no pair left.
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-    mixed = written(labelled.join(mixed, "key"), "simhash-mixed")
-    remove(spark, labelled)
-    a, b = mixed.filter("kind > 0").alias("a"), mixed.filter("kind < 2").alias("b")
+    labelled = written(keys.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "simhash-labelled")
+    remove(spark, keys)
+    a, b = rows(labelled, "kind > 0").alias("a"), rows(labelled, "kind < 2").alias("b")
     far = a.join(b, F.expr(f"a.key = b.key and a.id < b.id and a.label <> b.label and {near('a', 'b')}"))
     far = written(far.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "simhash-far")
+    remove(spark, labelled)
     return star.union(verify(far))
 
 
@@ -346,17 +370,22 @@ def near_duplicates(
     Each fingerprint asks for those of greater id only; as any pair within reach of the thresholds is within reach of either's keys, none is lost.
     """
     names, exact = lanes_of(lanes + (similarity is not None)), similarity is not None
-    fields = [F.col(doc_id).cast("long").alias("_doc"), *extra, F.col(text).alias("_text"), *([F.monotonically_increasing_id().alias("_row")] if exact else [])]
-    slim = written(fingerprints(df.select(*fields), "_text", words, len(names), distinct=exact, keep_text=exact), "simhash-docs")
-    own = slim.groupBy(*names).agg(F.min("_doc").alias("least"), *([F.min("_row").alias("rep")] if exact else []))
+    texts = df.select(F.col(text).alias("_text"))
+    fields = [F.col(doc_id).cast("long").alias("_doc"), *extra, F.col(text).alias("_text"), *(_text_ids(text) if exact else [])]
+    made = fingerprints(df.select(*fields), "_text", words, len(names), distinct=exact)
+    # What tells fingerprints apart: their bits, or of many lanes 128 bits of hash.
+    by = ["_p0", "_p1"] if len(names) > 2 else names
+    made = made.withColumns({"_p0": F.xxhash64(*names), "_p1": F.xxhash64(F.lit(1), *reversed(names))}) if by != names else made
+    slim = written(made, "simhash-docs")
+    own = slim.groupBy(*by).agg(F.min("_doc").alias("least"), *(F.any_value(c).alias(c) for c in names if by != names), *([F.min(F.struct("_t0", "_t1")).alias("rep")] if exact else []))
     prints = written(own.withColumns({"id": F.monotonically_increasing_id(), "shown": F.col(names[-1])}), "simhash-prints")
-    verify = (lambda pairs: _similar(pairs, prints, slim, words, similarity)) if exact else None
+    verify = (lambda pairs: _similar(pairs, prints, texts, words, similarity)) if exact else None
     found = written(links(prints, lanes, max_distance, parts, guaranteed, verify).distinct(), "simhash-links")
     reached = connected(found, "a", "b").withColumnRenamed("node", "id")
-    named = prints.select(*names, "id", "least").join(reached, "id", "left").select(*names, "least", F.coalesce("component", "id").alias("group_no"))
+    named = prints.select(*by, "id", "least").join(reached, "id", "left").select(*by, "least", F.coalesce("component", "id").alias("group_no"))
     named = written(named, "simhash-groups")
     ids = named.groupBy("group_no").agg(F.min("least").alias("component_id"))
-    return slim.drop("_text", "_row").join(named.drop("least").join(ids, "group_no"), names).withColumnRenamed("_doc", doc_id)
+    return slim.drop("_t0", "_t1").join(named.drop("least").join(ids, "group_no"), by).withColumnRenamed("_doc", doc_id)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
