@@ -1,15 +1,16 @@
 """Exact top-k search by distributed histogram selection.
 
-All candidates are scored against all queries, in blocks. Each round counts scores in a global histogram for each query and
-narrows the query's interval to the bin that holds its k-th largest score; after a few rounds the interval is one score wide,
-and this is the k-th value. A last pass keeps scores above it and, of those equal to it, the smallest ids that are still needed.
+All candidates are scored against all queries once, in blocks. A pair of blocks keeps, for each query, the scores that can still be among
+the k best: its own k best, of equal ones those of the smallest ids. Over these scores, each round counts them in a global histogram for each
+query and narrows the query's interval to the bin that holds its k-th largest score; after a few rounds the interval is one score wide,
+and this is the k-th value. At last, scores above it are kept and, of those equal to it, the smallest ids that are still needed.
 
-A block needs to report no bin below its own k-th score: the global k-th value is never smaller. So a pair of blocks reports at
-most k bins for a query, and each round shuffles counts, not scores.
+Vectors are shuffled once, not in the rounds: these count rows of (query, candidate, score), at most k for a pair of a query and a block. Blocks meet by
+numbers that are hashes of theirs, as many as there are blocks; the driver learns how many there are, and nothing of their rows.
 
-Edge cases: vectors that are null, empty or hold null or non-finite components take no part, nor do rows without an id; shorter vectors count as
-filled up with zeros; rows of an equal id are candidates each, and a query of that id leaves all of them out; if several rows
-have a query's id, the smallest vector asks. With fewer than k candidates all are returned.
+Edge cases: vectors that are null or hold null or non-finite components take no part, nor do rows without an id; an empty vector scores 0 with
+all, and shorter vectors count as filled up with zeros; rows of an equal id are candidates each, and a query of that id leaves all of
+them out; if several rows have a query's id, the smallest vector asks. With fewer than k candidates all are returned.
 """
 
 from __future__ import annotations
@@ -27,14 +28,14 @@ from sealgrove.sources.tables import read_table, written
 QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 4096
 #: A round divides an interval into 2 ** 10 bins.
 BIN_BITS = 10
-PACKED = "block long, ids binary, vectors binary, kind string, dim int"
+PACKED = "block long, ids binary, vectors binary, kind string, dim int, norm double"
 
 
 def quantised(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 256) -> DataFrame:
     """(id, v) of the rows that take part, each component x as floor(scale * x)."""
     x = F.col(embedding)
     finite = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
-    out = vectors.filter(F.col(vec_id).isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.coalesce(finite, F.lit(False)))
+    out = vectors.filter(F.col(vec_id).isNotNull() & x.isNotNull() & F.coalesce(finite, F.lit(False)))
     return out.select(F.col(vec_id).cast("long").alias("id"), F.transform(x, lambda e: F.floor(F.lit(scale) * e.cast("double"))).alias("v"))
 
 
@@ -49,8 +50,10 @@ def _pack(size: int):
             m = np.zeros((len(rows), dim), dtype=np.int64)
             for i, r in enumerate(rows):
                 m[i, : len(r)] = r
-            small = next(t for t in (np.int16, np.int32, np.int64) if m.min() >= np.iinfo(t).min and m.max() <= np.iinfo(t).max)
-            return pd.DataFrame({"block": [number], "ids": [np.array(ids, dtype=np.int64).tobytes()], "vectors": [m.astype(small).tobytes()], "kind": [np.dtype(small).name], "dim": [dim]})
+            small = next(t for t in (np.int16, np.int32, np.int64) if m.min(initial=0) >= np.iinfo(t).min and m.max(initial=0) <= np.iinfo(t).max)
+            norm = float((m.astype(np.float64) ** 2).sum(axis=1).max(initial=0))
+            packed = {"ids": np.array(ids, dtype=np.int64).tobytes(), "vectors": m.astype(small).tobytes(), "kind": np.dtype(small).name, "dim": dim, "norm": norm}
+            return pd.DataFrame({"block": [number]} | {name: [x] for name, x in packed.items()})
 
         for batch in batches:
             for i, v in zip(batch["id"], batch["v"], strict=True):
@@ -66,7 +69,7 @@ def _pack(size: int):
 
 
 def _unpacked(row: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["vectors"], dtype=row["kind"]).reshape(-1, int(row["dim"]))
+    return np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["vectors"], dtype=row["kind"]).reshape(len(row["ids"]) // 8, int(row["dim"]))
 
 
 def _scores(q: pd.Series, c: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -81,102 +84,72 @@ def _scores(q: pd.Series, c: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndar
     return qi, ci, s, qi[:, None] != ci[None, :]
 
 
-def _state(q: pd.Series, qi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The interval's lower end and what is still needed of it, for each query of the block."""
-    known = {int(i): (int(lo), int(n)) for i, lo, n in zip(q["s_ids"], q["s_lo"], q["s_need"], strict=True)}
-    both = np.array([known.get(int(i), (0, 0)) for i in qi], dtype=np.int64).reshape(-1, 2)
-    return both[:, 0], both[:, 1]
+def _best(k: int):
+    """For a query block and candidate blocks: each query's k best of a candidate block, of equal ones those of the smallest ids."""
 
-
-def _histogram(width: int, step: int):
-    """Counts by bin of `step` scores within each query's interval of `width` scores, from its top down to the block's own last needed."""
-
-    def count(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
+    def run(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(qs) and len(cs):
-            qi, _, s, valid = _scores(qs.iloc[0], cs.iloc[0])
-            lo, need = _state(qs.iloc[0], qi)
-            for i in range(len(qi)):
-                own = s[i][valid[i]] - lo[i]
-                own = own[(own >= 0) & (own < width)]
-                if need[i] > 0 and len(own):
-                    if len(own) > need[i]:
-                        own = own[own >= np.partition(own, len(own) - need[i])[len(own) - need[i]] // step * step]
-                    bins, n = np.unique(own // step, return_counts=True)
-                    out.append((np.full(len(bins), qi[i]), bins, n))
-        qid, bins, n = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
-        return pd.DataFrame({"qid": qid, "bin": bins, "n": n})
-
-    return count
-
-
-def _selected(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
-    """Scores above the k-th, and of those equal to it the smallest ids that are needed."""
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    if len(qs) and len(cs):
-        qi, ci, s, valid = _scores(qs.iloc[0], cs.iloc[0])
-        lo, need = _state(qs.iloc[0], qi)
-        for i in range(len(qi)):
-            above = np.flatnonzero(valid[i] & (s[i] > lo[i]))
-            equal = np.flatnonzero(valid[i] & (s[i] == lo[i]))
-            equal = equal[np.argsort(ci[equal], kind="stable")[: max(int(need[i]), 0)]]
-            at = np.concatenate([above, equal])
-            out.append((np.full(len(at), qi[i]), ci[at], s[i][at]))
-    qid, ids, score = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
-    return pd.DataFrame({"query_id": qid, "vec_id": ids, "score": score})
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, rank, vec_id, score) from (id, v) tables of integer vectors; ties go to the smaller id."""
-    spark = vectors.sparkSession
-    cands = written(vectors.mapInPandas(_pack(CANDIDATE_BLOCK), PACKED), "topk-candidates")
-    queries = queries.groupBy("id").agg(F.min("v").alias("v"))
-    n = queries.count()
-    packed = queries.repartition(max(1, -(-n // QUERY_BLOCK)), "id").mapInPandas(_pack(QUERY_BLOCK), PACKED)
-    qblocks = written(packed, "topk-queries").withColumnRenamed("block", "qb")
-    members = written(queries.select("id"), "topk-query-ids")
-    c_ids = [r[0] for r in cands.select("block").collect()]
-    q_ids = [r[0] for r in qblocks.select("qb").collect()]
-    norm = vectors.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).first()[0]
-    asked = queries.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).first()[0]
-    bound = int((norm or 0.0) ** 0.5 * (asked or 0.0) ** 0.5) + 2  # Cauchy-Schwarz
-    bits = max(1, min(62, (2 * bound).bit_length()))
-
-    blocks = lambda ids: F.array(*(F.lit(i) for i in ids)).cast("array<long>")
-    # Each pair of blocks meets in a group of its own: one row of either side.
-    left = cands.withColumnRenamed("block", "cb").withColumn("qb", F.explode(blocks(q_ids)))
-    of_block = qblocks.select("qb", F.explode(F.expr("array(ids)")).alias("_ids"))
-    of_block = of_block.mapInPandas(_members, "qb long, qid long")
-
-    def asked_with(state: DataFrame) -> DataFrame:
-        packed = of_block.join(state, "qid").groupBy("qb").agg(F.collect_list("qid").alias("s_ids"), F.collect_list("lo").alias("s_lo"), F.collect_list("need").alias("s_need"))
-        return qblocks.join(packed, "qb").withColumn("cb", F.explode(blocks(c_ids)))
-
-    def pairs(state: DataFrame):
-        return asked_with(state).groupBy("qb", "cb").cogroup(left.groupBy("qb", "cb"))
-
-    low = -(1 << (bits - 1))
-    state = members.select(F.col("id").alias("qid"), F.lit(low).cast("long").alias("lo"), F.lit(k).cast("long").alias("need"))
+        for _, q in qs.iterrows():
+            for _, c in cs.iterrows():
+                qi, ci, s, valid = _scores(q, c)
+                order = np.argsort(ci, kind="stable")
+                ci, s, valid = ci[order], s[:, order], valid[:, order]
+                for i in range(len(qi)):
+                    own = np.flatnonzero(valid[i])
+                    if len(own) > k:
+                        kth = np.partition(s[i][own], len(own) - k)[len(own) - k]
+                        above = own[s[i][own] > kth]
+                        own = np.concatenate([above, own[s[i][own] == kth][: k - len(above)]])
+                    out.append((np.full(len(own), qi[i]), ci[own], s[i][own]))
+        qid, ids, score = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+        return pd.DataFrame({"qid": qid, "vec_id": ids, "score": score})
+
+    return run
+
+
+def _met(blocks: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+    """Blocks with a number below n, and a row for each of the m numbers of the other side."""
+    return blocks.withColumn(own, F.pmod(F.xxhash64("block"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<bigint>")))
+
+
+def kth_values(scored: DataFrame, k: int, low: int, bits: int) -> DataFrame:
+    """(qid, kth, need): each query's k-th largest score and how many of it are among the k best; the lowest score if there are fewer than k.
+
+    Each round counts the scores within the queries' intervals in 2 ** BIN_BITS bins and goes on with the bin of the k-th.
+    """
+    state = scored.select("qid").distinct().select("qid", F.lit(low).cast("long").alias("lo"), F.lit(k).cast("long").alias("need"))
     width = 1 << bits
     while width > 1:
         step = max(1, width >> BIN_BITS)
-        counts = pairs(state).applyInPandas(_histogram(width, step), "qid long, bin long, n long").groupBy("qid", "bin").agg(F.sum("n").alias("n"))
+        inside = scored.join(state, "qid").filter((F.col("score") >= F.col("lo")) & (F.col("score") - F.col("lo") < width))
+        counts = inside.groupBy("qid", "lo", "need", F.expr(f"(score - lo) div {step}").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
         above = F.sum("n").over(Window.partitionBy("qid").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1))
-        counts = counts.withColumn("above", F.coalesce(above, F.lit(0))).join(state, "qid")
+        counts = counts.withColumn("above", F.coalesce(above, F.lit(0)))
         # The k-th score is in the last bin from the top that has fewer than the needed above it; with too few candidates this is the lowest one.
         found = counts.filter(F.col("above") < F.col("need")).groupBy("qid").agg(F.min(F.struct("bin", "above", "lo", "need")).alias("b"))
         found = found.select("qid", (F.col("b.lo") + F.col("b.bin") * step).alias("lo"), (F.col("b.need") - F.col("b.above")).alias("need"))
         state, width = written(found, "topk-state"), step
-    best = pairs(state).applyInPandas(_selected, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return state.withColumnRenamed("lo", "kth")
 
 
-def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for qb, ids in zip(batch["qb"], batch["_ids"], strict=True):
-            own = np.frombuffer(ids, dtype=np.int64)
-            yield pd.DataFrame({"qb": np.full(len(own), qb), "qid": own})
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, rank, vec_id, score) from (id, v) tables of integer vectors; ties go to the smaller id."""
+    cands = written(vectors.mapInPandas(_pack(CANDIDATE_BLOCK), PACKED), "topk-candidates")
+    queries = queries.groupBy("id").agg(F.min("v").alias("v"))
+    packed = queries.repartition(max(1, -(-queries.count() // QUERY_BLOCK)), "id").mapInPandas(_pack(QUERY_BLOCK), PACKED)
+    asked = written(packed, "topk-queries")
+    n_asked, n_cands = max(1, asked.count()), max(1, cands.count())
+    longest = lambda blocks: blocks.agg(F.max("norm")).first()[0] or 0.0
+    bits = min(62, (2 * (int((longest(asked) * longest(cands)) ** 0.5) + 2)).bit_length())  # Cauchy-Schwarz bounds all scores
+    left, right = _met(asked, "qb", n_asked, "cb", n_cands), _met(cands, "cb", n_cands, "qb", n_asked)
+    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(_best(k), "qid long, vec_id long, score long")
+    scored = written(found, "topk-scores")
+    values = kth_values(scored, k, -(1 << (bits - 1)), bits)
+    scored = scored.join(values, "qid")
+    ties = scored.filter("score = kth").withColumn("nth", F.row_number().over(Window.partitionBy("qid").orderBy("vec_id"))).filter("nth <= need").drop("nth")
+    best = scored.filter("score > kth").unionByName(ties)
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))
+    return best.select(F.col("qid").alias("query_id"), rank.cast("int").alias("rank"), "vec_id", "score")
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,10 +160,10 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = """
 with vectors as (
   select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
-  where vec_id is not null and embedding is not null and len(embedding) > 0
+  where vec_id is not null and embedding is not null
     and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
 scored as (
-  select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score
+  select q.vec_id as query_id, c.vec_id, coalesce(list_dot_product(q.v, c.v), 0)::bigint as score
   from vectors q join vectors c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
 ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored)
 select query_id, rank, vec_id, score from ranked where rank <= 5

@@ -165,7 +165,7 @@ def test_topk_with_ties_against_brute_force(spark):
     rows += [(300, None), (350, [1.0, None, 0.0, 0.0]), (400, [float("nan")] * 4), (450, [float("inf")] * 4), (None, [1.0] * 4), (500, []), (550, [0.5, 0.25]), (7, [1.0] * 4)]
     vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4))
     own = {}
-    valid = [(i, [int(np.floor(256 * x)) for x in v] + [0] * (4 - len(v))) for i, v in rows if i is not None and v and None not in v and all(np.isfinite(v))]
+    valid = [(i, [int(np.floor(256 * x)) for x in v] + [0] * (4 - len(v))) for i, v in rows if i is not None and v is not None and None not in v and all(np.isfinite(v))]
     for i, v in valid:
         if i % 50 == 0:
             scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in valid if j != i)

@@ -82,7 +82,7 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     rows = [(5, " ".join(words)), (3, " ".join(near)), (9, " ".join(words)), (9, " ".join(words)), (None, " ".join(words)), (None, "all of it alone"), (None, "all of it alone"), (7, " ".join(reversed(words)))]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
     kept = [(r["doc_id"], r["text"][:3]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
-    assert sorted(kept, key=str) == sorted([(3, "w0 "), (7, rows[-1][1][:3]), (None, "all"), (None, "all")], key=str)
+    assert sorted(kept, key=str) == sorted([(3, "w0 "), (7, rows[-1][1][:3]), (None, "all")], key=str)
 
 
 def test_pipeline_runs_on_the_small_table(spark, sf):
