@@ -10,7 +10,7 @@ shuffle within each shard orders its rows by another hash.
 Sources are dealt weights by code point, null last, repeating `weights`. Targets share `share` times all sizes by weight; a target
 stops at `cap` times its source's size, and the excess is shared again among the others until none is above.
 
-Edge cases: null text has size 0 and null is a source; rows of equal doc_id share one fate; a source without words has target 0;
+Edge cases: null text has size 0 and null is a source; rows of equal doc_id share one fate, rows without one if their texts are equal; a source without words has target 0;
 an empty table gives an empty table; existing columns
 of the outputs' names are replaced. The draws depend on the seed, doc_id, source and sizes only, so reruns agree.
 """
@@ -38,9 +38,10 @@ BLOCKS = 1 << BLOCK_BITS
 BROADCAST_SOURCES = 10_000
 
 
-def position(doc_id: Column, salt: str) -> Column:
-    """A document's place in a permutation: 60 bits of a salted digest."""
-    digits = F.substring(F.md5(F.concat(F.lit(f"{salt}|"), F.coalesce(doc_id.cast("string"), F.lit("\x00"))).cast("binary")), 1, HASH_BITS // 4)
+def position(doc_id: Column, text: Column, salt: str) -> Column:
+    """A document's place in a permutation: 60 bits of a salted digest of its id, or of its text where it has none."""
+    name = F.coalesce(doc_id.cast("string"), F.concat(F.lit("\x00"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+    digits = F.substring(F.md5(F.concat(F.lit(f"{salt}|"), name).cast("binary")), 1, HASH_BITS // 4)
     return F.conv(digits, 16, 10).cast("long")
 
 
@@ -58,7 +59,8 @@ def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float
         for i in over:
             out[i] = float(cap * sizes[i])
         rest -= sum(out[i] for i in over)
-        open_ = [i for i in open_ if i not in set(over)]
+        closed = set(over)
+        open_ = [i for i in open_ if i not in closed]
     return out
 
 
@@ -81,13 +83,14 @@ def mix_plan(
     df: DataFrame, source: str = "source", doc_id: str = "doc_id", text: str = "text",
     weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, shards: int = SHARDS, seed: int = SEED,
 ) -> DataFrame:
-    """A row for each source: _source, source_size, target, _rounds, _full, _cut and _ends.
+    """A row for each source: _source, source_size, target, _cut and _ends.
 
-    Blocks below _full are drawn once more than _rounds, and documents up to _cut in block _full; _ends are the ends of the
-    shards' runs of draws. The driver gets a row for each source, nothing of documents.
+    A source's draws are numbered round by round: draw c * BLOCKS + b takes block b for the c-th time. _ends are the ends of the shards' runs of
+    draws, cumulated leaves of the tree; the last draw takes the documents up to _cut only, if _cut isn't negative. The driver gets a row for
+    each source, nothing of documents.
     """
     spark = df.sparkSession
-    slim = written(df.select(F.col(source).alias("_source"), position(F.col(doc_id), str(seed)).alias("_h"), n_words(F.col(text)).alias("_size")), "mix-sizes")
+    slim = written(df.select(F.col(source).alias("_source"), position(F.col(doc_id), F.col(text), str(seed)).alias("_h"), n_words(F.col(text)).alias("_size")), "mix-sizes")
     block = F.shiftright("_h", HASH_BITS - BLOCK_BITS)
     blocks = written(slim.groupBy("_source", block.alias("_block")).agg(F.sum("_size").alias("_words")), "mix-blocks")
     rows = blocks.groupBy("_source").agg(F.sum("_words").alias("n")).collect()
@@ -118,29 +121,29 @@ def mix_plan(
     cut = [ends.get(r["_source"], (0, None))[1] for r in rows]
     quotas = np.array([k * BLOCKS + f + (c is not None) for k, f, c in zip(rounds, full, cut, strict=True)], dtype=np.int64)
     leaves = np.cumsum(split_quotas(quotas, shards, seed), axis=0) if len(rows) else np.zeros((shards, 0), dtype=np.int64)
-    plan = [(r["_source"], s, t, k, f, -1 if c is None else int(c), leaves[:, i].tolist()) for i, (r, s, t, k, f, c) in enumerate(zip(rows, sizes, goal, rounds, full, cut, strict=True))]
-    return small(spark.createDataFrame(plan, "_source string, source_size long, target double, _rounds int, _full int, _cut long, _ends array<long>"))
-
-
-def mixed(df: DataFrame, plan: DataFrame, source: str = "source", doc_id: str = "doc_id", seed: int = SEED) -> DataFrame:
-    """`df` with source_size, target and `shards`: the shard of each copy of the row that the mix takes."""
-    rows = carried(df, _h=position(F.col(doc_id), str(seed)), _own=F.col(source))
-    out = rows.join(plan, F.col("_own").eqNullSafe(F.col("_source")))
-    out = out.withColumn("_block", F.shiftright("_h", HASH_BITS - BLOCK_BITS).cast("int"))
-    once_more = (F.col("_block") < F.col("_full")) | ((F.col("_block") == F.col("_full")) & (F.col("_h") <= F.col("_cut")))
-    copies = F.col("_rounds") + F.when(once_more, 1).otherwise(0)
-    draws = F.transform(F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>")), lambda c: c * BLOCKS + F.col("_block"))
-    shard = F.transform(draws, lambda d: F.size(F.filter(F.col("_ends"), lambda e: e <= d)))
+    plan = [(r["_source"], s, t, -1 if c is None else int(c), leaves[:, i].tolist()) for i, (r, s, t, c) in enumerate(zip(rows, sizes, goal, cut, strict=True))]
+    return small(spark.createDataFrame(plan, "_source string, source_size long, target double, _cut long, _ends array<long>"))
+
+
+def mixed(df: DataFrame, plan: DataFrame, source: str = "source", place: Column | None = None, cap: float = CAP) -> DataFrame:
+    """`df` with source_size, target and `shards`: the shard of each draw of the tree's leaves that takes the row. `place`: position() of the row."""
+    rows = carried(df, _h=place, _own=F.col(source))
+    out = rows.join(plan, F.col("_own").eqNullSafe(F.col("_source"))).withColumn("_block", F.shiftright("_h", HASH_BITS - BLOCK_BITS))
+    drawn = F.element_at("_ends", F.lit(-1))
+    whole = F.when(F.col("_cut") >= 0, drawn - 1).otherwise(drawn)  # draws of whole blocks
+    draws = F.transform(F.sequence(F.lit(0), F.lit(int(cap))), lambda c: c * BLOCKS + F.col("_block"))
+    taken = F.filter(draws, lambda d: (d < whole) | ((d == whole) & (d < drawn) & (F.col("_h") <= F.col("_cut"))))
+    shard = F.transform(taken, lambda d: F.size(F.filter(F.col("_ends"), lambda e: e <= d)))
     return out.select(*unpacked(out, others(df, "source_size", "target", "shards")), "source_size", "target", shard.alias("shards"))
 
 
 def mix_sources(df: DataFrame, source: str = "source", doc_id: str = "doc_id", text: str = "text", seed: int = SEED, local_shuffle: bool = True, **options) -> DataFrame:
     """The mix: a row of `df` for each copy taken, with `shard`, in each shard in an order of its own."""
     plan = mix_plan(df, source, doc_id, text, seed=seed, **options)
-    slim = carried(df, doc_id=F.col(doc_id), source=F.col(source))
-    taken = mixed(slim, plan, "source", "doc_id", seed).select("_row", "doc_id", F.posexplode("shards").alias("copy", "shard"))
+    slim = carried(df, doc_id=F.col(doc_id), source=F.col(source), place=position(F.col(doc_id), F.col(text), str(seed)))
+    taken = mixed(slim, plan, "source", F.col("place")).select("_row", "place", F.posexplode("shards").alias("copy", "shard"))
     if local_shuffle:
-        order = F.xxhash64(F.lit(seed), F.col("shard"), F.col("copy"), F.col("doc_id"))
+        order = F.xxhash64(F.lit(seed), F.col("shard"), F.col("copy"), F.col("place"))
         # Shards are dealt in pieces by the same hash, so that no task needs a whole shard.
         taken = taken.repartition(F.col("shard"), F.pmod(order, F.lit(64))).sortWithinPartitions("shard", order)
     return taken.select(*unpacked(taken, others(df, "shard")), "shard")
@@ -148,14 +151,15 @@ def mix_sources(df: DataFrame, source: str = "source", doc_id: str = "doc_id", t
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    out = mixed(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), mix_plan(docs))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).cast("long").alias("taken"))
+    slim = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), position(F.col("doc_id"), F.col("text"), str(SEED)).alias("place"))
+    out = mixed(slim, mix_plan(docs), "source", F.col("place")).withColumn("copies", F.size("shards"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies")
 
 
 SQL = f"""
 with docs as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
-    ('0x' || substr(md5('{SEED}|' || coalesce(cast(doc_id as varchar), chr(0))), 1, 15))::bigint as h
+    ('0x' || substr(md5('{SEED}|' || coalesce(cast(doc_id as varchar), chr(0) || md5(coalesce(text, '')))), 1, 15))::bigint as h
   from documents),
 sources as (
   select source, sum(size)::bigint as n, case (row_number() over (order by source is null, encode(source)) - 1) % 3 when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end as w
@@ -174,8 +178,8 @@ ordered as (
   select d.*, p.n, p.target, p.rounds, p.target - p.rounds * p.n as rest,
     sum(size) over (partition by d.source order by h) as upto, sum(size) over (partition by d.source, h) as here
   from docs d join parts p on d.source is not distinct from p.source)
-select doc_id, size, n as source_size, target, (size * (rounds + case when upto - here / 2.0 <= rest then 1 else 0 end))::bigint as taken
-from ordered
+select doc_id, size, n as source_size, target, (size * copies)::bigint as taken, copies::int as copies
+from (select *, rounds + case when upto - here / 2.0 <= rest then 1 else 0 end as copies from ordered)
 """
 
 QUERIES = {"op4_mixing": op4_mixing}
