@@ -79,15 +79,19 @@ def shard_of(key: Column, leaves: tuple[Leaf, ...]) -> Column:
     return pick(_draw(key, "", regions), by_region).cast("int")
 
 
-def shard_rows(df: DataFrame, key: str = "doc_id", leaves: tuple[Leaf, ...] = EIGHT, grown: tuple[Leaf, ...] | None = None) -> DataFrame:
+def shard_rows(df: DataFrame, key: str = "doc_id", leaves: tuple[Leaf, ...] = EIGHT, grown: tuple[Leaf, ...] | None = None, tie: str | None = None) -> DataFrame:
     """`df` with `shard`, `slot` (gapless from 0 in each shard) and, given a tree `grown`, `grown_shard`.
 
     Slots are dealt in two steps: rows are counted in buckets of a shard, a small table of bucket offsets is made of the
-    counts, and rows are numbered within their bucket. Rows of equal key are numbered in any order.
+    counts, and rows are numbered within their bucket. Rows of equal key go into buckets by the column `tie`, as null may be the key of
+    many rows, and are numbered in its order; without it in any.
     """
     name = F.coalesce(F.col(key).cast("string"), F.lit("\x00"))
+    by = [F.col(key), F.col(tie)] if tie else [F.col(key)]
+    if tie:
+        name = F.concat(name, F.lit("|"), F.coalesce(F.col(tie).cast("string"), F.lit("\x00")))
     bucket = F.conv(F.substring(F.md5(F.concat(F.lit("slot|"), name).cast("binary")), 1, 3), 16, 10).cast("int")
-    columns = {"_key": F.col(key), "_shard": shard_of(F.col(key), leaves), "_bucket": bucket}
+    columns = {"_key": F.struct(*by), "_shard": shard_of(F.col(key), leaves), "_bucket": bucket}
     if grown is not None:
         columns["_grown"] = shard_of(F.col(key), grown)
     rows = carried(df, **columns)
@@ -108,7 +112,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
     )
-    placed = shard_rows(docs, "doc_id", EIGHT, NINE)
+    placed = shard_rows(docs, "doc_id", EIGHT, NINE, tie="text_crc32")
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
@@ -148,10 +152,10 @@ docs as (
       lambda c, b: xor(c >> 8, steps[1 + (xor(c, b) & 255)]), 4294967295::bigint), 4294967295) as text_crc32
   from documents, crc_table),
 placed as (
-  select *, {_sql_shard(EIGHT)} as shard, {_sql_shard(NINE)} as grown_shard, ('0x' || substr(md5('slot|' || k), 1, 3))::int as bucket
+  select *, {_sql_shard(EIGHT)} as shard, {_sql_shard(NINE)} as grown_shard, ('0x' || substr(md5('slot|' || k || '|' || text_crc32::bigint), 1, 3))::int as bucket
   from docs)
 select doc_id, size::bigint as size, text_crc32::bigint as text_crc32, 'key' as law, shard::int as shard,
-  (row_number() over (partition by shard order by bucket, doc_id) - 1)::bigint as slot, grown_shard::int as grown_shard
+  (row_number() over (partition by shard order by bucket, doc_id nulls first, text_crc32) - 1)::bigint as slot, grown_shard::int as grown_shard
 from placed
 """
 
