@@ -1,8 +1,9 @@
-"""FLAC coding of many mono streams at once: frames are numpy rows that are coded in step.
+"""FLAC coding of many streams at once: frames are numpy rows that are coded in step.
 
-Encoding chooses for each frame the fixed predictor or the 4-tap linear predictor of least Rice cost, or verbatim or constant
-samples. Decoding reads Rice residuals, fixed and linear predictors of any order, partitions, escaped partitions, constant and
-verbatim subframes of 4 to 24 bits; it verifies each frame header's CRC-8, each frame's CRC-16 and the stream's MD5.
+Encoding, of mono samples, chooses for each frame the fixed predictor or the 4-tap linear predictor of least Rice cost, or verbatim or
+constant samples. Decoding reads Rice residuals, fixed and linear predictors of any order, partitions, escaped partitions, constant and
+verbatim subframes of 4 to 24 bits, wasted bits, and up to 8 channels, two of them also as left/side, right/side or mid/side; it verifies
+each frame header's CRC-8, each frame's CRC-16 and the stream's MD5.
 """
 
 from __future__ import annotations
@@ -231,16 +232,26 @@ def _metadata(s: bytes) -> dict:
         raise Damaged("no FLAC stream")
     at, out, last = 4, {"points": []}, False
     while not last:
+        if at + 4 > len(s):
+            raise Damaged("the metadata runs beyond the stream's end")
         last, kind, size = s[at] >> 7, s[at] & 127, int.from_bytes(s[at + 1 : at + 4], "big")
         body = s[at + 4 : at + 4 + size]
+        if len(body) < size:
+            raise Damaged("the metadata runs beyond the stream's end")
         if kind == 0:
+            if size < 34:
+                raise Damaged("the stream's information is too short")
             packed = int.from_bytes(body[10:18], "big")
-            out |= {"rate": packed >> 44, "channels": (packed >> 41 & 7) + 1, "bps": (packed >> 36 & 31) + 1, "samples": packed & (1 << 36) - 1, "md5": body[18:34], "block": int.from_bytes(body[2:4], "big")}
+            out |= {"rate": packed >> 44, "channels": (packed >> 41 & 7) + 1, "bps": (packed >> 36 & 31) + 1, "samples": packed & (1 << 36) - 1, "md5": body[18:34]}
         elif kind == 3:
+            if size % 18:
+                raise Damaged("a seek table isn't made of whole points")
             out["points"] = [p for p in struct.iter_unpack(">QQH", body) if p[0] != 2**64 - 1]
         at += 4 + size
-    if out.get("channels") != 1 or not 4 <= out["bps"] <= 24:
-        raise Damaged("only mono streams of 4 to 24 bits are read")
+    if "bps" not in out:
+        raise Damaged("the stream has no information")
+    if not 4 <= out["bps"] <= 24:
+        raise Damaged("only samples of 4 to 24 bits are read")
     return out | {"start": at}
 
 
@@ -267,34 +278,21 @@ def _leading_zeros(w: np.ndarray) -> np.ndarray:
     return np.where(top > 0, 52 - ((top.view(np.int64) >> 52) - 1023), 53)
 
 
-def _decode_frames(bits: _Bits, start: np.ndarray, bps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Samples [step, frame], frame sizes in samples, ends in bytes, and whether header and frame checksums agree."""
+def _subframes(bits: _Bits, pos: np.ndarray, n: np.ndarray, bps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Samples [step, frame] of one channel's subframes, which begin at bit positions, and where they end. Frames come in order of falling sizes."""
     raw = bits.raw
-    if len(start) and int(start.max()) + 16 > len(raw):
-        raise Damaged("a frame begins beyond the stream's end")
-    ok = (raw[start] == 0xFF) & (raw[start + 1] & 0xFE == 0xF8)
-    lead = raw[start + 4]
-    number = np.select([lead < 0x80, lead < 0xE0, lead < 0xF0, lead < 0xF8, lead < 0xFC, lead < 0xFE], [1, 2, 3, 4, 5, 6], 7)
-    at = start + 4 + number
-    code, rate = raw[start + 2] >> 4, raw[start + 2] & 15
-    at_limit = np.minimum(at, len(raw) - 3)
-    n = np.select(
-        [code == 1, (code >= 2) & (code <= 5), code == 6, code == 7, code >= 8],
-        [192, 576 << np.clip(code.astype(np.int64) - 2, 0, 3), raw[at_limit] + 1, (raw[at_limit].astype(np.int64) << 8 | raw[at_limit + 1]) + 1, 256 << np.clip(code.astype(np.int64) - 8, 0, 7)], 0,
-    )
-    at = at + np.select([code == 6, code == 7], [1, 2], 0) + np.select([rate == 12, rate == 13, rate == 14], [1, 2, 2], 0)
-    ok &= n > 0
-    ok &= crcs(raw, start, at - start, CRC8, 8) == raw[np.minimum(at, len(raw) - 1)]
-    if not ok.all():
-        raise Damaged("a frame header's checksum is wrong")
-    order = np.argsort(-n, kind="stable")
-    n, pos, bps = n[order], 8 * (at[order] + 1), bps[order]
     kind = bits.read(pos, 8)
     wasted = kind & 1
     kind = kind >> 1 & 63
-    if wasted.any() or ((kind > 1) & (kind < 8) | (kind > 12) & (kind < 32)).any():
+    if ((kind > 1) & (kind < 8) | (kind > 12) & (kind < 32)).any():
         raise Damaged("a subframe of a kind that isn't read")
     pos = pos + 8
+    if wasted.any():  # low bits that are all zero are left out, their number is written in unary
+        zeros = _leading_zeros(bits.window(pos))
+        pos, wasted = np.where(wasted > 0, pos + zeros + 1, pos), np.where(wasted > 0, zeros + 1, 0)
+        bps = bps - wasted
+        if (bps < 1).any():
+            raise Damaged("a subframe has no bits left")
     taps = np.select([kind == 0, kind == 1, kind < 32], [1, 0, kind - 8], kind - 31)
     most, count = int(taps.max(initial=0)), len(n)
     x = np.zeros((int(n.max(initial=0)), count), dtype=np.int64)
@@ -374,6 +372,51 @@ def _decode_frames(bits: _Bits, start: np.ndarray, bps: np.ndarray) -> tuple[np.
                 r += guess >> shift[:m]
             x[t, :m] = r
             pos[:m] += q + 1 + k
+    return x << wasted[None, :], pos
+
+
+def _decode_frames(bits: _Bits, start: np.ndarray, bps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Samples [channel, step, frame], frame sizes in samples, channels and ends in bytes; headers and frames whose checksums don't agree raise."""
+    raw = bits.raw
+    if len(start) and int(start.max()) + 16 > len(raw):
+        raise Damaged("a frame begins beyond the stream's end")
+    ok = (raw[start] == 0xFF) & (raw[start + 1] & 0xFE == 0xF8)
+    lead = raw[start + 4]
+    number = np.select([lead < 0x80, lead < 0xE0, lead < 0xF0, lead < 0xF8, lead < 0xFC, lead < 0xFE], [1, 2, 3, 4, 5, 6], 7)
+    at = start + 4 + number
+    code, rate = raw[start + 2] >> 4, raw[start + 2] & 15
+    at_limit = np.minimum(at, len(raw) - 3)
+    n = np.select(
+        [code == 1, (code >= 2) & (code <= 5), code == 6, code == 7, code >= 8],
+        [192, 576 << np.clip(code.astype(np.int64) - 2, 0, 3), raw[at_limit] + 1, (raw[at_limit].astype(np.int64) << 8 | raw[at_limit + 1]) + 1, 256 << np.clip(code.astype(np.int64) - 8, 0, 7)], 0,
+    )
+    at = at + np.select([code == 6, code == 7], [1, 2], 0) + np.select([rate == 12, rate == 13, rate == 14], [1, 2, 2], 0)
+    ok &= n > 0
+    ok &= crcs(raw, start, at - start, CRC8, 8) == raw[np.minimum(at, len(raw) - 1)]
+    if not ok.all():
+        raise Damaged("a frame header's checksum is wrong")
+    layout = raw[start + 3].astype(np.int64) >> 4
+    if (layout > 10).any():
+        raise Damaged("channels of a kind that isn't read")
+    order = np.argsort(-n, kind="stable")
+    n, pos, bps, layout = n[order], 8 * (at[order] + 1), bps[order], layout[order]
+    channels = np.where(layout < 8, layout + 1, 2)
+    x = np.zeros((int(channels.max(initial=1)), int(n.max(initial=0)), len(n)), dtype=np.int64)
+    for c in range(len(x)):
+        own = np.flatnonzero(channels > c)
+        side = ((layout[own] == 8) | (layout[own] == 10)) & (c == 1) | (layout[own] == 9) & (c == 0)  # a difference takes a bit more
+        got, pos[own] = _subframes(bits, pos[own], n[own], bps[own] + side)
+        x[c][: len(got), own] = got
+    if len(x) > 1:
+        left, right = x[0], x[1]
+        for f in np.flatnonzero(layout >= 8):
+            if layout[f] == 8:
+                right[:, f] = left[:, f] - right[:, f]
+            elif layout[f] == 9:
+                left[:, f] += right[:, f]
+            else:
+                mid = left[:, f] << 1 | right[:, f] & 1
+                left[:, f], right[:, f] = mid + right[:, f] >> 1, mid - right[:, f] >> 1
     end = (pos + 7) >> 3
     if (end + 2 > len(raw) - 16).any() and len(end) and int(end.max()) + 2 > len(raw) - 16:
         raise Damaged("a frame ends beyond the stream")
@@ -381,12 +424,15 @@ def _decode_frames(bits: _Bits, start: np.ndarray, bps: np.ndarray) -> tuple[np.
     if (got != (raw[end].astype(np.int64) << 8 | raw[end + 1])).any():
         raise Damaged("a frame's checksum is wrong")
     back = np.empty_like(order)
-    back[order] = np.arange(count)
-    return x[:, back], n[back], end[back] + 2, order
+    back[order] = np.arange(len(order))
+    return x[:, :, back], n[back], channels[back], end[back] + 2
 
 
 def decode_streams(streams: list[bytes]) -> list[tuple[np.ndarray, list[tuple[int, int, int]], int]]:
-    """Of each stream: its samples, its blocks as (sample offset, byte offset, samples), and its bits a sample. Damaged streams raise."""
+    """Of each stream: its samples [sample] or [sample, channel], its blocks as (sample offset, byte offset, samples), and its bits a sample.
+
+    Damaged streams raise.
+    """
     out: list = []
     at = 0
     while at < len(streams):
@@ -399,30 +445,63 @@ def decode_streams(streams: list[bytes]) -> list[tuple[np.ndarray, list[tuple[in
     return out
 
 
+def _indexed(head: dict, size: int) -> bool:
+    """Whether the seek table lists every frame, so that all can be decoded in step; its points must then come in order of samples and of bytes."""
+    points, at, byte = head["points"], 0, -1
+    if not points or sum(p[2] for p in points) != head["samples"]:
+        return False
+    for first, offset, n in points:
+        if first != at or offset <= byte or not n or offset >= size:
+            raise Damaged("the seek table is wrong")
+        at, byte = first + n, offset
+    return True
+
+
 def _decode_chunk(streams: list[bytes]) -> list:
     heads = [_metadata(s) for s in streams]
     base = np.cumsum([0, *(len(s) for s in streams)])
     bits = _Bits(b"".join(streams))
-    samples = [np.zeros(h["samples"], dtype=np.int32) for h in heads]
-    blocks: list[list[tuple[int, int, int]]] = [[] for _ in heads]
-    indexed = [h["samples"] > 0 and sum(p[2] for p in h["points"]) == h["samples"] for h in heads]
+    found: list[list[tuple[int, int, np.ndarray]]] = [[] for _ in heads]  # what frames hold; nothing is reserved for what a header claims
+    indexed = [_indexed(h, len(s)) for h, s in zip(heads, streams, strict=True)]
     jobs = [(i, p[0], int(base[i]) + h["start"] + p[1]) for i, h in enumerate(heads) if indexed[i] for p in h["points"]]
     follow = [(i, 0, int(base[i]) + h["start"]) for i, h in enumerate(heads) if not indexed[i] and h["samples"]]
     while jobs or follow:
         batch, jobs = [*jobs[: CHUNK // BLOCK], *follow], jobs[CHUNK // BLOCK :]
         follow = []
-        x, n, ends, _ = _decode_frames(bits, np.array([b for _, _, b in batch]), np.array([heads[i]["bps"] for i, _, _ in batch]))
-        rows = np.ascontiguousarray(x.T)
-        for row, ((i, first, b), m, e) in enumerate(zip(batch, n.tolist(), ends.tolist(), strict=True)):
+        x, n, channels, ends = _decode_frames(bits, np.array([b for _, _, b in batch]), np.array([heads[i]["bps"] for i, _, _ in batch]))
+        rows = np.ascontiguousarray(x.transpose(2, 1, 0)).astype(np.int32)
+        for row, ((i, first, b), m, c, e) in enumerate(zip(batch, n.tolist(), channels.tolist(), ends.tolist(), strict=True)):
             if first + m > heads[i]["samples"] or e > base[i + 1]:
                 raise Damaged("more samples than the stream has")
-            samples[i][first : first + m] = rows[row, :m]
-            blocks[i].append((first, b - int(base[i]), m))
+            if c != heads[i]["channels"]:
+                raise Damaged("a frame has other channels than the stream")
+            found[i].append((first, b - int(base[i]), rows[row, :m, :c].copy()))
             if not indexed[i] and first + m < heads[i]["samples"]:
                 follow.append((i, first + m, e))
-    for h, x in zip(heads, samples, strict=True):
-        width = (h["bps"] + 7) // 8
-        raw = x.astype("<i4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
+    out = []
+    for h, own in zip(heads, found, strict=True):
+        own.sort(key=lambda f: f[0])
+        if sum(len(f[2]) for f in own) != h["samples"]:
+            raise Damaged("frames and samples don't agree")
+        x = np.concatenate([f[2] for f in own]) if own else np.zeros((0, h["channels"]), dtype=np.int32)
+        raw = x.astype("<i4").view(np.uint8).reshape(-1, 4)[:, : (h["bps"] + 7) // 8].tobytes()
         if any(h["md5"]) and hashlib.md5(raw).digest() != h["md5"]:
             raise Damaged("the stream's MD5 is wrong")
-    return [(x, b, h["bps"]) for x, b, h in zip(samples, blocks, heads, strict=True)]
+        out.append((x[:, 0] if h["channels"] == 1 else x, [(first, byte, len(y)) for first, byte, y in own], h["bps"]))
+    return out
+
+
+def decode_range(stream: bytes, first: int, n: int) -> np.ndarray:
+    """Samples [first, first + n) of a stream with a seek table of all frames: only the frames that hold them are decoded."""
+    head = _metadata(stream)
+    if not _indexed(head, len(stream)):
+        raise Damaged("the seek table doesn't list all frames")
+    if not 0 <= first <= first + n <= head["samples"]:
+        raise ValueError("samples beyond the stream")
+    own = [p for p in head["points"] if p[0] < first + n and p[0] + p[2] > first]
+    if not own:
+        return np.zeros(0, dtype=np.int32)
+    begin, end = head["start"] + own[0][1], min([len(stream), *(head["start"] + p[1] for p in head["points"] if p[0] >= first + n)])
+    x, sizes, channels, _ = _decode_frames(_Bits(stream[begin:end]), np.array([p[1] - own[0][1] for p in own]), np.full(len(own), head["bps"]))
+    whole = np.concatenate([x[: channels[i], : sizes[i], i].T for i in range(len(own))]).astype(np.int32)[first - own[0][0] :][:n]
+    return whole[:, 0] if head["channels"] == 1 else whole

@@ -45,13 +45,13 @@ def encode_media(df: DataFrame, payload: str = "payload", media: str = "media")
 
 
 def feature_of(x: np.ndarray, blocks: int) -> str:
-    """Peak, energy, sign changes and blocks of a signal."""
-    x = x.astype(np.int64)
+    """Peak, energy, sign changes and blocks of a signal; channels follow one another."""
+    x = x.astype(np.int64).T.ravel()
     return f"peak={int(np.abs(x).max(initial=0))};energy={int((x * x).sum())};crossings={int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))};blocks={blocks}"
 
 
 def _pcm(x: np.ndarray, bps: int) -> bytes:
-    """8-bit samples are stored unsigned, wider ones as signed little-endian integers."""
+    """Samples of up to 8 bits are stored unsigned, wider ones as signed little-endian integers; channels are interleaved."""
     if bps <= 8:
         return (x + 128).astype(np.uint8).tobytes()
     return x.astype("<i4").view(np.uint8).reshape(-1, 4)[:, : (bps + 7) // 8].tobytes()
@@ -61,7 +61,7 @@ def _decoded(streams: list[bytes]) -> list:
     """Results of decode_streams, or the error in place of a damaged stream's."""
     try:
         return decode_streams(streams)
-    except (Damaged, IndexError, KeyError) as e:
+    except (Damaged, IndexError, ValueError, OverflowError, MemoryError) as e:  # whatever a damaged stream leads to is its own error
         if len(streams) == 1:
             return [str(e) or type(e).__name__]
         half = len(streams) // 2
@@ -87,7 +87,7 @@ def decode_media(df: DataFrame, media: str = "media", pcm: str = "pcm", index: s
 
 
 def pcm_blocks(df: DataFrame, pcm: str = "pcm", index: str = "blocks", width: int = 1) -> DataFrame:
-    """A row for each block: df's other columns, block_no, sample_offset, byte_offset, n_samples and the block's `pcm` bytes."""
+    """A row for each block: df's other columns, block_no, sample_offset, byte_offset, n_samples and the block's `pcm` bytes. `width`: bytes of a sample of all channels."""
     keep = others(df, pcm, index, "block_no", "sample_offset", "byte_offset", "n_samples")
     rows = carried(df, _pcm=F.col(pcm), _index=F.col(index)).select("_row", "_pcm", F.posexplode("_index").alias("_no", "_b"))
     own = F.expr(f"substring(_pcm, cast(_b.sample_offset * {width} + 1 as int), cast(_b.n_samples * {width} as int))")
