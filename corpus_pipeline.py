@@ -36,15 +36,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (shingles of five words, similarity of 0.8 or more): the one of smallest doc_id, which goes before none."""
-    row, sha, own = unused(docs, "row"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
-    named = docs.select("doc_id", "text", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", sha.alias("sha"), own.alias("own")).alias(row))
-    groups = simhash.near_duplicates(named, extra=(row,)).groupBy("group_no")
-    leaders = written(groups.agg(F.min(row).alias(row)).select(f"{row}.*"), "leaders")
-    kept = docs.withColumn(row, F.struct(sha.alias("sha"), own.alias("own"))).alias("a").join(
-        leaders.alias("b"), F.expr(f"a.doc_id <=> b.doc_id and a.`{row}`.sha = b.sha and a.`{row}`.own = b.own"), "left_semi")
-    if docs.select("doc_id", own.alias("own")).groupBy("doc_id", "own").count().filter("count > 1").isEmpty():
-        return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
-    kept = kept.dropDuplicates(["doc_id", row])  # repeated rows
+    row, own = unused(docs, "row"), [F.xxhash64(*(F.lit(k), *(F.col(f"`{c}`") for c in docs.columns))) for k in (0, 1)]
+    rows = docs.withColumn(row, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *(x.alias(f"own{k}") for k, x in enumerate(own))))  # a row's order and its name
+    groups = simhash.near_duplicates(rows.select("doc_id", "text", row), extra=(row,))
+    groups = written(groups.select("group_no", row), "members")
+    leaders = groups.groupBy("group_no").agg(F.min(row).alias(row))
+    if groups.groupBy(row).count().filter("count > 1").isEmpty():
+        gone = written(groups.join(leaders, row, "left_anti").select(row), "copies")
+        kept = simhash.reached(rows, gone, row, "left_anti")
+    else:  # repeated rows have one name
+        kept = rows.join(leaders, row, "left_semi").dropDuplicates([row])
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
