@@ -1,5 +1,5 @@
 """The modules whose queries are registered."""
 
-from sealgrove.plans import detection, entities, texts
+from sealgrove.plans import detection, edits, entities, review, small, texts
 
-MODULES = (detection, entities, texts)
+MODULES = (detection, entities, texts, small, edits, review)
