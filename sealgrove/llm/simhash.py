@@ -56,6 +56,8 @@ SIMILARITY, LANES, PARTS, GUARANTEED, CHECKED = (4, 5), 12, 4, 47, 19
 APART = 0.22
 #: Ids of texts to look at that are broadcast, 24 bytes each.
 BROADCAST_IDS = 2_000_000
+#: Tokens of texts that a task of the verification keeps, 8 bytes each.
+TOKENS_HELD = 2_000_000
 #: Shingles that are hashed at once, and counters of a byte.
 AT_ONCE, BYTE = 1 << 16, 255
 
@@ -313,15 +315,21 @@ def _similar(pairs: DataFrame, prints: DataFrame, texts: DataFrame, words: int,
     found = written(found, "simhash-texts")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of: dict[int, np.ndarray] = {}  # a text is in several pairs
+        held = 0
         for batch in batches:
             keep = []
-            of: dict[int, np.ndarray] = {}
-            for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                for i, t in ((a, x), (b, y)):
+            for row, pair in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                for side, i in enumerate(pair):
                     if i not in of:
-                        of[i] = token_set(t, words)
-                shared = len(np.intersect1d(of[a], of[b], assume_unique=True))
-                keep.append((part + whole) * shared >= part * (len(of[a]) + len(of[b])))
+                        of[i] = token_set(batch.column(2 + side)[row].as_py(), words)
+                        held += len(of[i])
+                x, y = of[pair[0]], of[pair[1]]
+                both, least = len(x) + len(y), min(len(x), len(y))
+                possible = (part + whole) * least >= part * both  # by their sizes
+                keep.append(possible and (part + whole) * (both - len(np.unique(np.concatenate([x, y])))) >= part * both)
+                if held > TOKENS_HELD:
+                    of, held = {}, 0
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(found.select(F.col("id").alias("a"), F.col("_text").alias("x")), "a").join(found.select(F.col("id").alias("b"), F.col("_text").alias("y")), "b")
