@@ -28,8 +28,8 @@ def _crc_table(poly: int, bits: int) -> np.ndarray:
     for i in range(256):
         c = i << (bits - 8)
         for _ in range(8):
-            c = (c << 1 ^ poly) if c >> (bits - 1) else c << 1
-        out[i] = c & ((1 << bits) - 1)
+            c = ((c << 1) ^ (poly if c >> (bits - 1) else 0)) & ((1 << bits) - 1)
+        out[i] = c
     return out
 
 
