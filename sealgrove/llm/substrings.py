@@ -15,8 +15,8 @@ Suffix tuples and common prefixes move between the steps through Spark's shuffle
 disk-backed queues of the method; a task holds a shard of SHARD_BYTES of text at a time, whatever the input's size. Blocks that a
 task meets repeatedly are resolved there, so that a passage of a third of all documents costs a shard one tuple for each task.
 
-Edge cases: null text is empty and has no bytes; a null doc_id counts as greater than all others; rows of equal doc_id never
-remove from one another; texts shorter than a window stay whole; empty tables give empty tables. Names have 88 bits.
+Edge cases: null text is empty and has no bytes; a null doc_id counts as greater than all others; rows of equal doc_id, null too, never
+remove from one another; doc_ids may be any bigint; texts shorter than a window stay whole; empty tables give empty tables. Names have 88 bits.
 """
 
 from __future__ import annotations
@@ -28,21 +28,21 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sealgrove.llm import suffixes
 from sealgrove.llm.texts import bounded_batches
+from sealgrove.operators.joins import joined, numbered
 from sealgrove.sources.tables import read_table, written
 
 WINDOW = 50
 #: Text that a shard stands for, and text of which a task resolves the repeats before it sends them.
 SHARD_BYTES, TASK_BYTES = 2 << 20, 32 << 20
-NO_ID = 1 << 62
-#: Columns of what is sent: blocks to name, removed runs of windows, blocks to induce from, and their bytes.
-NAMED = (("gram", "<u4"), ("name", "<u8"), ("id", "<i8"), ("at", "<u4"), ("n", "u1"), ("sample", "u1"))
+#: Columns of what is sent: blocks to name, removed runs of windows, blocks to induce from, and their bytes. A row's id less `nth` is its document's first id.
+NAMED = (("gram", "<u4"), ("name", "<u8"), ("id", "<i8"), ("nth", "<i8"), ("at", "<u4"), ("n", "u1"), ("sample", "u1"))
 RUNS = (("id", "<i8"), ("at", "<u4"), ("n", "<u4"))
-ASKED = (("id", "<i8"), ("at", "<u4"), ("n", "u1"), ("sample", "u1"), ("gram", "<u4"), ("shard", "<i4"))
+ASKED = (("id", "<i8"), ("nth", "<i8"), ("at", "<u4"), ("n", "u1"), ("sample", "u1"), ("gram", "<u4"), ("shard", "<i4"))
 SENT = "kind int, part int, payload binary"
 
 
@@ -99,42 +99,45 @@ def _joined(id: np.ndarray, at: np.ndarray, n: np.ndarray) -> dict[str, np.ndarr
     return {"id": id[first], "at": at[first], "n": np.add.reduceat(n, first) if len(first) else n}
 
 
-def _texts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """Ids and texts of a task, in portions of about `size` bytes."""
+def _texts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """Ids, what they are beyond their document's first, and texts of a task, in portions of about `size` bytes."""
     ids: list[int] = []
+    nths: list[int] = []
     texts: list[bytes] = []
     total = 0
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for i, n, t in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
             ids.append(i)
+            nths.append(n)
             texts.append((t or "").encode())
             total += len(texts[-1])
             if total >= size:
-                yield np.array(ids, dtype=np.int64), texts
-                ids, texts, total = [], [], 0
+                yield np.array(ids, dtype=np.int64), np.array(nths, dtype=np.int64), texts
+                ids, nths, texts, total = [], [], [], 0
     if ids:
-        yield np.array(ids, dtype=np.int64), texts
+        yield np.array(ids, dtype=np.int64), np.array(nths, dtype=np.int64), texts
 
 
-def _sampler(window: int, shards: int, ties: int):
+def _sampler(window: int, shards: int):
     """Step 1: names of blocks to their shards, and runs that the task can tell by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _texts(batches, TASK_BYTES):
+        for ids, nths, texts in _texts(batches, TASK_BYTES):
             order = np.argsort(ids, kind="stable")
             raw = np.frombuffer(b"".join(texts[i] for i in order), dtype=np.uint8)
             ends = np.cumsum([len(texts[i]) for i in order])
             which, at, n, sample, gram, name = suffixes.blocks(raw, ends, window)
-            id = ids[order][which]
+            id, nth = ids[order][which], nths[order][which]
+            doc = id - nth
             by = np.lexsort((id, name, gram))
             new = np.ones(len(by), dtype=bool)
             new[1:] = (gram[by][1:] != gram[by][:-1]) | (name[by][1:] != name[by][:-1])
-            least = id[by][np.flatnonzero(new)][np.cumsum(new) - 1] // ties if len(by) else id[by]
+            least = doc[by][np.flatnonzero(new)][np.cumsum(new) - 1] if len(by) else doc
             late = np.zeros(len(by), dtype=bool)
-            late[by] = id[by] // ties > least
+            late[by] = doc[by] > least
             send = ~late
             shard = (gram >> np.uint64(32)) % np.uint64(shards)
-            arrays = {"gram": gram & np.uint64(0xFFFFFFFF), "name": name, "id": id, "at": at, "n": n, "sample": sample}
+            arrays = {"gram": gram & np.uint64(0xFFFFFFFF), "name": name, "id": id, "nth": nth, "at": at, "n": n, "sample": sample}
             out = [_frame(0, _split(NAMED, {k: v[send] for k, v in arrays.items()}, shard[send].astype(np.int64)))]
             if late.any():
                 runs = _joined(id[late], at[late], n[late])
@@ -144,7 +147,7 @@ def _sampler(window: int, shards: int, ties: int):
     return run
 
 
-def _namer(shards: int, ties: int):
+def _namer(shards: int):
     """Step 2: runs of blocks whose name a smaller document has, and blocks of names that share a gram."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -158,7 +161,7 @@ def _namer(shards: int, ties: int):
             new_gram[1:] = b["gram"][1:] != b["gram"][:-1]
             new = new_gram.copy()
             new[1:] |= b["name"][1:] != b["name"][:-1]
-            doc = b["id"] // ties
+            doc = b["id"] - b["nth"]
             late = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
             runs = _joined(*(b[k][late] for k in ("id", "at", "n")))
             out.append(_frame(1, _split(RUNS, runs, _part(runs["id"], shards))))
@@ -176,7 +179,7 @@ def _packed_texts(shards: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
-        for ids, texts in _texts(batches, TASK_BYTES):
+        for ids, _, texts in _texts(batches, TASK_BYTES):
             part = _part(ids, shards)
             order = np.argsort(part, kind="stable")
             keys, first = np.unique(part[order], return_index=True)
@@ -216,17 +219,17 @@ def _context(window: int):
         size = b["n"].astype(np.int64) + window - 1
         own = np.where(np.arange(wide)[None, :] < size[:, None], raw[at], 0)
         columns = _context_columns(window)
-        arrays = {k: b[k] for k in ("id", "at", "n", "sample")} | {f"c{i}": own[:, i] for i in range(wide)}
+        arrays = {k: b[k] for k in ("id", "nth", "at", "n", "sample")} | {f"c{i}": own[:, i] for i in range(wide)}
         return _frame(3, _split(columns, arrays, b["shard"].astype(np.int64)))
 
     return run
 
 
 def _context_columns(window: int) -> tuple:
-    return (("id", "<i8"), ("at", "<u4"), ("n", "u1"), ("sample", "u1"), *((f"c{i}", "u1") for i in range(2 * window)))
+    return (("id", "<i8"), ("nth", "<i8"), ("at", "<u4"), ("n", "u1"), ("sample", "u1"), *((f"c{i}", "u1") for i in range(2 * window)))
 
 
-def _inducer(window: int, shards: int, ties: int):
+def _inducer(window: int, shards: int):
     """Step 3b: runs of windows that blocks of different names share with a smaller document."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -237,7 +240,7 @@ def _inducer(window: int, shards: int, ties: int):
         col, row = np.arange(window), np.arange(len(own))[:, None]
         right = np.where(col[None, :] < right_len[:, None], own[row, np.minimum(sample[:, None] + col, 2 * window - 1)], 0)
         left = np.where(col[None, :] < sample[:, None], own[row, np.maximum(sample[:, None] - 1 - col, 0)], 0)[:, : window - suffixes.GRAM]
-        row, away = suffixes.induced(right.astype(np.uint8), right_len, left.astype(np.uint8), sample, b["id"] // ties, window)
+        row, away = suffixes.induced(right.astype(np.uint8), right_len, left.astype(np.uint8), sample, b["id"] - b["nth"], window)
         runs = _joined(b["id"][row], b["at"][row].astype(np.int64) + sample[row] - away, np.ones(len(row), dtype=np.int64))
         return _frame(1, _split(RUNS, runs, _part(runs["id"], shards)))
 
@@ -283,23 +286,27 @@ def drop_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wind
     if not suffixes.GRAM < window < 128:
         raise ValueError(f"windows of {suffixes.GRAM + 1} to 127 bytes are sorted")
     bounded_batches(df.sparkSession)
-    docs = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ties = docs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
-    if ties > 1:  # rows of equal doc_id get ids of their own, which are told apart from smaller doc_ids by division
-        number = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("text"))) - 1
-        docs = docs.withColumn("id", F.when(F.col("id") == NO_ID, F.lit(NO_ID // ties)).otherwise(F.col("id")) * ties + number)
+    docs = df.select(F.col(doc_id).cast("long").alias("id"), F.lit(0).cast("long").alias("nth"), F.col(text).alias("text"))
+    total, rows, ids = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1)), F.countDistinct("id")).first()
+    total = total or 0
+    own = None
+    if rows > ids:  # rows of equal doc_id, or without one: all rows are numbered in order of doc_ids, and a document's rows follow its first
+        own = df.select(F.col(doc_id).cast("long").alias("doc"), F.col(doc_id).isNull().alias("none"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
+        own = written(numbered(own, (), ("none", "doc", "hash"), "id"), "repeats-numbered")
+        firsts = own.groupBy("doc").agg(F.min("id").alias("first"))
+        docs = joined(own, firsts, ("doc",)).select("id", (F.col("id") - F.col("first")).alias("nth"), "text")
     shards = max(16, -(-total // SHARD_BYTES))
 
-    named = docs.mapInArrow(_sampler(window, shards, ties), SENT)
-    found = written(named.groupBy("part").applyInPandas(_namer(shards, ties), SENT), "repeats-found")
+    named = docs.mapInArrow(_sampler(window, shards), SENT)
+    found = written(named.groupBy("part").applyInPandas(_namer(shards), SENT), "repeats-found")
     runs, asked = found.filter("kind = 1"), found.filter("kind = 2")
     parts = docs.mapInArrow(_packed_texts(shards), "part int, ids binary, sizes binary, texts binary")
     near = parts.groupBy("part").cogroup(asked.groupBy("part")).applyInPandas(_context(window), SENT)
-    runs = runs.union(near.groupBy("part").applyInPandas(_inducer(window, shards, ties), SENT))
+    runs = runs.union(near.groupBy("part").applyInPandas(_inducer(window, shards), SENT))
     out = parts.groupBy("part").cogroup(runs.groupBy("part")).applyInPandas(_cutter(window), CUT)
-    own = F.expr(f"(id - pmod(id, {ties})) div {ties}")
-    return out.select(F.when(own != NO_ID // ties, own).alias(doc_id), "n_bytes", "n_removed", "n_spans", "kept", "spans")
+    if own is not None:
+        return out.join(own.select("id", F.col("doc").alias(doc_id)), "id").select(doc_id, "n_bytes", "n_removed", "n_spans", "kept", "spans")
+    return out.withColumnRenamed("id", doc_id)
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

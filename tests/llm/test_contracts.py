@@ -79,12 +79,15 @@ def test_quality_on_held_out_documents(spark, duck):
     assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in rows if r["held_out"] and r["doc_id"] in truth]) > 0.95
 
 
+NO_ID = 1 << 70  # greater than any
+
+
 def brute_repeats(rows, window=50):
     first, out = {}, collections.defaultdict(list)
     for i, t in rows:
         for p in range(len(t) - window + 1):
             k = t[p : p + window]
-            first[k] = min(first.get(k, 1 << 70), i)
+            first[k] = min(first.get(k, 1 << 71), i)
     for i, t in rows:
         covered = bytearray(len(t))
         for p in range(len(t) - window + 1):
@@ -101,7 +104,7 @@ def repeats(df):
 
     out = collections.defaultdict(list)
     for r in substrings.drop_repeats(df).withColumn("h", F.sha2("kept", 256)).collect():
-        out[substrings.NO_ID if r["doc_id"] is None else r["doc_id"]].append((r["n_bytes"], r["n_removed"], r["n_spans"], r["h"]))
+        out[NO_ID if r["doc_id"] is None else r["doc_id"]].append((r["n_bytes"], r["n_removed"], r["n_spans"], r["h"]))
         assert sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"] == r["n_bytes"] - len(r["kept"])
     return {k: sorted(v) for k, v in out.items()}
 
@@ -124,9 +127,9 @@ def test_substrings_of_pieces_and_periods(spark):
             a = int(rng.integers(2900))
             t += base[a : a + int(rng.integers(1, 120))]
         t += "ab" * int(rng.integers(200)) * (i % 7 == 0) + "\0" * 70 * (i % 9 == 0) + "é" * 60 * (i % 5 == 0)
-        rows.append(([i, i, 3, None, -i][int(rng.integers(5))], t if i % 13 else None))
+        rows.append(([i, (1 << 63) - 1 - i % 3, 3, None, -i][int(rng.integers(5))], t if i % 13 else None))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    want = brute_repeats([(substrings.NO_ID if i is None else i, (t or "").encode()) for i, t in rows])
+    want = brute_repeats([(NO_ID if i is None else i, (t or "").encode()) for i, t in rows])
     assert repeats(df) == want
 
 
