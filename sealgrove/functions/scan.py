@@ -13,7 +13,7 @@ def scannable(text: Column) -> Column:
     return F.when(text.rlike("[\x01-\x03]"), F.translate(text, "\x01\x02\x03", "\ufffd" * 3)).otherwise(text)
 
 
-def scan(text: Column, pattern: str, group: int = 0, clean: bool = False) -> Column:
+def scan(text: Column, pattern: str | Column, group: int = 0, clean: bool = False) -> Column:
     """All matches in a text as [start, end) in code points with their text. A group is one that ends where its match ends.
 
     One search marks the matches; the lengths of the pieces between the marks give the offsets. `clean`: the text is scannable already.

@@ -39,10 +39,16 @@ def chunks(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFr
 
 
 def model_windows(docs: DataFrame, size: int = 2000, step: int = 1800, least: int = 100) -> DataFrame:
-    """Windows for a model, a fixed step apart, as long as `least` characters remain."""
+    """Windows for a model: a text of up to `size` characters is one, others begin a step apart as long as more than `least` characters remain.
+
+    A window that isn't the last ends after the last sentence, else line, that ends in what it shares with the next.
+    """
     n = F.length("text")
-    last = F.greatest(F.lit(0), F.floor((n - least) / step)).cast("int")
-    return docs.select("doc_id", n.alias("_n"), F.explode(F.sequence(F.lit(0), last)).alias("chunk_no")).select("doc_id", "chunk_no", (F.col("chunk_no") * step).alias("s"), F.least("_n", F.col("chunk_no") * step + size).alias("e"))
+    last = F.when(n <= size, F.lit(0)).otherwise(F.greatest(F.lit(0), F.floor((n - least - 1) / step))).cast("int")
+    out = docs.select("doc_id", "text", n.alias("_n"), F.explode(F.sequence(F.lit(0), last)).alias("chunk_no")).withColumn("s", F.col("chunk_no") * step)
+    shared = F.substring(F.col("text"), F.col("s") + step + 1, F.lit(size - step))
+    cut = F.coalesce(*(F.when(_last(shared, x) > 0, step + _last(shared, x)) for x in (". ", "\n")), F.lit(size))
+    return out.select("doc_id", "chunk_no", "s", F.when(F.col("s") + size >= F.col("_n"), F.col("_n")).otherwise(F.col("s") + cut).alias("e"))
 
 
 def packed(pieces: Column, most: int) -> Column:
@@ -117,6 +123,7 @@ MODEL_TYPES = {
     "person_client": "person_client client_name client patient", "person_provider": "person_provider provider_name provider doctor therapist", "person_other": "person_other other_name person other_person name",
     "date": "date specific_date", "location": "location place address", "organization": "organization org company", "identifier": "identifier id_number id number", "contact": "contact email phone",
 }
+# Types that findings name, and headings of their sections.
 FINDING_TYPES = {"contact": "EMAIL PHONE PHONE_NUMBER CONTACT", "location": "LOCATION ADDRESS", "date": "DATE", "identifier": "ID IDENTIFIER", "organization": "ORGANIZATION ORG"}
 SECTIONS = (("name", "NAME"), ("email", "EMAIL"), ("phone", "PHONE"), ("location", "LOCATION"), ("date", "DATE"), ("organization", "OTHER"), ("address", "LOCATION"), ("medical", "OTHER"))
 

@@ -205,7 +205,10 @@ ORACLES = {
         from c where stop < length(text) or (no = -1 and length(text) = 0)),
       k as (select *, greatest(0, pos - 200) as o, least(length(text), stop + 200) as z from c where no >= 0)
       select doc_id, no as chunk_no, o::int as global_offset, (pos - o)::int as overlap_before, (z - stop)::int as overlap_after, md5(substr(text, o + 1, z - o)) as digest from k""",
-    "model_windows": "select doc_id, k::int as chunk_no, (k * 1800)::int as s, least(length(text), k * 1800 + 2000)::int as e from (select doc_id, text, unnest(range(0, greatest(0, (length(text) - 100) // 1800) + 1)) as k from documents)",
+    "model_windows": """with w as (select doc_id, text, length(text) as n, unnest(range(0, case when length(text) <= 2000 then 1 else greatest(0, (length(text) - 101) // 1800) + 1 end)) as k from documents),
+      x as (select *, substr(text, k * 1800 + 1801, 200) as shared from w)
+      select doc_id, k::int as chunk_no, (k * 1800)::int as s, (case when k * 1800 + 2000 >= n then n else k * 1800 + case when contains(shared, '. ') then 2001 - instr(reverse(shared), ' .')
+        when contains(shared, chr(10)) then 2001 - instr(reverse(shared), chr(10)) else 2000 end end)::int as e from x""",
     "paragraph_pack": """with l as (select doc_id, list_transform(string_split(text, chr(10)), lambda x: {'n': length(x)::int, 'k': 1::int, 'o': []::struct(pieces int, chars int)[]}) as x from documents),
       f as (select doc_id, list_reduce(x, lambda a, b: case when a.n + 2 + b.n <= 3000 then {'n': (a.n + 2 + b.n)::int, 'k': (a.k + 1)::int, 'o': a.o} else {'n': b.n, 'k': 1::int, 'o': list_append(a.o, {'pieces': a.k, 'chars': a.n})} end) as r from l)
       select doc_id, (generate_subscripts(list_append(r.o, {'pieces': r.k, 'chars': r.n}), 1) - 1)::int as pack_no, unnest(list_append(r.o, {'pieces': r.k, 'chars': r.n}), recursive := true) from f""",

@@ -1 +1 @@
-
+"""Jobs over documents that arrive as a stream."""

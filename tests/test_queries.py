@@ -21,7 +21,7 @@ def plain(x):
     return x
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_sql(spark, duck, sf, name):
     df = QUERIES[name](spark, sf)
     cursor = duck.execute(ORACLES[name])
