@@ -18,6 +18,11 @@ def occurrences_of(text: Column, part: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("long") if part else F.lit(0).cast("long")
 
 
+def occurrences_of_column(text: Column, part: Column) -> Column:
+    """The same for a part that is a column."""
+    return F.when(part == "", 0).otherwise(((F.length(text) - F.length(F.replace(text, part, F.lit("")))) / F.length(part)).cast("long"))
+
+
 def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"\s+"), lambda x: x != "")).cast("long")
 

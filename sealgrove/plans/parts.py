@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sealgrove.operators import entities as e
+from sealgrove.operators import files as fl
 from sealgrove.operators import parts as pt
 from sealgrove.operators import segments as sg
 from sealgrove.operators.recognizers import BY_NAME, mentions
@@ -112,6 +113,40 @@ def highlight_spans(spark, sf_dir):
     return own.select("doc_id", F.lit("original").alias("side"), "s", "e").unionByName(out)
 
 
+COMMAND = "case doc_id % 7 when 0 then 'create' when 1 then 'str_replace' when 2 then 'insert' when 3 then 'delete' when 4 then 'rename' when 5 then 'str_replace' end"
+FILE = "'f' || doc_id % 5 || '/d' || doc_id || '.md'"
+
+
+def _files(spark, sf_dir):
+    return _documents(spark, sf_dir).selectExpr("doc_id", f"{FILE} as path", "text")
+
+
+def _commands(spark, sf_dir):
+    """A command for most files; those of every fourth are on files that aren't there."""
+    path = f"'/memories/' || case when doc_id % 4 = 0 then 'none' else '' end || {FILE}"
+    a = "case doc_id % 7 when 1 then 'zzz' when 4 then 'moved/d' || doc_id when 5 then 'e' else 'one line' end"
+    return _files(spark, sf_dir).filter("doc_id % 7 < 6").selectExpr(f"{COMMAND} as command", f"{path} as path", f"{a} as a", "'X' as b", "cast(case when doc_id % 3 = 0 then 99999 else 1 end as int) as line")
+
+
+def file_answers(spark, sf_dir):
+    """What commands on memory files answer."""
+    return fl.commanded(_files(spark, sf_dir).select("path", "text"), _commands(spark, sf_dir))[1]
+
+
+def file_commands(spark, sf_dir):
+    """Memory files after the commands."""
+    out = fl.commanded(_files(spark, sf_dir).select("path", "text"), _commands(spark, sf_dir))[0]
+    return out.select("path", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+def file_views(spark, sf_dir):
+    """Views of memory files: all, a range, to the end, and of files that aren't there."""
+    files = _files(spark, sf_dir)
+    ranges = "case when doc_id % 3 > 0 then 2 end as first", "case doc_id % 3 when 1 then 3 when 2 then -1 end as last"
+    views = files.selectExpr(f"case when doc_id % 10 = 0 then 'no/' else '/memories/' end || {FILE} as path", *ranges)
+    return fl.viewed(files.select("path", "text"), views)
+
+
 def stream_redact(spark, sf_dir):
     """Notes that arrive as a stream, redacted with their sessions' codes."""
     from sealgrove.plans.notes import COLUMNS
@@ -124,7 +159,7 @@ def stream_redact(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     sub_documents, boundary_windows, window_sub_documents, chunk_positions, redact_by_text, verify_replacement, put_back, word_list, excluded_words, mapping_roundtrip, mentioned_entities,
-    sources_with_parts, entity_at, highlight_spans, stream_redact)}
+    sources_with_parts, entity_at, highlight_spans, file_answers, file_commands, file_views, stream_redact)}
 _TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 _LINES = "array_to_string(l[{}:{}], chr(10))"
 _PIECE = "substr(text, {i} * (length(text) // {n}) + 1, length(text) // {n})"
@@ -162,5 +197,29 @@ ORACLES = {
       select a.doc_id, at_place as at, k.text from a left join kept k on k.doc_id = a.doc_id and k.s <= at_place and at_place < k.e""",
     "highlight_spans": ON_NOTES + """select doc_id, 'original' as side, s, e from coded union all
       select doc_id, 'redacted', (s + d)::int, (s + d + length(shown))::int from (select *, coalesce(sum(length(shown) - (e - s)) over (partition by doc_id order by s rows between unbounded preceding and 1 preceding), 0) as d from coded)""",
+    "file_answers": f"""with c as (select *, {COMMAND} as command, '/memories/' || case when doc_id % 4 = 0 then 'none' else '' end || {FILE} as path, doc_id % 4 = 0 as gone, string_split(text, chr(10)) as l from documents where doc_id % 7 < 6)
+      select command, path, case command when 'create' then case when gone then 'File created successfully at: ' || path else 'Error: File ' || path || ' already exists' end
+        when 'str_replace' then case when gone then 'Error: The path ' || path || ' does not exist. Please provide a valid path.'
+          when doc_id % 7 = 1 and not contains(text, 'zzz') then 'No replacement was performed, old_str `zzz` did not appear verbatim in ' || path || '.'
+          when doc_id % 7 = 1 then 'The memory file has been edited.' when not contains(text, 'e') then 'No replacement was performed, old_str `e` did not appear verbatim in ' || path || '.'
+          when length(text) - length(replace(text, 'e', '')) = 1 then 'The memory file has been edited.'
+          else 'No replacement was performed. Multiple occurrences of old_str `e` in lines: ' || array_to_string(list_filter(range(1, len(l) + 1), lambda i: contains(l[i], 'e')), ', ') || '. Please ensure it is unique' end
+        when 'insert' then case when gone then 'Error: The path ' || path || ' does not exist' when doc_id % 3 = 0
+          then 'Error: Invalid `insert_line` parameter: 99999. It should be within the range of lines of the file: [0, ' || len(l) || ']' else 'The file ' || path || ' has been edited.' end
+        when 'delete' then case when gone then 'Error: The path ' || path || ' does not exist' else 'Successfully deleted ' || path end
+        else case when gone then 'Error: The path ' || path || ' does not exist' else 'Successfully renamed ' || path || ' to moved/d' || doc_id end end as answer from c""",
+    "file_commands": f"""select {FILE} as path, md5(text) as digest from documents where doc_id % 4 = 0 or doc_id % 7 in (0, 6) or (doc_id % 7 = 1 and length(text) - length(replace(text, 'zzz', '')) <> 3)
+          or (doc_id % 7 = 5 and length(text) - length(replace(text, 'e', '')) <> 1) or (doc_id % 7 = 2 and doc_id % 3 = 0)
+      union all select {FILE}, md5(replace(replace(text, case when doc_id % 7 = 5 then 'e' else 'zzz' end, 'X'), '', '')) from documents where doc_id % 4 > 0
+        and (doc_id % 7 = 5 and length(text) - length(replace(text, 'e', '')) = 1 or doc_id % 7 = 1 and length(text) - length(replace(text, 'zzz', '')) = 3)
+      union all select 'none' || {FILE}, md5('one line') from documents where doc_id % 28 = 0
+      union all select {FILE}, md5(split_part(text, chr(10), 1) || chr(10) || 'one line' || substr(text, length(split_part(text, chr(10), 1)) + 1)) from documents where doc_id % 7 = 2 and doc_id % 4 > 0 and doc_id % 3 > 0
+      union all select 'moved/d' || doc_id, md5(text) from documents where doc_id % 7 = 4 and doc_id % 4 > 0""",
+    "file_views": f"""with v as (select doc_id, case when doc_id % 10 = 0 then 'no/' else '/memories/' end || {FILE} as path, string_split(text, chr(10)) as l from documents),
+      r as (select *, len(l) as n, case when doc_id % 3 > 0 then 1 else 0 end as b, case doc_id % 3 when 0 then least(len(l), 300) when 1 then case when least(3, len(l)) < 1 then len(l) else least(3, len(l)) end else len(l) end as z from v)
+      select path, case when doc_id % 10 = 0 then 'The path ' || path || ' does not exist. Please provide a valid path.'
+        else case when doc_id % 3 = 0 and n > 300 then 'Here''s the first 300 lines of ' || path || ' (total: ' || n || ' lines):' || chr(10) else 'Here''s the content of ' || path || ' with line numbers:' || chr(10) end
+          || array_to_string(list_transform(range(b + 1, z + 1), lambda i: lpad(i::varchar, 6, ' ') || chr(9) || l[i] || chr(10)), '')
+          || case when doc_id % 3 = 0 and n > 300 then chr(10) || '[... ' || (n - 300) || ' more lines. Use view_range: [start, end] to see specific sections ...]' || chr(10) else '' end end as answer from r""",
     "stream_redact": ON_NOTES + "select doc_id, redacted from redacted",
 }
