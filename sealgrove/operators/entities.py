@@ -1,7 +1,10 @@
 """Entities of sessions: codes with person variants, redaction by position, restoring, checks of placeholders.
 
-Tables: mentions (session_id, doc_id, doc_seq, s, e, text, type, confidence, rec_ord, pat_ord, key), codes (session_id, key, original, type, code,
-base_id, variant, anchor). A null session_id is a session like any other, and so is a null doc_id a document.
+Tables: mentions (session_id, doc_id, doc_seq, row, s, e, text, type, confidence, rec_ord, pat_ord, key), codes (session_id, key, original, type, code,
+base_id, variant, anchor). A null session_id is a session like any other.
+
+Spans, placeholders and leaks belong to a document by its `row`, a key of session, id and text: ids may be null, repeat with other texts, or recur in another session.
+Rows that agree in all three are copies of one document; each of them is redacted, restored and mended, and tables of spans or codes by document name them once.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from sealgrove.functions import dates
 from sealgrove.functions import names as fn
 from sealgrove.functions.scan import scan, splice
 from sealgrove.functions.words import PREFIXES, VARIANTS
-from sealgrove.operators.joins import joined, numbered
+from sealgrove.operators.joins import identified, joined, numbered
 from sealgrove.operators.recognizers import RULES, Rule, detect
 from sealgrove.operators.spans import key_of, without_overlaps
 from sealgrove.sources.tables import written
@@ -24,8 +27,8 @@ PERSON_PREFIXES = tuple(v for k, v in PREFIXES.items() if k.startswith("person")
 
 def kept_mentions(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keys: tuple[str, ...] = ("session_id", "doc_id", "doc_seq"), **options) -> DataFrame:
     """Mentions without overlaps: detected and resolved in the document's row, without a shuffle."""
-    found = detect(docs, rules, **options).select(*keys, F.explode(without_overlaps(F.col("mentions"))).alias("m"))
-    return found.select(*keys, "m.*").withColumn("key", key_of(F.col("text"))).filter(F.length("key") > 1)
+    found = identified(detect(docs, rules, **options), "text").select(*keys, "row", F.explode(without_overlaps(F.col("mentions"))).alias("m"))
+    return found.select(*keys, "row", "m.*").withColumn("key", key_of(F.col("text"))).filter(F.length("key") > 1)
 
 
 def _persons_name(text: Column) -> Column:
@@ -101,10 +104,14 @@ def coded(mentions: DataFrame, codes: DataFrame, keep_year: bool = True) -> Data
     return out.withColumn("shown", c.rendered(F.col("code"), F.col("type"), F.col("text"), keep_year))
 
 
+def _gathered(spans: DataFrame, shown: str) -> Column:
+    """A document's spans in order, each once."""
+    return F.array_sort(F.collect_set(F.struct("s", "e", F.col(shown).alias("code")))).alias("_spans")
+
+
 def _spliced(docs: DataFrame, spans: DataFrame, text: str, name: str, shown: str) -> DataFrame:
     """`docs` with `name`: the text with each of its spans replaced; spans are gathered by document, so that the text isn't copied for each."""
-    own = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("s", "e", F.col(shown).alias("code")))).alias("_spans"))
-    out = joined(docs, own, ("doc_id",), "left")
+    out = identified(docs, text).join(spans.groupBy("row").agg(_gathered(spans, shown)), "row", "left").drop("row")
     return out.withColumn(name, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(splice(F.col(text), F.col("_spans")))).drop("_spans")
 
 
@@ -115,14 +122,14 @@ def redact(docs: DataFrame, coded: DataFrame) -> DataFrame:
 
 def output_offsets(coded: DataFrame) -> DataFrame:
     """Where replacements stand in the redacted text."""
-    before = Window.partitionBy("doc_id").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("row").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     shift = F.coalesce(F.sum(F.length("shown") - (F.col("e") - F.col("s"))).over(before), F.lit(0))
-    return coded.select("doc_id", "shown", (F.col("s") + shift).cast("int").alias("out_s"), (F.col("s") + shift + F.length("shown")).cast("int").alias("out_e"))
+    return coded.dropDuplicates(["row", "s"]).select("doc_id", "shown", (F.col("s") + shift).cast("int").alias("out_s"), (F.col("s") + shift + F.length("shown")).cast("int").alias("out_e"))
 
 
 def placeholders(docs: DataFrame, text: str = "redacted", keys: tuple[str, ...] = ("session_id", "doc_id")) -> DataFrame:
-    """Placeholders of a text with their places; a date's takes the year behind it."""
-    found = docs.select(*keys, F.explode(scan(F.col(text), c.PLACEHOLDER)).alias("p")).select(*keys, "p.*")
+    """Placeholders of a text with their places and the `row` of the document with this text; a date's takes the year behind it."""
+    found = identified(docs, text).select(*keys, "row", F.explode(scan(F.col(text), c.PLACEHOLDER)).alias("p")).select(*keys, "row", "p.*")
     return found.withColumn("code", F.regexp_extract("t", r"\[[^\]]+\]", 0))
 
 
@@ -151,19 +158,22 @@ def unknown_placeholders(docs: DataFrame, codes: DataFrame, text: str) -> DataFr
     return joined(found, codes.select("session_id", "code"), ("session_id", "code"), "left_anti")
 
 
-def missing_placeholders(coded: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """Codes of a document that a text of it no longer has."""
-    own = coded.select("session_id", "doc_id", "code").distinct()
-    return joined(own, placeholders(docs, text).select("doc_id", "code").distinct(), ("doc_id", "code"), "left_anti")
+def missing_placeholders(coded: DataFrame, docs: DataFrame, text: str, source: str = "text") -> DataFrame:
+    """(session_id, doc_id, code): codes of a document, whose own text is `source`, that a text of it no longer has."""
+    left = F.transform(scan(F.col(text), c.PLACEHOLDER), lambda p: F.regexp_extract(p["t"], r"\[[^\]]+\]", 0))
+    texts = identified(docs, source).select("session_id", "doc_id", "row", F.coalesce(left, F.array().cast("array<string>")).alias("_left"))
+    own = coded.groupBy("row").agg(F.collect_set("code").alias("_codes"))
+    return texts.join(own, "row").select("session_id", "doc_id", F.explode(F.array_except("_codes", "_left")).alias("code"))
 
 
 def fix_partial_leaks(docs: DataFrame, codes: DataFrame, text: str, source: str = "text") -> DataFrame:
     """`docs` with `fixed`: letters that follow a code go, where the original with them occurs in the source."""
-    leaks = docs.select("session_id", "doc_id", F.explode(scan(F.col(text), r"\[[A-Z_]+\][a-zA-Z]+")).alias("p")).select("session_id", "doc_id", "p.*")
+    docs = identified(docs, text, source)
+    leaks = docs.select("session_id", "row", F.explode(scan(F.col(text), r"\[[A-Z_]+\][a-zA-Z]+")).alias("p")).select("session_id", "row", "p.*")
     leaks = leaks.withColumn("code", F.regexp_extract("t", r"^\[[A-Z_]+\]", 0)).withColumn("_tail", F.regexp_extract("t", r"\]([a-zA-Z]+)$", 1))
     known = joined(leaks, codes.groupBy("session_id", "code").agg(F.collect_set(F.lower("original")).alias("_names")), ("session_id", "code"))
-    own = known.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("s", "e", "code", "_names", "_tail"))).alias("_leaks"))
-    out = joined(docs, own, ("doc_id",), "left")
+    own = known.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("s", "e", "code", "_names", "_tail"))).alias("_leaks"))
+    out = docs.join(own, "row", "left").drop("row")
     low = F.lower(F.col(source))
     real = F.filter("_leaks", lambda x: F.exists(x["_names"], lambda n: F.contains(low, F.concat(n, F.lower(x["_tail"])))))
     spans = F.transform(real, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["code"].alias("code")))
@@ -179,7 +189,7 @@ def redact_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep_year
     mentions = written(kept_mentions(docs, rules, **options), "mentions")
     codes = written(assign_codes(mentions), "codes")
     own = coded(mentions, codes, keep_year)
-    spans = own.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("s", "e", F.col("shown").alias("code")))).alias("_spans"), F.countDistinct("key").alias("n_entities"))
-    out = joined(docs, spans, ("doc_id",), "left").withColumn("n_entities", F.coalesce("n_entities", F.lit(0)))
+    spans = own.groupBy("row").agg(_gathered(own, "shown"), F.size(F.collect_set("key")).alias("n_entities"))
+    out = identified(docs, "text").join(spans, "row", "left").drop("row").withColumn("n_entities", F.coalesce("n_entities", F.lit(0)))
     out = out.withColumn("redacted", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(splice(F.col("text"), F.col("_spans"))))
     return out.drop("_spans"), codes

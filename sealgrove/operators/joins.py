@@ -4,12 +4,23 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sealgrove.sources.tables import written
 
 
+def row_key(*columns: str) -> Column:
+    """128 bits that stand for the values of columns, nulls included: rows have one key if they agree in all of them."""
+    values = [x for c in columns for x in (F.isnull(c), F.col(c))]
+    return F.struct(*(F.xxhash64(F.lit(k), *values).alias(f"h{k}") for k in (0, 1)))
+
+
+def identified(df: DataFrame, *texts: str) -> DataFrame:
+    """`df` with `row`: what tells its documents apart, whatever their ids. Documents of equal session, id and texts are one; an id may be null, repeat, or recur in another session."""
+    return df.withColumn("row", row_key(*(c for c in ("session_id", "doc_id") if c in df.columns), *texts))
+
+
 def joined(a: DataFrame, b: DataFrame, keys: tuple[str, ...] | list[str], how: str = "inner") -> DataFrame:
     """`a` joined with `b` on equal keys, null being equal to null; the keys are a's. Other columns must have different names."""
     b = b.select(*(F.col(c).alias(f"_right_{c}") if c in keys else F.col(c) for c in b.columns))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sealgrove.functions.scan import folded, let
 from sealgrove.operators.recognizers import MENTIONS
 
 
@@ -20,17 +21,14 @@ def key_of(x: Column) -> Column:
 
 def _fold(spans: Column, wins, kind: str = MENTIONS) -> Column:
     """Spans in order of their starts, without overlaps: of two that overlap, `wins(next, kept)` says whether the next replaces the kept one."""
-    element = kind[len("array<") : -1]
-    start = F.struct(F.lit(None).cast(element).alias("keep"), F.array().cast(kind).alias("out"))
+    none = F.array().cast(kind)
 
-    def step(acc: Column, x: Column) -> Column:
-        keep = acc["keep"]
+    def step(keep: Column, x: Column) -> tuple[Column, Column]:
         apart = keep.isNull() | (x["s"] >= keep["e"])
-        new = F.when(apart | wins(x, keep), x).otherwise(keep)
-        out = F.when(apart & keep.isNotNull(), F.concat(acc["out"], F.array(keep))).otherwise(acc["out"])
-        return F.struct(new.alias("keep"), out.alias("out"))
+        return F.when(apart | wins(x, keep), x).otherwise(keep), F.when(apart & keep.isNotNull(), F.array(keep)).otherwise(none)
 
-    return F.aggregate(spans, start, step, lambda acc: F.when(acc["keep"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["keep"]))))
+    last = lambda r: F.when(r["state"].isNull(), r["out"]).otherwise(F.concat(r["out"], F.array(r["state"])))
+    return let(folded(spans, kind, F.lit(None).cast(kind[len("array<") : -1]), step), last)
 
 
 def in_order(spans: Column) -> Column:
@@ -53,24 +51,24 @@ def without_chunk_overlaps(spans: Column) -> Column:
     """Spans by start, longer first; one that overlaps the last kept end by more than half of itself is skipped."""
     keyed = F.transform(spans, lambda x: F.struct(x["s"].alias("s"), (-(x["e"] - x["s"])).alias("l"), x["e"].alias("e")))
     kind = "array<struct<s:int,l:int,e:int>>"
-    start = F.struct(F.lit(0).alias("end"), F.array().cast(kind).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        skip = (acc["end"] - x["s"]) > F.floor((x["e"] - x["s"]) / 2)
-        return F.struct(F.when(skip, acc["end"]).otherwise(F.greatest(acc["end"], x["e"])).alias("end"), F.when(skip, acc["out"]).otherwise(F.concat(acc["out"], F.array(x))).alias("out"))
+    def step(end: Column, x: Column) -> tuple[Column, Column]:
+        skip = (end - x["s"]) > F.floor((x["e"] - x["s"]) / 2)
+        return F.when(skip, end).otherwise(F.greatest(end, x["e"])), F.when(skip, F.array().cast(kind)).otherwise(F.array(x))
 
-    return F.aggregate(F.array_sort(keyed), start, step, lambda acc: acc["out"])
+    return folded(F.array_sort(keyed), kind, F.lit(0), step)["out"]
 
 
-def merged_by_text(mentions: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """An entity for each text of a document: first original, positions, best confidence; a person's type wins over a location."""
+def merged_by_text(mentions: DataFrame, *doc: str) -> DataFrame:
+    """An entity for each text of a document: first original, positions, best confidence; a person's type wins over a location. `doc`: the columns that name a document, `row` and doc_id by default."""
+    doc = doc or ("row", "doc_id")
     m = mentions.withColumn("key", key_of(F.col("text"))).filter(F.length("key") > 1)
     order = F.struct("s", "rec_ord", "pat_ord", "e")
     person = F.col("type").startswith("person")
-    return m.groupBy(doc, "key").agg(
+    return m.groupBy(*doc, "key").agg(
         F.min_by("text", order).alias("original"), F.min_by("type", order).alias("_type"), F.min_by("type", F.when(person, order)).alias("_person"),
-        F.max("confidence").alias("confidence"), F.min("s").alias("first_start"), F.count(F.lit(1)).alias("n_positions"),
-        F.array_sort(F.collect_list(F.struct("s", "e"))).alias("positions"),
+        F.max("confidence").alias("confidence"), F.min("s").alias("first_start"), F.countDistinct("s", "e").alias("n_positions"),
+        F.array_sort(F.collect_set(F.struct("s", "e"))).alias("positions"),
     ).withColumn("type", F.when((F.col("_type") == "location") & F.col("_person").isNotNull(), F.col("_person")).otherwise(F.col("_type"))).drop("_type", "_person")
 
 
