@@ -27,6 +27,29 @@ def letters(n: Column) -> Column:
     return out.when(n.isNotNull(), F.raise_error(F.concat(F.lit("no letters for "), n)))
 
 
+def letters_of(n: int) -> str:
+    """`letters` of a plain number."""
+    out = ""
+    while n >= 0:
+        n, k = divmod(n, 26)
+        out, n = chr(65 + k) + out, n - 1
+    return out
+
+
+def index_of(letters: str) -> int:
+    """The inverse of `letters_of`."""
+    n = 0
+    for x in letters:
+        n = n * 26 + ord(x) - 64
+    return n - 1
+
+
+def letter_index(letters: Column) -> Column:
+    """The inverse of `letters`: null for anything but one to twelve capitals."""
+    known = letters.rlike("^[A-Z]{1,12}$")
+    return F.when(known, F.aggregate(F.split(letters, ""), F.lit(0).cast("long"), lambda n, x: F.when(x == "", n).otherwise(n * 26 + F.ascii(x) - 64)) - 1)
+
+
 def base_id(type: Column, n: Column) -> Column:
     """PREFIX_LETTERS of the n-th of a type; an unknown type raises an error, as its mention would stay unredacted."""
     prefix = F.create_map(*(F.lit(x) for kv in PREFIXES.items() for x in kv))

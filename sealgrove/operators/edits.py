@@ -1,18 +1,22 @@
 """Edits of codes, persons, exclusions and word lists as set operations: each takes all of a session's picks at once.
 
-`codes` is the table of operators.entities. Numbers that are dealt anew go on behind those that a session has for the type; picks are dealt in the order
-of their keys. Sessions may be null.
+`codes` is the table of operators.entities. Numbers that are dealt anew go on behind the highest that a session has for the type, or from `next_` (session_id, prefix, next) on where that is
+given, which keeps the numbers of codes that have gone from being dealt again: `edit_log.counters` of the codes before. Picks are dealt in the order of their keys; of several for one key the
+smallest counts. Sessions may be null.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sealgrove.functions import codes as c
 from sealgrove.functions import names as fn
-from sealgrove.functions.words import PREFIXES, VARIANTS
-from sealgrove.operators.joins import joined, numbered
+from sealgrove.functions.words import VARIANTS
+from sealgrove.operators.dictionary import seen_terms
+from sealgrove.operators.edit_log import counters, prefix_of
+from sealgrove.operators.edit_log import dealt as in_order
+from sealgrove.operators.joins import joined
 
 KEY = ("session_id", "key")
 
@@ -38,42 +42,33 @@ def with_unknown_placeholders(codes: DataFrame, found: DataFrame) -> DataFrame:
     return codes.unionByName(new)
 
 
-def _prefix_of(base: Column) -> Column:
-    return F.substring_index(base, "_", 1)
-
-
-def _prefix(type: Column) -> Column:
-    return F.create_map(*(F.lit(x) for kv in PREFIXES.items() for x in kv))[type]
-
-
-def dealt(codes: DataFrame, new: DataFrame) -> DataFrame:
+def dealt(codes: DataFrame, new: DataFrame, next_: DataFrame | None = None) -> DataFrame:
     """`new` (session_id, type and other columns, `at` to order by) with a base_id each: the next free numbers of their types."""
-    taken = codes.groupBy("session_id", _prefix_of(F.col("base_id")).alias("_prefix")).agg(F.countDistinct("base_id").alias("_taken"))
-    own = numbered(new, ("session_id", "type"), ("at",), "_n").withColumn("_prefix", _prefix(F.col("type")))
-    own = joined(own, taken, ("session_id", "_prefix"), "left")
-    return own.withColumn("base_id", c.base_id(F.col("type"), F.col("_n") + F.coalesce("_taken", F.lit(0)))).drop("_n", "_taken", "_prefix", "at")
+    return in_order(new, next_ if next_ is not None else counters(codes), codes.select("session_id", "base_id").distinct()).drop("at")
 
 
-def reclassified_keys(codes: DataFrame, picks: DataFrame) -> DataFrame:
+def reclassified_keys(codes: DataFrame, picks: DataFrame, next_: DataFrame | None = None) -> DataFrame:
     """Codes after picks (session_id, key, new_type): the keys get the next codes of their new types, without a variant."""
-    own = joined(codes.select(*KEY, "original"), picks, KEY).withColumnRenamed("new_type", "type").withColumn("at", F.col("key"))
-    own = dealt(codes, own).withColumns({"variant": F.lit(None).cast("string"), "anchor": F.lit(False)}).withColumn("code", c.with_variant(F.col("base_id"), F.col("variant")))
+    picks = picks.groupBy(*KEY).agg(F.min("new_type").alias("type"))
+    own = joined(codes.select(*KEY, "original"), picks, KEY).withColumn("at", F.col("key"))
+    own = dealt(codes, own, next_).withColumns({"variant": F.lit(None).cast("string"), "anchor": F.lit(False)}).withColumn("code", c.with_variant(F.col("base_id"), F.col("variant")))
     return upserted(codes, own)
 
 
-def reclassified_groups(codes: DataFrame, picks: DataFrame) -> DataFrame:
+def reclassified_groups(codes: DataFrame, picks: DataFrame, next_: DataFrame | None = None) -> DataFrame:
     """Codes after picks (session_id, base_id, new_type), for all codes of the bases: a base keeps its letters if no other of the new type has them.
 
     Of several picked bases with the same letters the first keeps them; the others get the next letters. Variants stay.
     """
     letters = F.substring_index("base_id", "_", -1)
-    own = picks.withColumn("want", F.concat(_prefix(F.col("new_type")), F.lit("_"), letters))
+    own = picks.groupBy("session_id", "base_id").agg(F.min("new_type").alias("new_type")).withColumn("want", F.concat(prefix_of(F.col("new_type")), F.lit("_"), letters))
     others = removed(codes, picks, ("session_id", "base_id")).select("session_id", F.col("base_id").alias("want"), F.lit(True).alias("_used")).distinct()
     nth = F.row_number().over(Window.partitionBy("session_id", "want").orderBy("base_id"))
     own = joined(own, others, ("session_id", "want"), "left").withColumn("_keeps", F.col("_used").isNull() & (nth == 1))
     kept = own.filter("_keeps").select("session_id", "base_id", "new_type", F.col("want").alias("_new"))
     rest = own.filter("not _keeps").select("session_id", F.col("base_id").alias("old"), F.col("new_type").alias("type"), F.col("base_id").alias("at"))
-    rest = dealt(codes, rest).select("session_id", F.col("old").alias("base_id"), F.col("type").alias("new_type"), F.col("base_id").alias("_new"))
+    wanted = kept.select("session_id", F.col("_new").alias("base_id"))  # what others keep is in use too
+    rest = in_order(rest, next_ if next_ is not None else counters(codes), codes.select("session_id", "base_id").unionByName(wanted).distinct()).select("session_id", F.col("old").alias("base_id"), F.col("type").alias("new_type"), F.col("base_id").alias("_new"))
     moved = joined(codes, kept.unionByName(rest), ("session_id", "base_id"), "left")
     out = moved.withColumns({"type": F.coalesce("new_type", "type"), "base_id": F.coalesce("_new", "base_id")}).drop("new_type", "_new")
     return out.withColumn("code", c.with_variant(F.col("base_id"), F.col("variant"))).select(*codes.columns)
@@ -86,6 +81,8 @@ def merged_aliases(codes: DataFrame, picks: DataFrame) -> DataFrame:
     several words, else as FIRST. Picks whose primary isn't there are ignored.
     """
     known = codes.select("session_id", F.col("key").alias("primary"), F.col("original").alias("_name"), F.col("base_id").alias("_base"), "type")
+    rest = ["alias_text"] if "alias_text" in picks.columns else []
+    picks = picks.groupBy("session_id", "alias").agg(F.min(F.struct("primary", *rest)).alias("x")).select("session_id", "alias", "x.*")
     own = joined(picks, known, ("session_id", "primary"))
     p = fn.person(F.col("_name"))
     text = F.coalesce("alias_text", "alias") if "alias_text" in picks.columns else F.col("alias")
@@ -115,14 +112,12 @@ def renamed_persons(codes: DataFrame, names: DataFrame) -> DataFrame:
     return upserted(removed(codes, names, ("session_id", "base_id")), new)
 
 
-def with_custom_terms(codes: DataFrame, docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Codes with the user's terms (session_id, term, type) that occur in a text of their session and have no code yet, trimmed."""
-    own = terms.select("session_id", F.btrim("term").alias("original"), "type").withColumn("key", F.lower("original")).filter("key <> ''").dropDuplicates(["session_id", "key"])
+def with_custom_terms(codes: DataFrame, docs: DataFrame, terms: DataFrame, next_: DataFrame | None = None) -> DataFrame:
+    """Codes with the user's terms (session_id, term, type) that occur in a text of their session and have no code yet, trimmed. All terms are looked for in one pass over the texts."""
+    own = terms.select("session_id", F.btrim("term").alias("original"), "type").withColumn("key", F.lower("original")).filter("key <> ''")
+    own = own.groupBy(*KEY).agg(F.min(F.struct("original", "type")).alias("x")).select(*KEY, "x.*")
     own = joined(own, codes.select(*KEY), KEY, "left_anti")
-    gathered = own.groupBy("session_id").agg(F.collect_set("key").alias("_keys"))
-    low = F.lower("text")
-    seen = joined(docs.select("session_id", "text"), gathered, ("session_id",)).select("session_id", F.explode(F.filter("_keys", lambda k: F.contains(low, k))).alias("key")).distinct()
-    new = dealt(codes, joined(own, seen, KEY).withColumn("at", F.col("key")))
+    new = dealt(codes, joined(own, seen_terms(docs, own), KEY, "left_semi").withColumn("at", F.col("key")), next_)
     new = new.withColumns({"variant": F.lit(None).cast("string"), "anchor": F.lit(False)}).withColumn("code", c.with_variant(F.col("base_id"), F.col("variant")))
     return codes.unionByName(new.select(*codes.columns))
 

@@ -1,8 +1,7 @@
-"""Recognizers: rows of patterns, scanned in one pass over the texts, and a plug-in protocol for models."""
+"""Recognizers: rows of patterns, scanned in one pass over the texts, lists of the user's words, and a plug-in protocol for models."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -11,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sealgrove.functions import words as w
-from sealgrove.functions.scan import scan, scannable
+from sealgrove.functions.scan import MENTIONS, scan, scannable
+from sealgrove.operators.dictionary import Words, with_hits
 
-MENTIONS = "array<struct<s:int,e:int,text:string,type:string,confidence:double,rec_ord:int,pat_ord:int>>"
 MODEL_MENTIONS = "doc_id long, s int, e int, text string, type string, confidence double, rec_ord int, pat_ord int"
 
 
@@ -81,16 +80,15 @@ MODEL_RULES: tuple[Rule, ...] = (
 BY_NAME = {r.name: r for r in (*RULES, *MODEL_RULES)}
 
 
-def inclusion_rule(words: list[str], type: str = "person_other") -> Rule | None:
-    """The user's words as a rule: found anywhere, in any case, the longest first."""
-    words = sorted({x for x in words if x}, key=lambda x: (-len(x), x))
-    return Rule("inclusion", 8, 0, "(?i)(?:" + "|".join(re.escape(x) for x in words) + ")", type, 1.0) if words else None
+def inclusion_rule(words: list[str | tuple[str, str]], type: str = "person_other") -> Words:
+    """The user's words, alone or with a type each, to be looked for beside rules: found anywhere, in any case."""
+    return Words((x, type) if isinstance(x, str) else x for x in words if x)
 
 
 def found_by(rule: Rule, text: Column, exclude: tuple[str, ...] = ()) -> Column:
     """The rule's mentions in a scannable text, as MENTIONS. `exclude`: the user's excluded words, for names."""
     spans = scan(text, rule.pattern, rule.group, clean=True)
-    drop = (*rule.drop, *((x.lower() for x in exclude) if rule.rec_ord in (5, 7) else ()))
+    drop = (*rule.drop, *((x.strip().lower() for x in exclude if x) if rule.rec_ord in (5, 7) else ()))
     if drop:
         spans = F.filter(spans, lambda x: ~F.lower(x["t"]).isin(*drop))
     if rule.name == "double_capital":
@@ -103,13 +101,20 @@ def found_by(rule: Rule, text: Column, exclude: tuple[str, ...] = ()) -> Column:
     return F.when(F.contains(text, F.lit(rule.needs)), out).otherwise(F.array().cast(MENTIONS)) if rule.needs else F.coalesce(out, F.array().cast(MENTIONS))
 
 
-def detect(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", exclude: tuple[str, ...] = ()) -> DataFrame:
-    """`df` with `mentions`: what all rules find, in one pass without a shuffle."""
+def detect(df: DataFrame, rules: tuple[Rule | Words, ...] = RULES, text: str = "text", exclude: tuple[str, ...] = ()) -> DataFrame:
+    """`df` with `mentions`: what all rules and word lists find, in one pass without a shuffle.
+
+    `exclude`: the user's excluded words, in any case. They hold for known names, names behind titles and the word lists.
+    """
+    lists = {f"_words{k}": r for k, r in enumerate(r for r in rules if isinstance(r, Words))}
+    for name, words in lists.items():
+        df = with_hits(df, words, text, name, exclude)
     clean = df.withColumn("_scan", scannable(F.col(text)))
-    return clean.withColumn("mentions", F.flatten(F.array(*(found_by(r, F.col("_scan"), exclude) for r in rules)))).drop("_scan")
+    found = [*(found_by(r, F.col("_scan"), exclude) for r in rules if isinstance(r, Rule)), *map(F.col, lists)]
+    return clean.withColumn("mentions", F.flatten(F.array(*found))).drop("_scan", *lists)
 
 
-def mentions(df: DataFrame, rules: tuple[Rule, ...] = RULES, keys: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
+def mentions(df: DataFrame, rules: tuple[Rule | Words, ...] = RULES, keys: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
     """A row for each mention, with the document's keys."""
     return detect(df, rules, **options).select(*keys, F.explode("mentions").alias("m")).select(*keys, "m.*")
 

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sealgrove.functions import words as w
+from sealgrove.operators.dictionary import listed, with_hits
 from sealgrove.operators.recognizers import BY_NAME, RULES, Rule, inclusion_rule, mentions
 from sealgrove.plans.notes import SQL as NOTES
 from sealgrove.plans.notes import notes
 from sealgrove.sources.tables import read_table, spread
 
-INCLUDED = ["came, too", "high street", "Versteeg"]
+INCLUDED = [("came, too", "person_other"), ("high street", "location"), ("Versteeg", "person_client"), ("STREET", "organization"), ("ere", "identifier"), ("Weighs", "date")]
+EXCLUDED = ("weighs", "versteegh")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +80,28 @@ def det_model_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def det_inclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mentions(notes(spark, sf_dir), (inclusion_rule(INCLUDED),)).select("doc_id", "s", "e", "text", "confidence")
+    """The user's words with their types, but for the one that is excluded."""
+    return mentions(notes(spark, sf_dir), (inclusion_rule(INCLUDED),), exclude=EXCLUDED).select("doc_id", "s", "e", "text", "type", "confidence")
+
+
+def det_user_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known and titled names with some excluded, beside the user's words."""
+    rules = (BY_NAME["known_name"], BY_NAME["title_name"], BY_NAME["relation_name"], inclusion_rule(INCLUDED))
+    return mentions(notes(spark, sf_dir), rules, exclude=("SEAN", "aroha", "Lintern")).select("doc_id", "s", "e", "text", "type", "rec_ord")
+
+
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(word, type) of the words of five to eight letters of every other document; none that can overlap itself."""
+    words = read_table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    apart = " and ".join(f"left(word, {b}) <> right(word, {b})" for b in range(1, 5))
+    return words.filter(f"length(word) between 5 and 8 and {apart}").distinct().withColumn("type", F.expr("concat('t', length(word) % 3)"))
+
+
+def dictionary_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of all those words in all documents, inside longer words too."""
+    found = with_hits(_documents(spark, sf_dir), listed(_listed(spark, sf_dir)))
+    hit = found.select("doc_id", F.explode("hits").alias("h"))
+    return hit.groupBy("doc_id", F.col("h.type").alias("type")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("h.s").cast("long")).alias("starts"))
 
 
 def det_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,12 +112,21 @@ def det_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RUNS = "select doc_id, trim(unnest(regexp_extract_all(text, '[A-Za-z0-9-]+')), '-') as text from documents"
 _DOUBLE = "substr(text, 1, 2) not in (" + ", ".join(map(_quote, w.CAPITAL_PREFIXES)) + ")"
 _MODEL = "regexp_matches(text, '[A-Za-z]') and regexp_matches(text, '[0-9]') and lower(text) not in (" + ", ".join(map(_quote, w.ABBREVIATIONS)) + ")"
-_INCLUDED = Rule("inclusion", 8, 0, inclusion_rule(INCLUDED).pattern.replace("\\ ", " ").replace("\\,", ","), "person_other", 1.0)
-QUERIES |= {"det_alnum_catchall": det_alnum_catchall, "det_double_capitals": det_double_capitals, "det_model_identifiers": det_model_identifiers, "det_inclusions": det_inclusions, "det_all": det_all}
+_INCLUDED = [Rule("inclusion", 8, 0, f"(?i){word}", type, 1.0) for word, type in INCLUDED]
+QUERIES |= {"det_alnum_catchall": det_alnum_catchall, "det_double_capitals": det_double_capitals, "det_model_identifiers": det_model_identifiers, "det_inclusions": det_inclusions, "det_user_words": det_user_words, "dictionary_scan": dictionary_scan, "det_all": det_all}
 ORACLES |= {
     "det_alnum_catchall": f"select doc_id, text, count(*) as n from ({_RUNS}) where length(text) >= 4 and regexp_matches(text, '[A-Za-z]') and regexp_matches(text, '[0-9]') group by all",
     "det_double_capitals": f"with notes as ({NOTES}) select doc_id, s, e, text from ({sql_scan('notes', BY_NAME['double_capital'], _DOUBLE)})",
     "det_model_identifiers": f"with notes as ({NOTES}) select doc_id, s, e, text from ({sql_scan('notes', BY_NAME['model_identifier'], _MODEL)})",
-    "det_inclusions": f"with notes as ({NOTES}) select doc_id, s, e, text, confidence from ({sql_scan('notes', _INCLUDED)})",
+    "det_inclusions": f"with notes as ({NOTES}) select doc_id, s, e, text, type, confidence from ({' union all '.join(sql_scan('notes', r) for r in _INCLUDED if r.type != 'date')})",
+    "det_user_words": f"""with notes as ({NOTES}) select doc_id, s, e, text, type, rec_ord from (
+      {' union all '.join(sql_scan('notes', BY_NAME[n], "lower(text) not in ('sean', 'aroha', 'lintern')") for n in ('known_name', 'title_name'))}
+      union all {sql_scan('notes', BY_NAME['relation_name'])} union all {' union all '.join(sql_scan('notes', r) for r in _INCLUDED)})""",
+    "dictionary_scan": """with words as (select distinct word from (select unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from documents where doc_id % 2 = 0)
+        where length(word) between 5 and 8 and left(word, 1) <> right(word, 1) and left(word, 2) <> right(word, 2) and left(word, 3) <> right(word, 3) and left(word, 4) <> right(word, 4)),
+      places as (select doc_id, lower(text) as x, unnest(range(1, length(text) + 1)) as i from documents)
+      select doc_id, 't' || length(word) % 3 as type, count(*) as n, sum(i - 1)::bigint as starts
+      from (select doc_id, i, unnest([substr(x, i, 5), substr(x, i, 6), substr(x, i, 7), substr(x, i, 8)]) as word, unnest([5, 6, 7, 8]) as size from places) join words using (word)
+      where length(word) = size group by all""",
     "det_all": f"with notes as ({NOTES}) select type, rec_ord, pat_ord, count(*) as n, sum(e - s)::bigint as chars from ({ALL_SQL}) group by all",
 }

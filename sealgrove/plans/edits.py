@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sealgrove.operators import edits as ed
+from sealgrove.operators.edit_log import chained, counters, replayed
 from sealgrove.plans.entities import ON_NOTES, _coded, _letters_sql
 from sealgrove.plans.notes import notes
 from sealgrove.sources.tables import read_table
 
 COLUMNS = ("session_id", "key", "original", "code")
+CODES = "session_id string, key string, original string, type string, code string, base_id string, variant string, anchor boolean"
 
 
 def _codes(spark, sf_dir):
@@ -92,16 +95,84 @@ def edit_words(spark, sf_dir):
     return ed.edited_words(words, changes)
 
 
-QUERIES = {f.__name__: f for f in (upsert_codes, register_placeholders, reclassify, reclassify_groups, merge_alias, edit_name, add_custom, remove_group, toggle_group, edit_words)}
+def after_removal(spark, sf_dir):
+    """Contacts go and others are reclassified as contacts: with the counters of before, no code is dealt a second time."""
+    codes = _codes(spark, sf_dir)
+    left = ed.removed(codes, codes.filter("type = 'contact' and length(original) % 2 = 0"))
+    picks = left.filter("type = 'identifier'").selectExpr("session_id", "key", "'contact' as new_type")
+    return ed.reclassified_keys(left, picks, counters(codes)).filter("type = 'contact'").select(*COLUMNS)
+
+
+#: A log of edits by users, from events: sessions of users, eleven keys each, edits of all kinds.
+LOG = {
+    "session_id": "cast(user_id % 20 as string)", "at": "event_id",
+    "kind": "case when event_id % 397 = 0 then 'clear' else split_part('add,add,add,reclassify,remove,merge,update,set,remove_group,add', ',', cast(event_id % 10 + 1 as int)) end",
+    "key": "concat('k', cast(event_id * 7 % 11 as string))", "original": "concat('K', cast(event_id * 7 % 11 as string))",
+    "type": "split_part('contact,identifier,date', ',', cast(event_id % 3 + 1 as int))",
+    "code": "concat('[', split_part('CONTACT,ID,DATE', ',', cast(event_id % 3 + 1 as int)), '_ZZZ', chr(cast(65 + event_id % 26 as int)), ']')",
+    "primary": "concat('k', cast(event_id * 3 % 11 as string))",
+}
+
+
+def edit_sequence(spark, sf_dir):
+    """What the keys of each session have after the whole log."""
+    log = read_table(spark, sf_dir, "events").selectExpr(*(f"{x} as `{name}`" for name, x in LOG.items()))
+    return replayed(spark.createDataFrame([], CODES), log).select("session_id", "key", "base_id", "type")
+
+
+def merge_chains(spark, sf_dir):
+    """Orders' links to the next order of their customer, followed to the end; every customer of a seventh goes round in a circle."""
+    after = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    first = F.min("o_orderkey").over(Window.partitionBy("o_custkey"))
+    links = read_table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.coalesce(after, F.when(F.col("o_custkey") % 7 == 0, first)).alias("next"))
+    key = lambda x: F.lpad(F.col(x).cast("string"), 12, "0")
+    return chained(links.select((F.col("o_custkey") % 50).cast("string").alias("session_id"), key("o_orderkey").alias("alias"), key("next").alias("primary")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (upsert_codes, register_placeholders, reclassify, reclassify_groups, merge_alias, edit_name, add_custom, remove_group, toggle_group, edit_words, after_removal, edit_sequence, merge_chains)
+}
 
 
 def _next(prefix: str, rank: str) -> str:
-    """The next free code base of a prefix in a session `p`."""
-    n = f"({rank} - 1 + (select count(distinct base_id) from codes t where t.session_id = p.session_id and split_part(t.base_id, '_', 1) = '{prefix}'))"
+    """The code base of a prefix behind the highest in a session `p`."""
+    index = "list_reduce(list_transform(string_split(split_part(t.base_id, '_', 2), ''), lambda x: ord(x) - 64), lambda a, b: a * 26 + b)"
+    n = f"({rank} - 1 + coalesce((select max({index}) from codes t where t.session_id = p.session_id and split_part(t.base_id, '_', 1) = '{prefix}'), 0))"
     return f"'{prefix}_' || {_letters_sql(n)}"
 
 
+_LETTERED = _letters_sql("n")
+#: The log replayed edit by edit: the keys with their bases and types, and the next number of each prefix.
+_SEQUENCE = f"""
+with recursive log as (
+  select *, row_number() over (partition by session_id order by "at") as i, split_part('CONTACT,ID,DATE', ',', list_position(['contact', 'identifier', 'date'], type)::int) as prefix
+  from (select {', '.join(f'{x} as "{name}"' for name, x in LOG.items())} from events)),
+replay as (
+  select distinct session_id, 0::bigint as i, map([]::varchar[], []::struct(base varchar, type varchar)[]) as held, map([]::varchar[], []::bigint[]) as next from log
+  union all
+  select session_id, i, case
+      when kind = 'clear' then map([]::varchar[], []::struct(base varchar, type varchar)[])
+      when deals then map_concat(held, map([key], [{{'base': prefix || '_' || {_LETTERED}, 'type': type}}]))
+      when kind = 'set' or kind = 'update' and has then map_concat(held, map([key], [coalesce(
+        list_filter(map_entries(held), lambda x: x.value.base = trim(code, '[]') and x.key <> key)[1].value, {{'base': trim(code, '[]'), 'type': type}})]))
+      when kind = 'remove' then map_from_entries(list_filter(map_entries(held), lambda x: x.key <> key))
+      when kind = 'remove_group' and has then map_from_entries(list_filter(map_entries(held), lambda x: x.value.base <> held[key].base))
+      when kind = 'merge' and map_contains(held, "primary") then map_concat(held, map([key], [held["primary"]]))
+      else held end,
+    case when kind = 'clear' then map([]::varchar[], []::bigint[]) when deals then map_concat(next, map([prefix], [n + 1])) else next end
+  from (
+    select l.*, held, next, map_contains(held, key) as has, kind = 'reclassify' or kind = 'add' and not map_contains(held, key) as deals, coalesce(next[prefix], 0) as n
+    from replay r join log l on l.session_id = r.session_id and l.i = r.i + 1)),
+ended as (select r.* from replay r join (select session_id, max(i) as i from log group by 1) using (session_id, i))
+select session_id, e.key as key, e.value.base as base_id, e.value.type as type from (select session_id, unnest(map_entries(held)) as e from ended)"""
 ORACLES = {
+    "edit_sequence": _SEQUENCE,
+    "merge_chains": """with links as (select *, lead(o_orderkey) over (partition by o_custkey order by o_orderkey) as next, max(o_orderkey) over (partition by o_custkey) as last, min(o_orderkey) over (partition by o_custkey) as first from orders)
+      select (o_custkey % 50)::varchar as session_id, lpad(o_orderkey::varchar, 12, '0') as alias, lpad(case when o_custkey % 7 = 0 then first else last end::varchar, 12, '0') as primary
+      from links where o_orderkey <> case when o_custkey % 7 = 0 then first else last end""",
+    "after_removal": ON_NOTES + f"""select session_id, key, original, code from codes where type = 'contact' and length(original) % 2 = 1
+      union all select session_id, key, original, '[' || {_next('CONTACT', 'rank')} || ']' from (select *, row_number() over (partition by session_id order by key) as rank from codes where type = 'identifier') p""",
     "upsert_codes": ON_NOTES + """select session_id, key, case when type = 'contact' then upper(original) else original end as original, code from codes
       union all select distinct session_id, 'zzz', 'Zzz', '[CONTACT_ZZ]' from codes""",
     "register_placeholders": ON_NOTES + """select session_id, key, original, code from codes where code = '[PERSON_A]'
