@@ -9,6 +9,8 @@ Rows that agree in all three are copies of one document; each of them is redacte
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,21 +42,30 @@ def assign_codes(mentions: DataFrame) -> DataFrame:
     """Codes of a session's distinct keys, in the order in which they first appear in its documents.
 
     In each document, persons of two or more words are registered first: each is an anchor with a number of its own and the variant FULL (more
-    than two words) or FIRST_LAST. A person whose key begins an anchor's of this or an earlier document shares the anchor's number, with the variant that
-    it is of the anchor (the anchor of the longest key, then the earliest, if there are several). All others get the next number of their type.
+    than two words) or FIRST_LAST. A person that is a variant of an anchor of this or an earlier document (its first, last or middle name, these with a title, the full name, or a beginning of the first)
+    shares the anchor's number (the anchor of the longest key, then the earliest, if there are several). All others get the next number of their type.
     """
     at = F.struct("doc_seq", "s", "rec_ord", "pat_ord")
     first = mentions.groupBy("session_id", "key").agg(F.min(at).alias("at"), F.min_by("text", at).alias("original"), F.min_by("type", at).alias("type"))
     person = F.col("type").startswith("person")
     full = F.when(person & (F.size(fn.tokens(fn.strip_title(F.col("original")))) >= 2), _persons_name(F.col("original")))
-    first = first.withColumn("full", full).withColumn("token", F.when(person, F.substring_index("key", " ", 1)))
+    first = first.withColumn("full", full).withColumn("bare", F.when(person, F.lower(fn.strip_title(F.col("original")))))
     nth = F.row_number().over(Window.partitionBy("session_id", "full").orderBy("at", "key"))
     anchors = first.filter("full is not null").withColumn("_nth", nth).filter("_nth = 1").drop("_nth")  # the rows of one name of a session
     first = written(joined(first, anchors.select("session_id", "key", F.lit(True).alias("anchor")), ("session_id", "key"), "left").withColumn("anchor", F.coalesce("anchor", F.lit(False))), "keys")
 
-    parents = first.filter("anchor").select("session_id", "token", F.col("key").alias("parent"), F.col("at").alias("_at"), F.col("original").alias("_name"))
-    met = joined(first.filter(~F.col("anchor") & F.col("token").isNotNull()), parents, ("session_id", "token"))
-    met = met.filter(F.startswith("parent", F.concat("key", F.lit(" "))) & (F.col("_at.doc_seq") <= F.col("at.doc_seq")))
+    # Names and anchors meet by forms: what a name is, a beginning of an anchor's first name, or an anchor's first name that a name begins with.
+    p, whole = fn.person(F.col("original")), fn.strip_title(F.col("original"))
+    begins = lambda x, least: F.when(F.length(x) >= least, F.transform(F.sequence(F.lit(least), F.length(x)), lambda k: F.substring(x, F.lit(1), k))).otherwise(F.array().cast("array<string>"))
+    tagged = lambda xs, tag: F.transform(xs, lambda x: F.concat(F.lit(tag), x))
+    forms = F.filter(F.array(*(F.lower(x) for x in fn.variants(p, whole).values())), lambda x: x.isNotNull())
+    anchored = tagged(F.concat(forms, begins(F.lower(p["first"]), 3)), "=")
+    anchored = F.array_distinct(F.concat(anchored, F.array(F.concat(F.lit("<"), F.lower(p["first"])))))
+    parents = first.filter("anchor").select("session_id", F.explode(anchored).alias("form"), F.col("key").alias("parent"), F.col("at").alias("_at"), F.col("original").alias("_name"))
+    asked = F.concat(F.array(F.concat(F.lit("="), "bare")), F.when(F.length("bare") >= 3, tagged(begins(F.col("bare"), 1), "<")).otherwise(F.array().cast("array<string>")))
+    met = joined(first.filter(~F.col("anchor") & F.col("bare").isNotNull()).withColumn("form", F.explode(asked)), parents, ("session_id", "form"))
+    part = fn.variant_for(F.col("original"), fn.person(F.col("_name")), fn.strip_title(F.col("_name")))
+    met = met.filter(part.isNotNull() & (F.col("_at.doc_seq") <= F.col("at.doc_seq")))
     best = F.struct((-F.length("parent")).alias("l"), "_at", "parent", "_name")
     children = met.groupBy("session_id", "key", "original", "type").agg(F.min(best).alias("b")).select("session_id", "key", "original", "type", "b.parent", F.col("b._name").alias("_name"))
 
@@ -66,7 +77,6 @@ def assign_codes(mentions: DataFrame) -> DataFrame:
     own = own.withColumn("base_id", c.base_id(F.col("type"), F.col("n"))).withColumn("variant", variant)
     own = own.select("session_id", "key", "original", "type", "base_id", "variant", "anchor")
     up = own.filter("anchor").select("session_id", F.col("key").alias("parent"), "base_id", F.col("variant").alias("_variant"))
-    part = fn.variant_for(F.col("original"), fn.person(F.col("_name")), fn.strip_title(F.col("_name")))
     children = joined(children, up, ("session_id", "parent")).withColumn("variant", F.coalesce(part, "_variant")).withColumn("anchor", F.lit(False))
     out = own.unionByName(children.select(*own.columns))
     return out.select("session_id", "key", "original", "type", c.with_variant(F.col("base_id"), F.col("variant")).alias("code"), "base_id", "variant", "anchor")
@@ -181,12 +191,12 @@ def fix_partial_leaks(docs: DataFrame, codes: DataFrame, text: str, source: str
     return out.withColumn("fixed", F.when(F.col("_spans").isNull(), F.col(text)).otherwise(splice(F.col(text), F.col("_spans")))).drop("_leaks", "_spans")
 
 
-def redact_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep_year: bool = True, **options) -> tuple[DataFrame, DataFrame]:
-    """Redacted documents (session_id, doc_id, doc_seq, text, redacted, n_entities) and their sessions' codes: detect, resolve, number, replace.
+def redact_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep_year: bool = True, find: Callable[..., DataFrame] = kept_mentions, **options) -> tuple[DataFrame, DataFrame]:
+    """Redacted documents (session_id, doc_id, doc_seq, text, redacted, n_entities) and their sessions' codes: detect, resolve, number, replace. `find`: what gives the mentions.
 
     Texts are searched once; mentions and codes are written, which are small beside the texts.
     """
-    mentions = written(kept_mentions(docs, rules, **options), "mentions")
+    mentions = written(find(docs, rules, **options), "mentions")
     codes = written(assign_codes(mentions), "codes")
     own = coded(mentions, codes, keep_year)
     spans = own.groupBy("row").agg(_gathered(own, "shown"), F.size(F.collect_set("key")).alias("n_entities"))

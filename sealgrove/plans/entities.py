@@ -69,8 +69,10 @@ _CODES = f"""firsts as (select session_id, key, min({{'d': doc_seq, 's': s, 'r':
     keys as (select session_id, key, f.d as d, f.s as s, f.r as r, f.p as p, f.t as type, f.o as o, {_words_sql(_stripped_sql('f.o'))} as w, f.t like 'person%' as person from firsts),
     ranked as (select *, person and len(w) >= 2 as long, row_number() over (partition by session_id, person and len(w) >= 2, lower(array_to_string(w, ' ')) order by d, s, r, p, key) as nth from keys),
     named as (select *, long and nth = 1 as anchor from ranked),
-    met as (select k.session_id, k.key, a.key as parent, row_number() over (partition by k.session_id, k.key order by length(a.key) desc, a.d, a.s, a.r, a.p) as best
-      from named k join named a on k.session_id = a.session_id and a.anchor and not k.anchor and k.person and starts_with(a.key, k.key || ' ') and a.d <= k.d),
+    forms as (select session_id, key as parent, d, s, r, p, {_PERSON} from named where anchor),
+    named_parts as (select * exclude (w), {_PARTS} from forms),
+    met as (select k.session_id, k.key, a.parent, row_number() over (partition by k.session_id, k.key order by length(a.parent) desc, a.d, a.s, a.r, a.p) as best
+      from named k join named_parts a on k.session_id = a.session_id and not k.anchor and k.person and a.d <= k.d and ({_IS.replace("else a.variant end", "end")}) is not null),
     own as (select *, row_number() over (partition by session_id, type order by d, not anchor, s, r, p, key) - 1 as n from named k
       where not exists (from met m where m.session_id = k.session_id and m.key = k.key)),
     numbered as (select *, {_PREFIX} || '_' || {_letters_sql('n')} as base_id, case when anchor then case when len(w) > 2 then 'FULL' else 'FIRST_LAST' end end as variant from own),

@@ -1,5 +1,5 @@
 """The modules whose queries are registered."""
 
-from sealgrove.plans import detection, edits, entities, parts, review, small, texts
+from sealgrove.plans import detection, edits, entities, parts, review, small, texts, whole
 
-MODULES = (detection, entities, texts, small, edits, review, parts)
+MODULES = (detection, entities, texts, small, edits, review, parts, whole)

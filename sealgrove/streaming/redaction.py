@@ -41,8 +41,8 @@ def _bare(name: str) -> list[str]:
     return words[1:] if words and words[0].lower() in NAME_TITLES else words
 
 
-def _variant(text: str, name: str, own: str) -> str:
-    """The variant of the anchor `name` that a text is; the anchor's own where it is none."""
+def _variant(text: str, name: str) -> str | None:
+    """The variant of the anchor `name` that a text is, if any."""
     words, low = _bare(name), " ".join(_bare(text)).lower()
     first, last, middle = words[0].lower(), words[-1].lower(), " ".join(words[1:-1]).lower()
     forms = [("FULL", " ".join(words).lower()), ("FIRST_MID", f"{first} {middle}" if middle else None), ("FIRST_LAST", first if first == last else f"{first} {last}")]
@@ -51,7 +51,7 @@ def _variant(text: str, name: str, own: str) -> str:
     for variant, form in forms:
         if form is not None and low == form:
             return variant
-    return "FIRST" if len(low) >= 3 and (first.startswith(low) or low.startswith(first)) else own
+    return "FIRST" if len(low) >= 3 and (first.startswith(low) or low.startswith(first)) else None
 
 
 class Session:
@@ -81,10 +81,10 @@ class Session:
         for m in mentions:
             if m["key"] in self.codes:
                 continue
-            parents = [a for a in self.anchors if a[0].startswith(m["key"] + " ")] if m["type"].startswith("person") else []
+            parents = [a for a in self.anchors if _variant(m["text"], a[1])] if m["type"].startswith("person") else []
             if parents:
-                _, name, base, own = max(parents, key=lambda a: len(a[0]))  # the first of the longest
-                self.codes[m["key"]] = [f"[{base}_{_variant(m['text'], name, own)}]", m["type"]]
+                _, name, base, _ = max(parents, key=lambda a: len(a[0]))  # the first of the longest
+                self.codes[m["key"]] = [f"[{base}_{_variant(m['text'], name)}]", m["type"]]
             else:
                 self.codes[m["key"]] = [f"[{self._next(m['type'])}]", m["type"]]
 
