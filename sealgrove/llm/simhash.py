@@ -9,7 +9,8 @@ searched more widely. The looked-up keys meet the parts of all fingerprints in a
 
 Before that, each fingerprint is compared with the smallest one of each of its parts' values. The components of these links are labels;
 in the join after that only fingerprints of different labels make pairs, so a group of m near copies costs links in proportion to m
-instead of all its pairs.
+instead of all its pairs. Where texts are compared, too, components of the near pairs, before their texts have been seen, are regions: within
+a region texts of different labels are held against each other in blocks, and only regions make pairs in the join.
 
 Two ways to say what is near: by distance alone (`similarity` None, one lane, all pairs within max_distance), or by the Jaccard
 similarity of the texts' distinct shingles (the default, 4 / 5). Then fingerprints have many lanes, of which the last only checks: its
@@ -43,6 +44,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from sealgrove.llm.components import connected
 from sealgrove.llm.texts import bounded_batches, pieces
+from sealgrove.operators.joins import numbered
 from sealgrove.sources.tables import read_table, remove, written
 
 SEED = 42
@@ -56,6 +58,8 @@ SIMILARITY, LANES, PARTS, GUARANTEED, CHECKED = (4, 5), 12, 4, 47, 19
 APART = 0.22
 #: Ids of texts to look at that are broadcast, 24 bytes each.
 BROADCAST_IDS = 2_000_000
+#: Texts of a block whose pairs are compared in one task, and tokens that are looked at together.
+BLOCK, COLUMNS = 128, 4096
 #: Tokens of texts that a task of the verification keeps, 8 bytes each.
 TOKENS_HELD = 2_000_000
 #: Shingles that are hashed at once, and counters of a byte.
@@ -339,11 +343,102 @@ def _similar(pairs: DataFrame, prints: DataFrame, texts: DataFrame, words: int,
     return out
 
 
-def links(prints: DataFrame, lanes: int, max_distance: int, parts: int, guaranteed: int, verify=None) -> DataFrame:
+def _alike(x: list, y: list, same: bool, limit: int, similarity: tuple[int, int]) -> list[tuple[int, int]]:
+    """Links between the texts of two blocks, items of (id, label, lanes, tokens): no more than it takes to join the labels that similar texts have."""
+    part, whole = similarity
+
+    def columns(items: list) -> tuple:
+        lanes = np.array([i["lanes"] for i in items], dtype=np.int64).view(np.uint64)
+        return [i["id"] for i in items], np.array([i["label"] for i in items]), lanes, [np.frombuffer(i["tokens"], dtype=np.uint64) for i in items]
+
+    (ids_x, label_x, lanes_x, tokens_x), (ids_y, label_y, lanes_y, tokens_y) = columns(x), columns(y)
+    open_ = label_x[:, None] != label_y[None]
+    if same:
+        open_ = np.triu(open_, 1)
+    for i in np.flatnonzero(open_.any(axis=1)):
+        open_[i] &= np.bitwise_count(lanes_x[i][None] ^ lanes_y).sum(axis=1) <= limit
+    if not open_.any():
+        return []
+    sizes_x, sizes_y = (np.array([len(t) for t in z]) for z in (tokens_x, tokens_y))
+    _, at, counts = np.unique(np.concatenate([*tokens_x, *tokens_y]), return_inverse=True, return_counts=True)
+    row, shared = np.repeat(np.arange(len(x) + len(y)), np.concatenate([sizes_x, sizes_y])), (counts > 1)[at]
+    column = (np.cumsum(counts > 1) - 1)[at]  # tokens of a single text count for none
+    row, column = row[shared], column[shared]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(x), len(y)))
+    for first in range(0, int((counts > 1).sum()), COLUMNS):
+        a, b = np.searchsorted(column, [first, first + COLUMNS])
+        m = np.zeros((len(x) + len(y), COLUMNS), dtype=np.float32)
+        m[row[a:b], column[a:b] - first] = 1
+        both += m[: len(x)] @ m[len(x) :].T
+    found = open_ & ((part + whole) * both >= part * (sizes_x[:, None] + sizes_y[None]))
+    parent: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while (up := parent.setdefault(v, v)) != v:
+            parent[v] = v = parent[up]
+        return v
+
+    out = []
+    for i, j in np.argwhere(found).tolist():
+        a, b = root(int(label_x[i])), root(int(label_y[j]))
+        if a != b:
+            parent[a] = b
+            out.append((ids_x[i], ids_y[j]))
+    return out
+
+
+def _within(prints: DataFrame, texts: DataFrame, near: DataFrame, star: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
+    """(a, b): links that join the texts of one region, all of whose pairs are held against each other.
+
+    A region is a component of the near pairs, a label one of the verified links. The texts of a region with several labels are sorted by label and cut into blocks of BLOCK; two blocks meet in
+    a task unless both are of one and the same label, and only links come out. So a group of m near copies whose texts lie just below the similarity makes (m / BLOCK)^2 / 2 rows instead of m^2 / 2.
+    """
+    spark = prints.sparkSession
+    names = [c for c in prints.columns if c.startswith("_w")]
+    regions = connected(near, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("region"))
+    labels = connected(star, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("label"))
+    members = written(regions.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "simhash-regions")
+    mixed = members.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("region")
+    members = numbered(members.join(mixed, "region"), ("region",), ("label", "id")).withColumn("chunk", F.expr(f"n div {BLOCK}")).drop("n")
+    members = written(members, "simhash-members")
+    asked = written(prints.join(members.select("id"), "id").select("id", "rep.*"), "simhash-asked")
+    found = reached(texts.select("_text", *_text_ids("_text")), asked, ["_t0", "_t1"]).select("id", "_text")
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, 1):
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([token_set(t, words).tobytes() for t in piece.column(1).to_pylist()], pa.binary())], names=["id", "tokens"])
+
+    once = found.groupBy("id").agg(F.any_value("_text").alias("_text")).mapInArrow(tokens, "id long, tokens binary")
+    item = F.struct("id", "label", F.array(*names).alias("lanes"), "tokens")
+    chunks = members.join(once, "id").join(prints.select("id", *names), "id").groupBy("region", "chunk").agg(F.collect_list(item).alias("items"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    chunks = written(chunks, "simhash-chunks")
+    ends = chunks.select("region", "chunk", "lo", "hi")
+    b = ends.select("region", F.col("chunk").alias("other"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    met = ends.join(b, "region").filter("chunk <= other and not (lo = hi and _lo = _hi and lo = _lo)").select("region", "chunk", "other")
+    met = met.join(chunks.select("region", "chunk", F.col("items").alias("x")), ["region", "chunk"])
+    met = met.join(chunks.select("region", F.col("chunk").alias("other"), F.col("items").alias("y")), ["region", "other"])
+    limit = int(APART * 64 * len(names))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x, y = (batch.column(c)[k].as_py() for c in (1, 2))
+                if links_ := _alike(x, y, batch.column(0)[k].as_py(), limit, similarity):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links_, strict=True)], names=["a", "b"])
+
+    bounded_batches(spark, rows=16)
+    return written(met.select((F.col("chunk") == F.col("other")).alias("same"), "x", "y").mapInArrow(compare, "a long, b long"), "simhash-within")
+
+
+def links(prints: DataFrame, lanes: int, max_distance: int, parts: int, guaranteed: int, verify=None, within=None) -> DataFrame:
     """(a, b): ids of fingerprints that are near, from a table of distinct ones (id, shown and lanes_of(lanes)).
 
     `shown` is compared: pairs within max_distance bits of it are near, or those of them that `verify` lets pass. All near pairs within
     `guaranteed` bits of the lanes are links or have links to common third fingerprints; of those farther apart, the ones that share a key.
+    `within(near, star)`: links inside the components of the near pairs, which then aren't formed as pairs.
     """
     spark = prints.sparkSession
     verify = verify or (lambda pairs: pairs)
@@ -357,15 +452,18 @@ def links(prints: DataFrame, lanes: int, max_distance: int, parts: int, guarante
     stored = rows(keys, "kind < 2")
     least = stored.groupBy("key").agg(F.min(F.struct("id", "shown")).alias("l")).select("key", "l.*")
     star = stored.alias("a").join(least.alias("b"), F.expr(f"a.key = b.key and a.id > b.id and {near('a', 'b')}"))
-    star = written(verify(written(star.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "simhash-near")), "simhash-stars")
-    labels = connected(star, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("label"))
+    close = written(star.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "simhash-near")
+    star = written(verify(close), "simhash-stars")
+    if within:
+        inner = within(close, star)
+    labels = connected(close if within else star, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("label"))
     labelled = written(keys.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "simhash-labelled")
     remove(spark, keys)
     a, b = rows(labelled, "kind > 0").alias("a"), rows(labelled, "kind < 2").alias("b")
     far = a.join(b, F.expr(f"a.key = b.key and a.id < b.id and a.label <> b.label and {near('a', 'b')}"))
     far = written(far.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "simhash-far")
     remove(spark, labelled)
-    return star.union(verify(far))
+    return star.union(inner).union(verify(far)) if within else star.union(verify(far))
 
 
 def near_duplicates(
@@ -388,7 +486,8 @@ def near_duplicates(
     own = slim.groupBy(*by).agg(F.min("_doc").alias("least"), *(F.any_value(c).alias(c) for c in names if by != names), *([F.min(F.struct("_t0", "_t1")).alias("rep")] if exact else []))
     prints = written(own.withColumns({"id": F.monotonically_increasing_id(), "shown": F.col(names[-1])}), "simhash-prints")
     verify = (lambda pairs: _similar(pairs, prints, texts, words, similarity)) if exact else None
-    found = written(links(prints, lanes, max_distance, parts, guaranteed, verify).distinct(), "simhash-links")
+    within = (lambda near, star: _within(prints, texts, near, star, words, similarity)) if exact else None
+    found = written(links(prints, lanes, max_distance, parts, guaranteed, verify, within).distinct(), "simhash-links")
     reached = connected(found, "a", "b").withColumnRenamed("node", "id")
     named = prints.select(*by, "id", "least").join(reached, "id", "left").select(*by, "least", F.coalesce("component", "id").alias("group_no"))
     named = written(named, "simhash-groups")
