@@ -395,7 +395,6 @@ def _within(prints: DataFrame, texts: DataFrame, near: DataFrame, star: DataFram
     A region is a component of the near pairs, a label one of the verified links. The texts of a region with several labels are sorted by label and cut into blocks of BLOCK; two blocks meet in
     a task unless both are of one and the same label, and only links come out. So a group of m near copies whose texts lie just below the similarity makes (m / BLOCK)^2 / 2 rows instead of m^2 / 2.
     """
-    spark = prints.sparkSession
     names = [c for c in prints.columns if c.startswith("_w")]
     regions = connected(near, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("region"))
     labels = connected(star, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("label"))
@@ -429,7 +428,6 @@ def _within(prints: DataFrame, texts: DataFrame, near: DataFrame, star: DataFram
                 if links_ := _alike(x, y, batch.column(0)[k].as_py(), limit, similarity):
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links_, strict=True)], names=["a", "b"])
 
-    bounded_batches(spark, rows=16)
     return written(met.select((F.col("chunk") == F.col("other")).alias("same"), "x", "y").mapInArrow(compare, "a long, b long"), "simhash-within")
 
 
