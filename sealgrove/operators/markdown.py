@@ -41,13 +41,14 @@ def blocks_of(text: str | None) -> list[tuple[int, str, int, int, int]]:
         level = len(m.group("marks")) if kind == "heading" else 0
         indent = len(line[: begin - start].expandtabs(4))
         if kind in ("bullet", "number"):
+            top = indents[0][1] if indents else None
             while indents and indents[-1][0] > indent:
                 indents.pop()
             if not indents or indents[-1][0] < indent:
                 indents.append((indent, kind))
             indents[-1], level = (indent, kind), len(indents)
             begin += m.end()
-            joins = before in ("bullet", "number") and (level > 1 or before == kind)
+            joins = before in ("bullet", "number") and (level > 1 or top == kind)
         else:
             joins = kind == before and kind in ("table", "paragraph")
             indents = []

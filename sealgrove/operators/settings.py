@@ -1,7 +1,7 @@
 """Layered settings: built-in ones of document types with users' overrides upon them, and prompts from the result.
 
 Settings are rows (type_id, path, value): a leaf of a tree of any depth, its names joined by dots. Overrides are rows (user_id, type_id, path, value). They are merged as trees are: a leaf that both have is the
-user's, one that only one has stays, and where one has a leaf and the other a branch at the same place, the user's counts. A null value of an override takes the leaf, or the whole branch, away. A type that only overrides have is
+user's, one that only one has stays, and where one has a leaf and the other a branch at the same place, the user's counts. A null value of an override takes the leaf, or the whole branch, away; where there is nothing of its path, it changes nothing. A type that only overrides have is
 a type of the user's own.
 
 Edge cases: of several overrides of a user for one path the greatest value counts, null last; a user's branch under an own leaf of the user's is as if the leaf weren't there; paths and ids that are null don't count; a user
