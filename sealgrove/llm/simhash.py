@@ -59,7 +59,7 @@ APART = 0.22
 #: Ids of texts to look at that are broadcast, 24 bytes each.
 BROADCAST_IDS = 2_000_000
 #: Texts of a block whose pairs are compared in one task, and tokens that are looked at together.
-BLOCK, COLUMNS = 128, 4096
+BLOCK, BLOCK_TOKENS, COLUMNS = 128, 1 << 17, 4096
 #: Tokens of texts that a task of the verification keeps, 8 bytes each.
 TOKENS_HELD = 2_000_000
 #: Shingles that are hashed at once, and counters of a byte.
@@ -392,16 +392,15 @@ def _alike(x: list, y: list, same: bool, limit: int, similarity: tuple[int, int]
 def _within(prints: DataFrame, texts: DataFrame, near: DataFrame, star: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
     """(a, b): links that join the texts of one region, all of whose pairs are held against each other.
 
-    A region is a component of the near pairs, a label one of the verified links. The texts of a region with several labels are sorted by label and cut into blocks of BLOCK; two blocks meet in
-    a task unless both are of one and the same label, and only links come out. So a group of m near copies whose texts lie just below the similarity makes (m / BLOCK)^2 / 2 rows instead of m^2 / 2.
+    A region is a component of the near pairs, a label one of the verified links. The texts of a region with several labels are sorted by size, in powers of two, and label, and cut into blocks of up to BLOCK texts
+    and about BLOCK_TOKENS tokens. Two blocks meet in a task if their sizes are next to each other, as no text is similar to one of less than half its size, unless both are of one and the same label; only links come out. So a group of m near copies whose texts lie just below the similarity makes (m / BLOCK)^2 / 2 rows instead of m^2 / 2.
     """
     names = [c for c in prints.columns if c.startswith("_w")]
     regions = connected(near, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("region"))
     labels = connected(star, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("label"))
     members = written(regions.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "simhash-regions")
     mixed = members.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("region")
-    members = numbered(members.join(mixed, "region"), ("region",), ("label", "id")).withColumn("chunk", F.expr(f"n div {BLOCK}")).drop("n")
-    members = written(members, "simhash-members")
+    members = written(members.join(mixed, "region"), "simhash-members")
     asked = written(prints.join(members.select("id"), "id").select("id", "rep.*"), "simhash-asked")
     found = reached(texts.select("_text", *_text_ids("_text")), asked, ["_t0", "_t1"]).select("id", "_text")
 
@@ -410,13 +409,16 @@ def _within(prints: DataFrame, texts: DataFrame, near: DataFrame, star: DataFram
             for piece in pieces(batch, 1):
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([token_set(t, words).tobytes() for t in piece.column(1).to_pylist()], pa.binary())], names=["id", "tokens"])
 
-    once = found.groupBy("id").agg(F.any_value("_text").alias("_text")).mapInArrow(tokens, "id long, tokens binary")
+    once = written(found.groupBy("id").agg(F.any_value("_text").alias("_text")).mapInArrow(tokens, "id long, tokens binary"), "simhash-tokens")
+    sizes = members.join(once.select("id", F.floor(F.log2(F.octet_length("tokens") / 8)).cast("int").alias("size")), "id")
+    chunk = F.expr(f"shiftleft(cast(size as bigint), 40) + n div least({BLOCK}, greatest(1, shiftright({BLOCK_TOKENS}, size)))")
+    members = numbered(sizes, ("region", "size"), ("label", "id")).withColumn("chunk", chunk).drop("n", "size")
     item = F.struct("id", "label", F.array(*names).alias("lanes"), "tokens")
     chunks = members.join(once, "id").join(prints.select("id", *names), "id").groupBy("region", "chunk").agg(F.collect_list(item).alias("items"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     chunks = written(chunks, "simhash-chunks")
     ends = chunks.select("region", "chunk", "lo", "hi")
     b = ends.select("region", F.col("chunk").alias("other"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    met = ends.join(b, "region").filter("chunk <= other and not (lo = hi and _lo = _hi and lo = _lo)").select("region", "chunk", "other")
+    met = ends.join(b, "region").filter("chunk <= other and shiftright(other, 40) - shiftright(chunk, 40) <= 1 and not (lo = hi and _lo = _hi and lo = _lo)").select("region", "chunk", "other")
     met = met.join(chunks.select("region", "chunk", F.col("items").alias("x")), ["region", "chunk"])
     met = met.join(chunks.select("region", F.col("chunk").alias("other"), F.col("items").alias("y")), ["region", "other"])
     limit = int(APART * 64 * len(names))
