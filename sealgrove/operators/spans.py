@@ -77,24 +77,6 @@ def valid_positions(spans: DataFrame, texts: DataFrame) -> DataFrame:
     return spans.join(texts.select("doc_id", F.length("text").alias("_n")), "doc_id").filter("s >= 0 and s < e and e <= _n").drop("_n")
 
 
-def overlapping_pairs(spans: DataFrame) -> DataFrame:
-    """Pairs of a document's spans that overlap, each once; spans have an `id` in their document."""
-    a, b = spans.alias("a"), spans.alias("b")
-    return a.join(b, F.expr("a.doc_id = b.doc_id and a.id < b.id and a.s < b.e and b.s < a.e")).select("a.doc_id", F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
-
-
-def uncovered(findings: DataFrame, spans: DataFrame, ratio: float = 0.5) -> DataFrame:
-    """Occurrences of findings that no span covers by more than `ratio` of the shorter of both."""
-    cover = "(least(f.e, x.e) - greatest(f.s, x.s)) / least(f.e - f.s, x.e - x.s)"
-    return findings.alias("f").join(spans.alias("x"), F.expr(f"f.doc_id = x.doc_id and f.s < x.e and x.s < f.e and {cover} > {ratio}"), "left_anti")
-
-
-def outermost(spans: DataFrame) -> DataFrame:
-    """Spans that no other span contains; of equal spans the one of smallest id."""
-    inside = "a.doc_id = b.doc_id and b.s <= a.s and a.e <= b.e and (b.e - b.s > a.e - a.s or (b.s = a.s and b.e = a.e and b.id < a.id))"
-    return spans.alias("a").join(spans.alias("b"), F.expr(inside), "left_anti")
-
-
 def position_issues(spans: DataFrame, texts: DataFrame) -> DataFrame:
     """What is wrong with spans: negative, reversed, beyond the end, or another text than the entity's."""
     joined = spans.join(texts.select("doc_id", F.col("text").alias("_text")), "doc_id")

@@ -10,6 +10,7 @@ from sealgrove.functions.names import NAME_TITLES
 from sealgrove.functions.words import PREFIXES, VARIANTS
 from sealgrove.operators import entities as e
 from sealgrove.operators import spans as sp
+from sealgrove.operators import sweep
 from sealgrove.operators.joins import joined
 from sealgrove.operators.recognizers import BY_NAME
 from sealgrove.plans.detection import sql_scan
@@ -30,7 +31,7 @@ def _kept_sql(table: str, rules) -> str:
       order by s, rec_ord, pat_ord, e) as x from found group by {KEYS}),
     folded as (select {KEYS}, list_reduce(x, lambda a, b: case when b.k.s >= a.k.e then {{'k': b.k, 'o': list_append(a.o, a.k)}}
       when b.k.confidence > a.k.confidence or (b.k.confidence = a.k.confidence and length(b.k.text) > length(a.k.text)) then {{'k': b.k, 'o': a.o}} else a end) as r from lists),
-    kept as (select *, lower(trim(text)) as key from (select {KEYS}, unnest(list_append(r.o, r.k), recursive := true) from folded) where length(trim(text)) > 1)"""
+    kept as materialized (select *, lower(trim(text)) as key from (select {KEYS}, unnest(list_append(r.o, r.k), recursive := true) from folded) where length(trim(text)) > 1)"""
 
 
 def _letters_sql(n: str) -> str:
@@ -79,7 +80,7 @@ _CODES = f"""firsts as (select session_id, key, min({{'d': doc_seq, 's': s, 'r':
     anchors as (select session_id, key, base_id, variant, anchor, {_PERSON} from numbered where anchor),
     people as (select * exclude (w), {_PARTS} from anchors),
     children as (select k.session_id, k.key, k.o, k.type, a.base_id, {_IS} as variant from met m join named k using (session_id, key) join people a on a.session_id = m.session_id and a.key = m.parent where best = 1),
-    codes as (select session_id, key, o as original, type, '[' || base_id || coalesce('_' || variant, '') || ']' as code, base_id, variant, anchor from
+    codes as materialized (select session_id, key, o as original, type, '[' || base_id || coalesce('_' || variant, '') || ']' as code, base_id, variant, anchor from
       (select session_id, key, o, type, base_id, variant, anchor from numbered union all select session_id, key, o, type, base_id, variant, false from children)),
     maps as (select session_id, '[' || base_id || ']' as code, first as original from people union all {_MAPPING}
       union all select session_id, code, original from codes k where not anchor and not exists (from people p where p.session_id = k.session_id and p.base_id = k.base_id)
@@ -225,8 +226,7 @@ def position_filter(spark, sf_dir):
 
 
 def overlap_pairs(spark, sf_dir):
-    m = _all(spark, sf_dir)
-    return sp.overlapping_pairs(m)
+    return sweep.overlapping(_all(spark, sf_dir))
 
 
 def _all(spark, sf_dir):
@@ -237,13 +237,13 @@ def _all(spark, sf_dir):
 
 
 def subsumed_spans(spark, sf_dir):
-    return sp.outermost(_all(spark, sf_dir)).select("doc_id", "id", "s", "e")
+    return sweep.outermost(_all(spark, sf_dir)).select("doc_id", "id", "s", "e")
 
 
 def coverage_anti_join(spark, sf_dir):
     """Numbers that no other mention covers by more than half."""
     m = _all(spark, sf_dir)
-    return sp.uncovered(m.filter("type = 'numeric_all'"), m.filter("type <> 'numeric_all'")).select("doc_id", "s", "e", "text")
+    return sweep.uncovered(m.filter("type = 'numeric_all'"), m.filter("type <> 'numeric_all'")).select("doc_id", "s", "e", "text")
 
 
 def index_to_letters(spark, sf_dir):
