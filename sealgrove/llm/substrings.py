@@ -1,4 +1,7 @@
-"""Suffix-array dedup of repeated substrings, by external induced sorting spread over Spark's shuffles.
+"""Dedup of repeated substrings: hashes of sampled blocks, and one induction in memory for each shard.
+
+This isn't external induced sorting: there is no recursion, no suffix array and no disk-backed priority queue. Most removals are decided by hashes of blocks, without comparing bytes, and the suffixes
+that are sorted at all are sorted in a task's memory (README says what follows from that).
 
 Removed is each byte covered by a string of `window` bytes that also starts in a document of smaller doc_id. The work follows an
 induced suffix sort, in which few suffixes are sorted and the others are induced from them:
@@ -11,8 +14,8 @@ induced suffix sort, in which few suffixes are sorted and the others are induced
    byte (suffixes.induced), which finds the windows that blocks of different names share.
 4. The removed runs meet their documents, which are cut.
 
-Suffix tuples and common prefixes move between the steps through Spark's shuffle, whose sorted, spilling and merged runs are the
-disk-backed queues of the method; a task holds a shard of SHARD_BYTES of text at a time, whatever the input's size. Blocks that a
+Suffix tuples and common prefixes move between the steps through Spark's shuffle, which sorts and spills; a task holds a shard of SHARD_BYTES of text at a time, whatever the input's size, but the
+blocks of one gram stay together, so that a gram in very many documents fills a task's memory. Blocks that a
 task meets repeatedly are resolved there, so that a passage of a third of all documents costs a shard one tuple for each task.
 
 Edge cases: null text is empty and has no bytes; a null doc_id counts as greater than all others; rows of equal doc_id, null too, never
