@@ -276,7 +276,7 @@ def hard_negatives(rows: DataFrame, anchors: DataFrame, n_positives: int = 5, n_
     positives = written(_ranked(positives, ("qid",), n_positives), "negatives-positives")
 
     # Windows of each anchor, one a positive; one that is missing ends before it begins.
-    windows = positives.filter("score >= 0").withColumns({"lo": F.expr("(score + 1) div 2"), "hi": F.expr("19 * score div 20")}).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "lo", "hi"))).alias("w"))
+    windows = positives.filter("score >= 0").withColumns({"lo": F.expr("score div 2 + score % 2"), "hi": F.expr("score div 20 * 19 + score % 20 * 19 div 20")}).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "lo", "hi"))).alias("w"))
     windowed = anchors.join(windows.withColumnRenamed("qid", "id"), "id")
     shared = spark.sparkContext.broadcast(book)
 
