@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sealgrove.functions.scan import let
+
 CHUNK, OVERLAP, LOOK_BACK = 8000, 200, 500
 
 
@@ -31,24 +33,34 @@ def chunk_ends(text: Column, size: int = CHUNK, look_back: int = LOOK_BACK) -> C
 
 
 def chunks(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(doc_id, chunk_no, global_offset, overlap_before, overlap_after, text)."""
-    out = docs.select("doc_id", F.col("text").alias("_text"), F.length("text").alias("_n"), chunk_ends(F.col("text"), size).alias("_ends")).select("*", F.posexplode("_ends").alias("chunk_no", "_end"))
-    begin = F.when(F.col("chunk_no") == 0, 0).otherwise(F.get("_ends", F.col("chunk_no") - 1))
-    out = out.withColumn("_begin", begin).withColumn("global_offset", F.greatest(F.lit(0), F.col("_begin") - overlap)).withColumn("_stop", F.least("_n", F.col("_end") + overlap))
-    return out.select("doc_id", "chunk_no", "global_offset", (F.col("_begin") - F.col("global_offset")).alias("overlap_before"), (F.col("_stop") - F.col("_end")).alias("overlap_after"), F.expr("substring(_text, global_offset + 1, _stop - global_offset)").alias("text"))
+    """(doc_id, chunk_no, global_offset, overlap_before, overlap_after, text). Chunks are cut in the document's row, so that a text isn't copied for each of them."""
+    n, text = F.length("text"), F.col("text")
+
+    def cut(ends: Column) -> Column:
+        def chunk(end: Column, k: Column) -> Column:
+            begin = F.when(k == 0, F.lit(0)).otherwise(F.get(ends, k - 1))
+            offset, stop = F.greatest(F.lit(0), begin - overlap), F.least(n, end + overlap)
+            return F.struct(k.alias("chunk_no"), offset.alias("global_offset"), (begin - offset).alias("overlap_before"), (stop - end).alias("overlap_after"), F.substring(text, offset + 1, stop - offset).alias("text"))
+
+        return F.transform(ends, chunk)
+
+    return docs.select("doc_id", F.inline(let(chunk_ends(text, size), cut)))
 
 
 def model_windows(docs: DataFrame, size: int = 2000, step: int = 1800, least: int = 100) -> DataFrame:
     """Windows for a model: a text of up to `size` characters is one, others begin a step apart as long as more than `least` characters remain.
 
-    A window that isn't the last ends after the last sentence, else line, that ends in what it shares with the next.
+    A window that isn't the last ends after the last sentence, else line, that ends in what it shares with the next. Windows are told in the document's row.
     """
-    n = F.length("text")
+    n, text = F.length("text"), F.col("text")
     last = F.when(n <= size, F.lit(0)).otherwise(F.greatest(F.lit(0), F.floor((n - least - 1) / step))).cast("int")
-    out = docs.select("doc_id", "text", n.alias("_n"), F.explode(F.sequence(F.lit(0), last)).alias("chunk_no")).withColumn("s", F.col("chunk_no") * step)
-    shared = F.substring(F.col("text"), F.col("s") + step + 1, F.lit(size - step))
-    cut = F.coalesce(*(F.when(_last(shared, x) > 0, step + _last(shared, x)) for x in (". ", "\n")), F.lit(size))
-    return out.select("doc_id", "chunk_no", "s", F.when(F.col("s") + size >= F.col("_n"), F.col("_n")).otherwise(F.col("s") + cut).alias("e"))
+
+    def window(k: Column) -> Column:
+        s = k * step
+        cut = let(F.substring(text, s + step + 1, F.lit(size - step)), lambda shared: F.coalesce(*(F.when(_last(shared, x) > 0, step + _last(shared, x)) for x in (". ", "\n")), F.lit(size)))
+        return F.struct(k.alias("chunk_no"), s.alias("s"), F.when(s + size >= n, n).otherwise(s + cut).alias("e"))
+
+    return docs.select("doc_id", F.inline(F.transform(F.sequence(F.lit(0), last), window)))
 
 
 def packed(pieces: Column, most: int) -> Column:
