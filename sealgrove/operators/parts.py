@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sealgrove.functions import codes as c
 from sealgrove.functions.scan import scan, splice
 from sealgrove.functions.words import PREFIXES
-from sealgrove.operators.joins import joined
+from sealgrove.operators.joins import identified, joined
 
 BOUNDARIES = "struct<documents:array<struct<title:string,author:string,date:string,type:string,startLine:int,endLine:int,summary:string>>>"
 #: Windows of a long text are so many characters at about a hundred a line, and overlap by so many.
@@ -99,11 +99,17 @@ def verified(docs: DataFrame, entities: DataFrame, text: str = "redacted") -> Da
 
 
 def put_back(docs: DataFrame, rows: DataFrame, text: str = "redacted") -> DataFrame:
-    """`docs` with `restored`: the codes of a session's rows (session_id, code, original) replaced one after the other, as they are, the longest first."""
-    own = rows.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct((-F.length("code")).alias("l"), "code", "original"))).alias("_rows"))
-    out = joined(docs, own, ("session_id",), "left")
+    """`docs` with `restored`: the codes, in brackets, of a session's rows (session_id, code, original) replaced one after the other, as they are, the longest first.
+
+    A document meets only the codes that its text holds, not its session's whole mapping. Of several originals of a code the smallest counts.
+    """
+    docs = identified(docs, text)
+    held = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"\[[^\[\]]*\]"), F.lit(0)))
+    asked = docs.select("session_id", "row", F.explode(held).alias("code")).distinct()
+    own = joined(asked, rows.groupBy("session_id", "code").agg(F.min("original").alias("original")), ("session_id", "code"))
+    own = own.groupBy("row").agg(F.array_sort(F.collect_list(F.struct((-F.length("code")).alias("l"), "code", "original"))).alias("_rows"))
     done = F.aggregate("_rows", F.col(text), lambda t, x: F.replace(t, x["code"], x["original"]))
-    return out.withColumn("restored", F.coalesce(done, F.col(text))).drop("_rows")
+    return docs.join(own, "row", "left").withColumn("restored", F.coalesce(done, F.col(text))).drop("row", "_rows")
 
 
 def words_of_csv(lines: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sealgrove.functions.scan import scan, splice
 from sealgrove.operators import entities as e
+from sealgrove.operators import parts
 from sealgrove.operators.recognizers import BY_NAME
 
 RULES = (BY_NAME["email"], BY_NAME["phone_mobile"], BY_NAME["known_name"])
@@ -108,3 +109,11 @@ def test_forty_thousand_hits(spark):
     began = time.time()
     assert e.kept_mentions(docs, RULES[:1]).count() == 40_000
     assert time.time() - began < 15  # 2 to 4 seconds on an idle machine
+
+
+def test_codes_are_put_back_in_their_own_documents(spark):
+    texts = [("s", 1, "[PERSON_A] [PERSON_A_FIRST] [X]"), ("t", 1, "[PERSON_A]"), ("s", None, "[PERSON_A]!"), ("s", None, "[PERSON_A]!"), ("s", None, None), (None, 2, "[PERSON_A]]")]
+    docs = spark.createDataFrame(texts, "session_id string, doc_id long, redacted string")
+    names = spark.createDataFrame([("s", "[PERSON_A]", "Jo Lee"), ("s", "[PERSON_A_FIRST]", "Jo"), ("t", "[PERSON_A]", "Al"), (None, "[PERSON_A]", "Bo"), (None, "[PERSON_A]", "Cy")], "session_id string, code string, original string")
+    want = [("s", 1, "Jo Lee Jo [X]"), ("t", 1, "Al"), ("s", None, "Jo Lee!"), ("s", None, "Jo Lee!"), ("s", None, None), (None, 2, "Bo]")]
+    assert rows(parts.put_back(docs, names), "session_id", "doc_id", "restored") == sorted(map(repr, want))
