@@ -11,7 +11,8 @@ special tokens' own strings in a text become their ids. Decoding is the inverse;
 skipped, and bytes that aren't UTF-8 become U+FFFD.
 
 Edge cases: null and empty texts have no ids, null ids decode to null; texts of any length are read whole, WORDS_AT_ONCE words
-at a time; an existing column of an output's name is replaced.
+at a time; an existing column of an output's name is replaced; rows that occur twice are encoded twice, and an empty table
+gives an empty table.
 """
 
 from __future__ import annotations

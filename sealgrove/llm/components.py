@@ -1,4 +1,7 @@
-"""Connected components by alternating large and small stars; each round is two aggregations and joins over the edges."""
+"""Connected components by alternating large and small stars; each round is two aggregations and joins over the edges.
+
+Edge cases: an edge that occurs twice counts once; edges from a node to itself, or with a null end, don't count, so a node that has only those has no row; no edges give no rows.
+"""
 
 from __future__ import annotations
 

@@ -27,7 +27,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000, nbytes: int = 8 << 20) -> None:
-    """Arrow batches of at most `rows` rows and about `nbytes` bytes from here on, so that a worker's memory has a bound."""
+    """Arrow batches of at most `rows` rows and about `nbytes` bytes from here on, so that a worker's memory has a bound.
+
+    The session keeps the setting, as plans take it up when they run, which may be long after; smaller settings of its own stay.
+    """
     for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", nbytes)):
         key = f"spark.sql.execution.arrow.{key}"
         now = spark.conf.get(key, None)
