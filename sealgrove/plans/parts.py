@@ -10,7 +10,7 @@ from sealgrove.operators import parts as pt
 from sealgrove.operators import segments as sg
 from sealgrove.operators.recognizers import BY_NAME, mentions
 from sealgrove.plans.detection import sql_scan
-from sealgrove.plans.entities import ON_NOTES, RULES, _coded, _found, _redacted
+from sealgrove.plans.entities import _PREFIX, ON_NOTES, RULES, _coded, _found, _redacted
 from sealgrove.plans.notes import notes
 from sealgrove.sources.tables import read_table, spread, written
 
@@ -147,19 +147,30 @@ def file_views(spark, sf_dir):
     return fl.viewed(files.select("path", "text"), views)
 
 
+def _arriving(spark, sf_dir):
+    from sealgrove.plans.notes import COLUMNS
+
+    path = f"{sf_dir.rstrip('/')}/orders.parque[t]"  # a pattern, as a stream's path may not be a single file
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).selectExpr(*(f"{x} as {c}" for c, x in COLUMNS.items()))
+
+
 def stream_redact(spark, sf_dir):
     """Notes that arrive as a stream, redacted with their sessions' codes."""
-    from sealgrove.plans.notes import COLUMNS
     from sealgrove.streaming.redaction import finished, redact_stream
 
-    path = f"{sf_dir.rstrip('/')}/orders.parque[t]"  # a pattern, as a stream's path may not be a single file
-    arriving = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).selectExpr(*(f"{x} as {c}" for c, x in COLUMNS.items()))
-    return finished(redact_stream(arriving, RULES)).select("doc_id", "redacted")
+    return finished(redact_stream(_arriving(spark, sf_dir), RULES)).select("doc_id", "redacted")
+
+
+def stream_mask(spark, sf_dir):
+    """Notes that arrive as a stream, with types in place of what is found; no state."""
+    from sealgrove.streaming.redaction import finished, mask_stream
+
+    return finished(mask_stream(_arriving(spark, sf_dir), RULES).select("doc_id", "masked"))
 
 
 QUERIES = {f.__name__: f for f in (
     sub_documents, boundary_windows, window_sub_documents, chunk_positions, redact_by_text, verify_replacement, put_back, word_list, excluded_words, mapping_roundtrip, mentioned_entities,
-    sources_with_parts, entity_at, highlight_spans, file_answers, file_commands, file_views, stream_redact)}
+    sources_with_parts, entity_at, highlight_spans, file_answers, file_commands, file_views, stream_redact, stream_mask)}
 _TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 _LINES = "array_to_string(l[{}:{}], chr(10))"
 _PIECE = "substr(text, {i} * (length(text) // {n}) + 1, length(text) // {n})"
@@ -221,5 +232,7 @@ ORACLES = {
         else case when doc_id % 3 = 0 and n > 300 then 'Here''s the first 300 lines of ' || path || ' (total: ' || n || ' lines):' || chr(10) else 'Here''s the content of ' || path || ' with line numbers:' || chr(10) end
           || array_to_string(list_transform(range(b + 1, z + 1), lambda i: lpad(i::varchar, 6, ' ') || chr(9) || l[i] || chr(10)), '')
           || case when doc_id % 3 = 0 and n > 300 then chr(10) || '[... ' || (n - 300) || ' more lines. Use view_range: [start, end] to see specific sections ...]' || chr(10) else '' end end as answer from r""",
+    "stream_mask": ON_NOTES + f"""select doc_id, coalesce(masked, text) as masked from notes left join (
+      select doc_id, string_agg(gap || '[' || {_PREFIX} || ']', '' order by s) || substr(any_value(whole), max(e) + 1) as masked from pieces group by doc_id) using (doc_id)""",
     "stream_redact": ON_NOTES + "select doc_id, redacted from redacted",
 }

@@ -1,7 +1,8 @@
 """Redaction of documents that arrive as a stream: codes of sessions are keyed state.
 
-Mentions are found natively, in the document's row. A session's state is its mapping; each document of it, in the order of doc_seq within a
-micro-batch, adds its new keys by the rules of operators.entities.assign_codes and is redacted at once. What has been given to a key never changes.
+Mentions are found natively, in the document's row. A session's state is its mapping, as maps in a state store on disk: a document reads and writes the entries of its
+own mentions, however large the mapping is. Each document, in the order of doc_seq within a micro-batch, adds its new keys by the rules of operators.entities.assign_codes
+and is redacted at once. What has been given to a key never changes. `mask_stream` has no state: types stand for what is found.
 A micro-batch should be bounded by the source's options (maxFilesPerTrigger, maxBytesPerTrigger), as its documents of one session are sorted together.
 
 Edge cases: a null text stays null; a null session_id is a session like any other; documents that come late get the next numbers, so that results equal
@@ -10,21 +11,26 @@ the batch's only if documents arrive in the order of doc_seq.
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sealgrove.functions.names import NAME_TITLES
+from sealgrove.functions.scan import splice
 from sealgrove.functions.words import PREFIXES
 from sealgrove.operators.recognizers import RULES, Rule, detect
 from sealgrove.operators.spans import key_of, without_overlaps
 from sealgrove.sources.tables import new_path
 
 OUTPUT = "session_id string, doc_id long, redacted string"
+#: A session's state: maps whose entries are read and written one by one.
+STATES = {"codes": "code string, type string", "names": "length int, at int, base string, name string", "counts": "n int"}
+#: Maps as state need this store.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 _YEAR = re.compile(r"\b(?:19|20)\d{2}\b", re.ASCII)
 
 
@@ -54,73 +60,134 @@ def _variant(text: str, name: str) -> str | None:
     return "FIRST" if len(low) >= 3 and (first.startswith(low) or low.startswith(first)) else None
 
 
+def _begins(x: str, least: int) -> list[str]:
+    return [x[:k] for k in range(least, len(x) + 1)]
+
+
 class Session:
-    """A session's mapping: codes of keys, anchors in the order of their registration, and how many numbers each type has given."""
+    """A session's mapping over three stores with `get` and `put`, of whose entries a document reads and writes only those that it needs.
+
+    codes: of a key its code and type. names: of a form the person who has it, as the length of the person's key, the order of registration, base and name;
+    of several persons the one with the longest key, the first of equal ones. counts: of a type how many numbers it has given.
+    Forms that begin with "=" are a person's, or beginnings of the first name from three letters on; with "<" first names, which texts may go beyond; with "#" whole names.
+    """
 
-    def __init__(self, state: str | None):
-        self.codes, self.anchors, self.counts = json.loads(state) if state else ({}, [], {})
+    def __init__(self, codes, names, counts):
+        self.codes, self.names, self.counts = codes, names, counts
 
-    def dump(self) -> str:
-        return json.dumps([self.codes, self.anchors, self.counts])
+    def _number(self, kind: str) -> int:
+        (n,) = self.counts.get(kind) or (0,)
+        self.counts.put(kind, (n + 1,))
+        return n
 
     def _next(self, type: str) -> str:
-        n = self.counts.get(type, 0)
-        self.counts[type] = n + 1
-        return f"{PREFIXES[type]}_{_letters(n)}"
+        return f"{PREFIXES[type]}_{_letters(self._number(type))}"
+
+    def _register(self, m: dict, words: list[str]) -> None:
+        base, variant = self._next(m["type"]), "FULL" if len(words) > 2 else "FIRST_LAST"
+        first, last, middle = words[0].lower(), words[-1].lower(), " ".join(words[1:-1]).lower()
+        whole = " ".join(words).lower()
+        forms = {whole, first, last, first if first == last else f"{first} {last}", *_begins(first, 3)} | ({middle, f"{first} {middle}"} if middle else set())
+        own = (len(m["key"]), self._number("#"), base, m["text"])
+        for form in (f"#{whole}", f"<{first}", *(f"={x}" for x in sorted(forms))):
+            known = self.names.get(form)
+            if known is None or known[0] < own[0]:
+                self.names.put(form, own)
+        self.codes.put(m["key"], (f"[{base}_{variant}]", m["type"]))
+
+    def _parent(self, text: str) -> tuple | None:
+        low = " ".join(_bare(text)).lower()
+        met = [self.names.get(f"={low}"), *(self.names.get(f"<{x}") for x in (_begins(low, 1) if len(low) >= 3 else []))]
+        return max((x for x in met if x is not None), key=lambda x: (x[0], -x[1]), default=None)
 
     def add(self, mentions: list[dict]) -> None:
         """Gives codes to a document's new keys: names of two words or more first."""
-        known = {" ".join(_bare(name)).lower() for _, name, _, _ in self.anchors}
         for m in mentions:
             words = _bare(m["text"])
-            if m["key"] not in self.codes and m["type"].startswith("person") and len(words) >= 2 and " ".join(words).lower() not in known:
-                base, variant = self._next(m["type"]), "FULL" if len(words) > 2 else "FIRST_LAST"
-                known.add(" ".join(words).lower())
-                self.anchors.append([m["key"], m["text"], base, variant])
-                self.codes[m["key"]] = [f"[{base}_{variant}]", m["type"]]
+            if m["type"].startswith("person") and len(words) >= 2 and self.codes.get(m["key"]) is None and self.names.get("#" + " ".join(words).lower()) is None:
+                self._register(m, words)
         for m in mentions:
-            if m["key"] in self.codes:
+            if self.codes.get(m["key"]) is not None:
                 continue
-            parents = [a for a in self.anchors if _variant(m["text"], a[1])] if m["type"].startswith("person") else []
-            if parents:
-                _, name, base, _ = max(parents, key=lambda a: len(a[0]))  # the first of the longest
-                self.codes[m["key"]] = [f"[{base}_{_variant(m['text'], name)}]", m["type"]]
-            else:
-                self.codes[m["key"]] = [f"[{self._next(m['type'])}]", m["type"]]
+            parent = self._parent(m["text"]) if m["type"].startswith("person") else None
+            code = f"[{parent[2]}_{_variant(m['text'], parent[3])}]" if parent else f"[{self._next(m['type'])}]"
+            self.codes.put(m["key"], (code, m["type"]))
 
     def redact(self, text: str, mentions: list[dict], keep_year: bool) -> str:
         out, at = [], 0
         for m in mentions:
-            code, type = self.codes[m["key"]]
+            code, type = self.codes.get(m["key"])
             year = _YEAR.search(m["text"]) if keep_year and type == "date" else None
             out += [text[at : m["s"]], f"{code} {year.group()}" if year else code]
             at = m["e"]
         return "".join([*out, text[at:]])
 
 
-def redact_stream(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep_year: bool = True) -> DataFrame:
-    """A stream (session_id, doc_id, redacted) of a stream of documents (session_id, doc_id, doc_seq, text)."""
-    kept = F.transform(without_overlaps(F.col("mentions")), lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), m["text"].alias("text"), m["type"].alias("type"), key_of(m["text"]).alias("key")))
-    found = detect(docs, rules).select("session_id", "doc_id", "doc_seq", "text", F.filter(kept, lambda m: F.length(m["key"]) > 1).alias("mentions"))
+class _Store:
+    """A MapState of texts by text, each entry of which is read once while a session's documents of a micro-batch last."""
+
+    def __init__(self, state):
+        self.state, self.seen = state, {}
+
+    def get(self, key: str) -> tuple | None:
+        if key not in self.seen:
+            own = self.state.getValue((key,))
+            self.seen[key] = None if own is None else tuple(own)
+        return self.seen[key]
+
+    def put(self, key: str, value: tuple) -> None:
+        self.state.updateValue((key,), value)
+        self.seen[key] = value
+
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        session = Session(state.get[0] if state.exists else None)
-        batch = pd.concat(list(frames)).sort_values(["doc_seq", "doc_id"])
+class Redactor(StatefulProcessor):
+    """Redacts a session's documents with its mapping as keyed state."""
+
+    def __init__(self, keep_year: bool):
+        self.keep_year = keep_year
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.states = [handle.getMapState(name, "item string", schema) for name, schema in STATES.items()]
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        session = Session(*map(_Store, self.states))
+        batch = pd.concat(list(rows)).sort_values(["doc_seq", "doc_id"])
         texts = []
         for text, mentions in zip(batch["text"], batch["mentions"], strict=True):
             own = [] if mentions is None else [m if isinstance(m, dict) else m.asDict() for m in mentions]
             session.add(own)
-            texts.append(None if text is None else session.redact(text, own, keep_year))
-        state.update((session.dump(),))
+            texts.append(None if text is None else session.redact(text, own, self.keep_year))
         yield pd.DataFrame({"session_id": batch["session_id"], "doc_id": batch["doc_id"], "redacted": texts})
 
-    return found.groupBy("session_id").applyInPandasWithState(run, OUTPUT, "mapping string", "append", "NoTimeout")
+    def close(self) -> None:
+        pass
+
+
+def redact_stream(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep_year: bool = True) -> DataFrame:
+    """A stream (session_id, doc_id, redacted) of a stream of documents (session_id, doc_id, doc_seq, text). It runs with STATE_STORE set in the session."""
+    kept = F.transform(without_overlaps(F.col("mentions")), lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), m["text"].alias("text"), m["type"].alias("type"), key_of(m["text"]).alias("key")))
+    found = detect(docs, rules).select("session_id", "doc_id", "doc_seq", "text", F.filter(kept, lambda m: F.length(m["key"]) > 1).alias("mentions"))
+    return found.groupBy("session_id").transformWithStateInPandas(Redactor(keep_year), OUTPUT, "append", "none")
+
+
+def mask_stream(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """`docs`, a stream or not, with `masked`: each mention replaced by the prefix of its type. No state and no shuffle; one session's documents may be everywhere."""
+    kept = F.filter(without_overlaps(F.col("mentions")), lambda m: F.length(key_of(m["text"])) > 1)
+    prefix = F.create_map(*(F.lit(x) for kv in PREFIXES.items() for x in kv))
+    spans = F.transform(kept, lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), F.concat(F.lit("["), prefix[m["type"]], F.lit("]")).alias("code")))
+    out = detect(docs, rules).withColumn("_spans", spans)
+    return out.withColumn("masked", F.when(F.size("_spans") > 0, splice(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))).drop("_spans", "mentions")
 
 
 def finished(stream: DataFrame) -> DataFrame:
     """What a stream gives for all that has arrived by now: it runs until then, with files as its sink."""
     spark = stream.sparkSession
     out = new_path(spark, "stream")
-    query = stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    before = spark.conf.get(STATE_STORE[0], None)
+    spark.conf.set(*STATE_STORE)
+    try:
+        query = stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset(STATE_STORE[0]) if before is None else spark.conf.set(STATE_STORE[0], before)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")

@@ -2,6 +2,8 @@
 
 import re
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from sealgrove.operators import edits, entities, parts, review
 from sealgrove.operators import names as on
 from sealgrove.operators.joins import numbered
 from sealgrove.operators.recognizers import BY_NAME, Rule, mentions
-from sealgrove.streaming.redaction import finished, redact_stream
+from sealgrove.streaming.redaction import finished, mask_stream, redact_stream
 
 DOCS = "session_id string, doc_id long, doc_seq long, text string"
 ID_AND_NAME = (BY_NAME["title_name"], BY_NAME["known_name"], BY_NAME["relation_word"], BY_NAME["email"], BY_NAME["date_slash"])
@@ -118,6 +120,25 @@ def test_streams_give_what_the_batch_gives(spark, tmp_path):
     assert got == {r["doc_id"]: r["redacted"] for r in entities.redact_documents(docs, ID_AND_NAME)[0].collect()}
 
 
+def test_streams_of_several_batches_and_late_documents(spark, tmp_path):
+    """Documents get codes in the order of arrival, as in a batch whose doc_seq is that order; a session's state lasts from one micro-batch to the next."""
+    files = [
+        [("s", 1, 5, "Dr John Smith met Ann on 1/2/2020, a@b.nz"), ("t", 2, 5, "uncle Jo, a@b.nz"), ("s", 3, 6, "Dr Johnny Marr Smith. x@y.nz")],
+        [("s", 4, 1, "Late: Dr Ann Lee, Mr John, c@d.nz"), (None, 5, 1, "Dr Jo Park; Ms Park"), ("s", 6, 2, None)],
+        [("t", 7, 9, "Dr Jo Hart, c@d.nz, a@b.nz"), ("s", 8, 9, "Mr Smith and uncle Ann; Dr John Smith; c@d.nz"), (None, 9, 0, "Mr Jo, z@z.nz")],
+    ]
+    arrived = [(s, i, f * 100 + q, t) for f, rows in enumerate(files) for s, i, q, t in rows]
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, DOCS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1)  # files come in the order of their times, which are seconds
+    source = spark.readStream.schema(spark.createDataFrame([], DOCS).schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = {r["doc_id"]: r["redacted"] for r in finished(redact_stream(source, ID_AND_NAME)).collect()}
+    want = {r["doc_id"]: r["redacted"] for r in entities.redact_documents(spark.createDataFrame(arrived, DOCS), ID_AND_NAME)[0].collect()}
+    assert got == want and got[4].count("CONTACT_C") == 1
+    masked = {r["doc_id"]: r["masked"] for r in finished(mask_stream(source, ID_AND_NAME).select("doc_id", "masked")).collect()}
+    assert masked[7].endswith("[CONTACT], [CONTACT]") and masked[6] is None and len(masked) == 9
+
+
 def test_numbers_have_no_gaps(spark):
     df = spark.range(1000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 1000).alias("o")).repartition(5)
     got = {}
