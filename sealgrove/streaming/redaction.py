@@ -124,20 +124,24 @@ class Session:
 
 
 class _Store:
-    """A MapState of texts by text, each entry of which is read once while a session's documents of a micro-batch last."""
+    """A MapState of texts by text, each entry of which is read and written at most once while a session's documents of a micro-batch last."""
 
     def __init__(self, state):
-        self.state, self.seen = state, {}
+        self.state, self.known, self.seen, self.changed = state, state.exists(), {}, set()
 
     def get(self, key: str) -> tuple | None:
         if key not in self.seen:
-            own = self.state.getValue((key,))
+            own = self.state.getValue((key,)) if self.known else None
             self.seen[key] = None if own is None else tuple(own)
         return self.seen[key]
 
     def put(self, key: str, value: tuple) -> None:
-        self.state.updateValue((key,), value)
         self.seen[key] = value
+        self.changed.add(key)
+
+    def flush(self) -> None:
+        for key in self.changed:
+            self.state.updateValue((key,), self.seen[key])
 
 
 class Redactor(StatefulProcessor):
@@ -150,13 +154,16 @@ class Redactor(StatefulProcessor):
         self.states = [handle.getMapState(name, "item string", schema) for name, schema in STATES.items()]
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        session = Session(*map(_Store, self.states))
+        stores = [_Store(x) for x in self.states]
+        session = Session(*stores)
         batch = pd.concat(list(rows)).sort_values(["doc_seq", "doc_id"])
         texts = []
         for text, mentions in zip(batch["text"], batch["mentions"], strict=True):
             own = [] if mentions is None else [m if isinstance(m, dict) else m.asDict() for m in mentions]
             session.add(own)
             texts.append(None if text is None else session.redact(text, own, self.keep_year))
+        for store in stores:
+            store.flush()
         yield pd.DataFrame({"session_id": batch["session_id"], "doc_id": batch["doc_id"], "redacted": texts})
 
     def close(self) -> None:
