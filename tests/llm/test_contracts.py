@@ -183,3 +183,27 @@ def test_topk_with_few_candidates_and_none(spark):
     few = topk.quantised(spark.createDataFrame([(0, [1.0]), (50, [1e30]), (51, [2.0])], "vec_id long, embedding array<double>"))
     assert topk.top_k(few, few.filter("id % 50 = 0"), 5).count() == 4
     assert topk.top_k(few.limit(0), few.limit(0), 5).count() == 0
+
+
+def test_topk_over_many_groups_of_blocks(spark, monkeypatch):
+    """Blocks of a few rows, so that histograms come from many groups; scores with an outlier, and many that are equal."""
+    for name, size in (("QUERY_BLOCK", 4), ("CANDIDATE_BLOCK", 8), ("GROUP", 2)):
+        monkeypatch.setattr(topk, name, size)
+    rng = np.random.default_rng(5)
+    vs = [(i, [int(x) for x in rng.integers(-3, 4, 3)]) for i in range(300)] + [(1000, [10**6, 0, 0]), (1001, [0, 0, 0])] + [(2000 + i, [1, 1, 1]) for i in range(30)]
+    df = spark.createDataFrame(vs, "id long, v array<long>").repartition(5)
+    got = {}
+    for r in topk.top_k(df, df.filter("id % 10 = 0"), 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    for q, a in vs:
+        if q % 10 == 0:
+            best = sorted(((i, sum(x * y for x, y in zip(a, b, strict=True))) for i, b in vs if i != q), key=lambda x: (-x[1], x[0]))[:5]
+            assert got.pop(q) == best
+    assert not got
+
+
+def test_topk_of_scores_up_to_63_bits(spark):
+    big = 3 * 10**9 + 1
+    df = spark.createDataFrame([(0, [big]), (1, [big - 1]), (2, [-big]), (3, [1]), (50, [-big])], "id long, v array<long>")
+    got = [(r["query_id"], r["vec_id"], r["score"]) for r in topk.top_k(df, df.filter("id % 50 = 0"), 2).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, big * (big - 1)), (0, 3, big), (50, 2, big * big), (50, 3, -big)]

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sealgrove.llm import flac, langid, mixing, sharding, simhash
 from sealgrove.llm.components import connected
@@ -111,3 +112,23 @@ def test_filter_returns_all_languages_of_a_gram():
     assert f.langs == ["de", "en"]
     assert (f.languages(langid.grams("the")) == 3).all() and f.languages(langid.grams("the")).shape[1] == 1
     assert f.decide(None) == ("und", 0.0) and f.decide("123 ...") == ("und", 0.0) and f.decide("der und")[0] == "de"
+
+
+def test_mix_takes_what_the_leaves_say(spark):
+    """The shards that documents get, against the tree: a source's draws of a shard are its leaf, which the documents' shards are counted back to by block."""
+    rows = [(i, "ab"[i % 7 == 0], f"w{i} " * (i % 5 + 1)) for i in range(400)] + [(900, None, "x y")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    plan = mixing.mix_plan(docs, shards=5)
+    place = mixing.position(F.col("doc_id"), F.col("text"), str(mixing.SEED))
+    mixed = mixing.mixed(docs, plan, "source", place).withColumn("place", place).collect()
+    for p in plan.collect():
+        ends, own = p["_ends"], [r for r in mixed if r["source"] == p["_source"]]
+        assert len(ends) == 5 and list(ends) == sorted(ends)
+        for r in own:
+            block, last = r["place"] >> (mixing.HASH_BITS - mixing.BLOCK_BITS), ends[-1] - 1 if p["_cut"] >= 0 else ends[-1]
+            draws = [c * mixing.BLOCKS + block for c in range(mixing.CAP + 1)]
+            draws = [d for d in draws if d < last or (p["_cut"] >= 0 and d == last and r["place"] <= p["_cut"])]
+            assert r["shards"] == [next(k for k, e in enumerate(ends) if d < e) for d in draws]
+        assert {k for r in own for k in r["shards"]} <= set(range(5)) and sum(len(r["shards"]) for r in own) > 0
+    got = [(r["doc_id"], r["shard"]) for r in mixing.mix_sources(docs, shards=5).collect()]
+    assert sorted(got) == sorted((r["doc_id"], k) for r in mixed for k in r["shards"])
