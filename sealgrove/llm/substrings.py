@@ -1,7 +1,7 @@
-"""Dedup of repeated substrings: hashes of sampled blocks, and one induction in memory for each shard.
+"""Dedup of repeated substrings: induced sorting of sampled suffixes, shard by shard, and by recursion where a shard is too large for a task.
 
-This isn't external induced sorting: there is no recursion, no suffix array and no disk-backed priority queue. Most removals are decided by hashes of blocks, without comparing bytes, and the suffixes
-that are sorted at all are sorted in a task's memory (README says what follows from that).
+Of external induced sorting it keeps the sample, the names, the reduced problem, the induction with common prefixes and the recursion. Spark's sorts, which spill, stand in for disk-backed priority
+queues, no suffix array is written, and most removals are decided by hashes of blocks, without comparing bytes (README).
 
 Removed is each byte covered by a string of `window` bytes that also starts in a document of smaller doc_id. The work follows an
 induced suffix sort, in which few suffixes are sorted and the others are induced from them:
@@ -14,8 +14,8 @@ induced suffix sort, in which few suffixes are sorted and the others are induced
    byte (suffixes.induced), which finds the windows that blocks of different names share.
 4. The removed runs meet their documents, which are cut.
 
-Suffix tuples and common prefixes move between the steps through Spark's shuffle, which sorts and spills; a task holds a shard of SHARD_BYTES of text at a time, whatever the input's size, but the
-blocks of one gram stay together, so that a gram in very many documents fills a task's memory. Blocks that a
+Suffix tuples move between the steps through Spark's shuffle, which sorts and spills; a task holds a shard of SHARD_BYTES of text at a time, whatever the input's size. The blocks of one gram stay
+together, so a gram in very many documents makes a shard too large: of shards with over PART_BYTES of names these are rows that Spark groups, and the induction recurses (induction.py). Blocks that a
 task meets repeatedly are resolved there, so that a passage of a third of all documents costs a shard one tuple for each task.
 
 Edge cases: null text is empty and has no bytes; a null doc_id counts as greater than all others; rows of equal doc_id, null too, never
@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sealgrove.llm import suffixes
+from sealgrove.llm import induction, suffixes
 from sealgrove.llm.texts import bounded_batches
 from sealgrove.operators.joins import joined, numbered
 from sealgrove.sources.tables import read_table, written
@@ -42,11 +42,14 @@ from sealgrove.sources.tables import read_table, written
 WINDOW = 50
 #: Text that a shard stands for, and text of which a task resolves the repeats before it sends them.
 SHARD_BYTES, TASK_BYTES = 2 << 20, 32 << 20
+#: Names of blocks of which one task takes a shard at once (other shards recurse), and blocks that one task induces from then.
+PART_BYTES, GROUP = 16 << 20, 1 << 16
 #: Columns of what is sent: blocks to name, removed runs of windows, blocks to induce from, and their bytes. A row's id less `nth` is its document's first id.
 NAMED = (("gram", "<u4"), ("name", "<u8"), ("id", "<i8"), ("nth", "<i8"), ("at", "<u4"), ("n", "u1"), ("sample", "u1"))
 RUNS = (("id", "<i8"), ("at", "<u4"), ("n", "<u4"))
 ASKED = (("id", "<i8"), ("nth", "<i8"), ("at", "<u4"), ("n", "u1"), ("sample", "u1"), ("gram", "<u4"), ("shard", "<i4"))
-SENT = "kind int, part int, payload binary"
+SENT = "kind int, part int, size int, payload binary"
+_ARROW = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("size", pa.int32()), ("payload", pa.binary())])
 
 
 def _pack(columns: tuple, arrays: dict[str, np.ndarray]) -> bytes:
@@ -89,7 +92,12 @@ def _part(ids: np.ndarray, parts: int) -> np.ndarray:
 
 def _frame(kind: int, rows: Iterator[tuple[int, bytes]]) -> pd.DataFrame:
     rows = list(rows)
-    return pd.DataFrame({"kind": np.full(len(rows), kind, dtype=np.int32), "part": np.array([r[0] for r in rows], dtype=np.int32), "payload": [r[1] for r in rows]})
+    part, size = (np.array(x, dtype=np.int32) for x in ([r[0] for r in rows], [len(r[1]) for r in rows]))
+    return pd.DataFrame({"kind": np.full(len(rows), kind, dtype=np.int32), "part": part, "size": size, "payload": [r[1] for r in rows]})
+
+
+def _batches(frames: list[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
+    yield from pa.Table.from_pandas(pd.concat(frames), schema=_ARROW, preserve_index=False).to_batches()
 
 
 def _joined(id: np.ndarray, at: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
@@ -145,7 +153,7 @@ def _sampler(window: int, shards: int):
             if late.any():
                 runs = _joined(id[late], at[late], n[late])
                 out.append(_frame(1, _split(RUNS, runs, _part(runs["id"], shards))))
-            yield from pa.Table.from_pandas(pd.concat(out), schema=pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("payload", pa.binary())]), preserve_index=False).to_batches()
+            yield from _batches(out)
 
     return run
 
@@ -238,18 +246,66 @@ def _inducer(window: int, shards: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         b = _unpack(_context_columns(window), list(frame["payload"]))
         own = np.stack([b[f"c{i}"] for i in range(2 * window)], axis=1)
-        sample, n = b["sample"].astype(np.int64), b["n"].astype(np.int64)
-        right_len = np.minimum(n + window - 1 - sample, window)
-        col, row = np.arange(window), np.arange(len(own))[:, None]
-        right = np.where(col[None, :] < right_len[:, None], own[row, np.minimum(sample[:, None] + col, 2 * window - 1)], 0)
-        left = np.where(col[None, :] < sample[:, None], own[row, np.maximum(sample[:, None] - 1 - col, 0)], 0)[:, : window - suffixes.GRAM]
-        row, away = suffixes.induced(right.astype(np.uint8), right_len, left.astype(np.uint8), sample, b["id"] - b["nth"], window)
+        sample = b["sample"].astype(np.int64)
+        row, away = suffixes.shared(own, sample, b["n"].astype(np.int64), b["id"] - b["nth"], window)
         runs = _joined(b["id"][row], b["at"][row].astype(np.int64) + sample[row] - away, np.ones(len(row), dtype=np.int64))
         return _frame(1, _split(RUNS, runs, _part(runs["id"], shards)))
 
     return run
 
 
+NAME = "part int, gram long, name long, id long, nth long, at long, n int, sample int"
+
+
+def _named_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed names of large shards as rows."""
+    for batch in batches:
+        for part, payload in zip(batch.column("part").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+            b = _unpack(NAMED, [payload])
+            n = len(b["id"])
+            columns = [np.full(n, part), b["gram"], b["name"].view(np.int64), b["id"], b["nth"], b["at"], b["n"], b["sample"]]
+            kinds = [pa.int32(), *[pa.int64()] * 5, pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(k.to_pandas_dtype())) for c, k in zip(columns, kinds, strict=True)], names=["part", "gram", "name", "id", "nth", "at", "n", "sample"])
+
+
+def _block_rows(window: int):
+    """Packed blocks of large shards as rows, with their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload in batch.column("payload").to_pylist():
+                b = _unpack(_context_columns(window), [payload])
+                own = np.stack([b[f"c{i}"] for i in range(2 * window)], axis=1)
+                columns = [pa.array(b[k].astype(np.int64)) for k in ("id", "nth", "at")] + [pa.array(b[k].astype(np.int32)) for k in ("n", "sample")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in own], pa.binary())], names=["id", "nth", "at", "n", "sample", "own"])
+
+    return run
+
+
+def _packed_rows(kind: int, columns: tuple, shards: int):
+    """Rows packed by their documents' parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrays = {name: batch.column(name).to_numpy() for name, _ in columns}
+            if len(arrays["id"]):
+                yield from _batches([_frame(kind, _split(columns, arrays, _part(arrays["id"], shards)))])
+
+    return run
+
+
+def _large_names(named: DataFrame, shards: int) -> DataFrame:
+    """Step 2 for shards too large for a task, as rows: removed runs, and blocks of names that share a gram, whose shards go on as negative numbers."""
+    rows = named.filter("kind = 0").mapInArrow(_named_rows, NAME)
+    least = rows.groupBy("part", "gram", "name").agg(F.min(F.col("id") - F.col("nth")).alias("least"))
+    rows = rows.join(least, ["part", "gram", "name"])
+    late = rows.filter("id - nth > least").select("id", "at", "n").mapInArrow(_packed_rows(1, RUNS, shards), SENT)
+    several = least.groupBy("part", "gram").count().filter("count > 1").select("part", "gram")
+    asked = rows.filter("id - nth = least").join(several, ["part", "gram"], "left_semi").withColumn("shard", -1 - F.col("part"))
+    asked = asked.select("id", "nth", "at", "n", "sample", "gram", "shard").mapInArrow(_packed_rows(2, ASKED, shards), SENT)
+    return late.union(asked).union(named.filter("kind = 1"))
+
+
 CUT = "id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>"
 
 
@@ -284,8 +340,11 @@ def _cutter(window: int):
     return run
 
 
-def drop_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """A row for each row of `df`: doc_id, n_bytes, n_removed, n_spans, `kept` (the bytes that are left) and the removed spans."""
+def drop_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, part_bytes: int = PART_BYTES, group: int = GROUP) -> DataFrame:
+    """A row for each row of `df`: doc_id, n_bytes, n_removed, n_spans, `kept` (the bytes that are left) and the removed spans.
+
+    Shards with more than `part_bytes` of names recurse, with about `group` blocks in a task; both bound memory and change no result.
+    """
     if not suffixes.GRAM < window < 128:
         raise ValueError(f"windows of {suffixes.GRAM + 1} to 127 bytes are sorted")
     bounded_batches(df.sparkSession)
@@ -300,11 +359,23 @@ def drop_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wind
         docs = joined(own, firsts, ("doc",)).select("id", (F.col("id") - F.col("first")).alias("nth"), "text")
     shards = max(16, -(-total // SHARD_BYTES))
 
-    named = docs.mapInArrow(_sampler(window, shards), SENT)
-    found = written(named.groupBy("part").applyInPandas(_namer(shards), SENT), "repeats-found")
+    named = written(docs.mapInArrow(_sampler(window, shards), SENT), "repeats-named")
+    large = named.filter("kind = 0").groupBy("part").agg(F.sum("size").alias("size")).filter(F.col("size") > part_bytes)
+    large = written(large.select("part"), "repeats-large")
+    some = not large.isEmpty()
+    usual = named.join(large, "part", "left_anti").select(named.columns) if some else named
+    found = usual.groupBy("part").applyInPandas(_namer(shards), SENT)
+    if some:
+        found = found.union(_large_names(named.join(large, "part", "left_semi").select(named.columns), shards))
+    found = written(found, "repeats-found")
     runs, asked = found.filter("kind = 1"), found.filter("kind = 2")
     parts = docs.mapInArrow(_packed_texts(shards), "part int, ids binary, sizes binary, texts binary")
     near = parts.groupBy("part").cogroup(asked.groupBy("part")).applyInPandas(_context(window), SENT)
+    if some:
+        near = written(near, "repeats-near")
+        blocks = near.filter("part < 0").mapInArrow(_block_rows(window), induction.BLOCK)
+        runs = runs.union(induction.shared_runs(blocks, window, group).mapInArrow(_packed_rows(1, RUNS, shards), SENT))
+        near = near.filter("part >= 0")
     runs = runs.union(near.groupBy("part").applyInPandas(_inducer(window, shards), SENT))
     out = parts.groupBy("part").cogroup(runs.groupBy("part")).applyInPandas(_cutter(window), CUT)
     if own is not None:

@@ -149,6 +149,18 @@ def induced(right: np.ndarray, right_len: np.ndarray, left: np.ndarray, left_len
     return np.concatenate(rows), np.concatenate(away)
 
 
+def shared(own: np.ndarray, sample: np.ndarray, n: np.ndarray, owner: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows of blocks also start in a block of a smaller owner: (row, distance of the window's start to the left of the sample).
+
+    own: a block's bytes a row, padded to 2 * window; sample: the sample's place in them; n: the block's windows.
+    """
+    right_len = np.minimum(n + window - 1 - sample, window)
+    col, row = np.arange(window), np.arange(len(own))[:, None]
+    right = np.where(col[None, :] < right_len[:, None], own[row, np.minimum(sample[:, None] + col, 2 * window - 1)], 0)
+    left = np.where(col[None, :] < sample[:, None], own[row, np.maximum(sample[:, None] - 1 - col, 0)], 0)[:, : window - GRAM]
+    return induced(right.astype(np.uint8), right_len, left.astype(np.uint8), sample, owner, window)
+
+
 def _least_between(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """min(values[lo:hi]) for each pair, by a sparse table."""
     out = np.empty(len(lo), dtype=values.dtype)

@@ -99,11 +99,11 @@ def brute_repeats(rows, window=50):
     return {k: sorted(v) for k, v in out.items()}
 
 
-def repeats(df):
+def repeats(df, **options):
     from pyspark.sql import functions as F
 
     out = collections.defaultdict(list)
-    for r in substrings.drop_repeats(df).withColumn("h", F.sha2("kept", 256)).collect():
+    for r in substrings.drop_repeats(df, **options).withColumn("h", F.sha2("kept", 256)).collect():
         out[NO_ID if r["doc_id"] is None else r["doc_id"]].append((r["n_bytes"], r["n_removed"], r["n_spans"], r["h"]))
         assert sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"] == r["n_bytes"] - len(r["kept"])
     return {k: sorted(v) for k, v in out.items()}
@@ -131,6 +131,19 @@ def test_substrings_of_pieces_and_periods(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = brute_repeats([(NO_ID if i is None else i, (t or "").encode()) for i, t in rows])
     assert repeats(df) == want
+    assert repeats(df, part_bytes=0, group=1) == want  # every shard recurses, and every group is split down to its windows
+    assert repeats(df, part_bytes=600, group=40) == want  # some do
+
+
+def test_substrings_of_one_passage_in_all_documents(spark):
+    rng = np.random.default_rng(6)
+    passage = "".join(rng.choice(list("abcdefgh"), 70))
+    rows = [(i, "".join(rng.choice(list("xyz "), 60)) + passage + "".join(rng.choice(list("xyz "), 60))) for i in range(400)]
+    rows += [(400 + i, rows[i][1]) for i in range(200)]  # copies, which share their whole blocks
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute_repeats([(i, t.encode()) for i, t in rows])
+    assert repeats(df, part_bytes=0, group=7) == want
+    assert repeats(df) == want
 
 
 def test_bpe_equals_the_library(spark, duck, sf):
