@@ -41,7 +41,9 @@ from sealgrove.sources.tables import read_table, written
 
 WINDOW = 50
 #: Text that a shard stands for, and text of which a task resolves the repeats before it sends them.
-SHARD_BYTES, TASK_BYTES = 2 << 20, 32 << 20
+SHARD_BYTES, TASK_BYTES = 2 << 20, 16 << 20
+#: Bytes of packed rows that a task hands over at once.
+SENT_BYTES = 4 << 20
 #: Names of blocks of which one task takes a shard at once (other shards recurse), and blocks that one task induces from then.
 PART_BYTES, GROUP = 16 << 20, 1 << 16
 #: Columns of what is sent: blocks to name, removed runs of windows, blocks to induce from, and their bytes. A row's id less `nth` is its document's first id.
@@ -96,8 +98,18 @@ def _frame(kind: int, rows: Iterator[tuple[int, bytes]]) -> pd.DataFrame:
     return pd.DataFrame({"kind": np.full(len(rows), kind, dtype=np.int32), "part": part, "size": size, "payload": [r[1] for r in rows]})
 
 
-def _batches(frames: list[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
-    yield from pa.Table.from_pandas(pd.concat(frames), schema=_ARROW, preserve_index=False).to_batches()
+def _batches(kind: int, rows: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Packed rows as batches of about SENT_BYTES, so that neither side of a worker's pipe holds a whole portion."""
+    own: list[tuple[int, bytes]] = []
+    held = 0
+    for row in rows:
+        own.append(row)
+        held += len(row[1])
+        if held >= SENT_BYTES:
+            yield pa.RecordBatch.from_pandas(_frame(kind, iter(own)), schema=_ARROW, preserve_index=False)
+            own, held = [], 0
+    if own:
+        yield pa.RecordBatch.from_pandas(_frame(kind, iter(own)), schema=_ARROW, preserve_index=False)
 
 
 def _joined(id: np.ndarray, at: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
@@ -149,11 +161,12 @@ def _sampler(window: int, shards: int):
             send = ~late
             shard = (gram >> np.uint64(32)) % np.uint64(shards)
             arrays = {"gram": gram & np.uint64(0xFFFFFFFF), "name": name, "id": id, "nth": nth, "at": at, "n": n, "sample": sample}
-            out = [_frame(0, _split(NAMED, {k: v[send] for k, v in arrays.items()}, shard[send].astype(np.int64)))]
             if late.any():
                 runs = _joined(id[late], at[late], n[late])
-                out.append(_frame(1, _split(RUNS, runs, _part(runs["id"], shards))))
-            yield from _batches(out)
+                yield from _batches(1, _split(RUNS, runs, _part(runs["id"], shards)))
+            arrays, shard = {k: v[send] for k, v in arrays.items()}, shard[send].astype(np.int64)
+            del raw, texts, which, at, n, sample, gram, name, id, nth, doc, by, new, least, late, send
+            yield from _batches(0, _split(NAMED, arrays, shard))
 
     return run
 
@@ -289,7 +302,7 @@ def _packed_rows(kind: int, columns: tuple, shards: int):
         for batch in batches:
             arrays = {name: batch.column(name).to_numpy() for name, _ in columns}
             if len(arrays["id"]):
-                yield from _batches([_frame(kind, _split(columns, arrays, _part(arrays["id"], shards)))])
+                yield from _batches(kind, _split(columns, arrays, _part(arrays["id"], shards)))
 
     return run
 
