@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sealgrove.llm import induction, suffixes
@@ -309,14 +309,14 @@ def _packed_rows(kind: int, columns: tuple, shards: int):
 
 def _large_names(named: DataFrame, shards: int) -> DataFrame:
     """Step 2 for shards too large for a task, as rows: removed runs, and blocks of names that share a gram, whose shards go on as negative numbers."""
-    rows = named.filter("kind = 0").mapInArrow(_named_rows, NAME)
+    rows = named.mapInArrow(_named_rows, NAME)
     least = rows.groupBy("part", "gram", "name").agg(F.min(F.col("id") - F.col("nth")).alias("least"))
     rows = rows.join(least, ["part", "gram", "name"])
     late = rows.filter("id - nth > least").select("id", "at", "n").mapInArrow(_packed_rows(1, RUNS, shards), SENT)
     several = least.groupBy("part", "gram").count().filter("count > 1").select("part", "gram")
     asked = rows.filter("id - nth = least").join(several, ["part", "gram"], "left_semi").withColumn("shard", -1 - F.col("part"))
-    asked = asked.select("id", "nth", "at", "n", "sample", "gram", "shard").mapInArrow(_packed_rows(2, ASKED, shards), SENT)
-    return late.union(asked).union(named.filter("kind = 1"))
+    asked = asked.select("id", "nth", "at", "n", "sample", "gram", "shard").mapInArrow(_packed_rows(4, ASKED, shards), SENT)
+    return late.union(asked)
 
 
 CUT = "id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>"
@@ -372,16 +372,13 @@ def drop_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wind
         docs = joined(own, firsts, ("doc",)).select("id", (F.col("id") - F.col("first")).alias("nth"), "text")
     shards = max(16, -(-total // SHARD_BYTES))
 
-    named = written(docs.mapInArrow(_sampler(window, shards), SENT), "repeats-named")
-    large = named.filter("kind = 0").groupBy("part").agg(F.sum("size").alias("size")).filter(F.col("size") > part_bytes)
-    large = written(large.select("part"), "repeats-large")
-    some = not large.isEmpty()
-    usual = named.join(large, "part", "left_anti").select(named.columns) if some else named
-    found = usual.groupBy("part").applyInPandas(_namer(shards), SENT)
-    if some:
-        found = found.union(_large_names(named.join(large, "part", "left_semi").select(named.columns), shards))
+    names = F.sum(F.when(F.col("kind") == 0, F.col("size"))).over(Window.partitionBy("part"))
+    named = docs.mapInArrow(_sampler(window, shards), SENT).withColumn("names", F.coalesce(names, F.lit(0)))
+    found = named.filter((F.col("names") <= part_bytes) | (F.col("kind") == 1)).drop("names").groupBy("part").applyInPandas(_namer(shards), SENT)
+    found = found.union(_large_names(named.filter((F.col("names") > part_bytes) & (F.col("kind") == 0)).drop("names"), shards))
     found = written(found, "repeats-found")
-    runs, asked = found.filter("kind = 1"), found.filter("kind = 2")
+    runs, asked = found.filter("kind = 1"), found.filter("kind IN (2, 4)")
+    some = not found.filter("kind = 4").isEmpty()
     parts = docs.mapInArrow(_packed_texts(shards), "part int, ids binary, sizes binary, texts binary")
     near = parts.groupBy("part").cogroup(asked.groupBy("part")).applyInPandas(_context(window), SENT)
     if some:
