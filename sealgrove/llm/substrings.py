@@ -315,7 +315,7 @@ def _large_names(named: DataFrame, shards: int) -> DataFrame:
     late = rows.filter("id - nth > least").select("id", "at", "n").mapInArrow(_packed_rows(1, RUNS, shards), SENT)
     several = least.groupBy("part", "gram").count().filter("count > 1").select("part", "gram")
     asked = rows.filter("id - nth = least").join(several, ["part", "gram"], "left_semi").withColumn("shard", -1 - F.col("part"))
-    asked = asked.select("id", "nth", "at", "n", "sample", "gram", "shard").mapInArrow(_packed_rows(4, ASKED, shards), SENT)
+    asked = asked.select("id", "nth", "at", "n", "sample", "gram", "shard").mapInArrow(_packed_rows(2, ASKED, shards), SENT)
     return late.union(asked)
 
 
@@ -375,10 +375,12 @@ def drop_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", wind
     names = F.sum(F.when(F.col("kind") == 0, F.col("size"))).over(Window.partitionBy("part"))
     named = docs.mapInArrow(_sampler(window, shards), SENT).withColumn("names", F.coalesce(names, F.lit(0)))
     found = named.filter((F.col("names") <= part_bytes) | (F.col("kind") == 1)).drop("names").groupBy("part").applyInPandas(_namer(shards), SENT)
-    found = found.union(_large_names(named.filter((F.col("names") > part_bytes) & (F.col("kind") == 0)).drop("names"), shards))
-    found = written(found, "repeats-found")
-    runs, asked = found.filter("kind = 1"), found.filter("kind IN (2, 4)")
+    large = named.filter((F.col("names") > part_bytes) & (F.col("kind") == 0)).withColumn("kind", F.lit(4))
+    found = written(found.union(large.select(found.columns)), "repeats-found")
     some = not found.filter("kind = 4").isEmpty()
+    if some:
+        found = found.union(written(_large_names(found.filter("kind = 4"), shards), "repeats-large"))
+    runs, asked = found.filter("kind = 1"), found.filter("kind = 2")
     parts = docs.mapInArrow(_packed_texts(shards), "part int, ids binary, sizes binary, texts binary")
     near = parts.groupBy("part").cogroup(asked.groupBy("part")).applyInPandas(_context(window), SENT)
     if some:
