@@ -33,3 +33,8 @@ def orders(spark, folder, keys):
 def test_orders_of_one_note_are_swept_each(spark, tmp_path):
     orders(spark, tmp_path, [(8, 5), (8 + 1_531_530_000, 5), (9, 5)])  # the first two agree in text, session and doc_id
     assert len(against_sql(spark, tmp_path, "sweep_pairs")) == 3
+
+
+def test_a_remark_is_restored_by_the_users_texts_alone(spark, tmp_path):
+    orders(spark, tmp_path, [(k, 50 * k) for k in range(500)])  # one session, whose 459th identifier is [ID_QQ]
+    assert all(" nobody [ID_QQ]" in x for x in against_sql(spark, tmp_path, "restore_with_overrides"))
