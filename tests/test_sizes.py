@@ -38,3 +38,8 @@ def test_orders_of_one_note_are_swept_each(spark, tmp_path):
 def test_a_remark_is_restored_by_the_users_texts_alone(spark, tmp_path):
     orders(spark, tmp_path, [(k, 50 * k) for k in range(500)])  # one session, whose 459th identifier is [ID_QQ]
     assert all(" nobody [ID_QQ]" in x for x in against_sql(spark, tmp_path, "restore_with_overrides"))
+
+
+def test_a_scan_is_in_the_plan_once(spark, sf):
+    plan = mentions(notes(spark, sf), SQL_RULES)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Filter") == 1 and "size(" not in plan.split("Filter", 1)[1].split("\n", 1)[0]
