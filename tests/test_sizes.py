@@ -43,3 +43,8 @@ def test_a_remark_is_restored_by_the_users_texts_alone(spark, tmp_path):
 def test_a_scan_is_in_the_plan_once(spark, sf):
     plan = mentions(notes(spark, sf), SQL_RULES)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Filter") == 1 and "size(" not in plan.split("Filter", 1)[1].split("\n", 1)[0]
+
+
+@pytest.mark.parametrize("query", [findings.position_checks, entities.position_filter])
+def test_texts_are_not_broadcast(spark, sf, query):
+    assert "Broadcast" not in query(spark, sf)._jdf.queryExecution().executedPlan().toString()
