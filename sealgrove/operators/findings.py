@@ -90,20 +90,20 @@ def found_mentions(docs: DataFrame, mentions: DataFrame, findings: DataFrame) ->
     """
     known = mentions.select("row", "key").distinct()
     first = findings.withColumn("key", key_of(F.col("text"))).filter(F.length("key") > 1).groupBy("row", "key").agg(F.min(F.struct("text", "type", "confidence")).alias("x"))
-    new = joined(first.select("row", "key", F.btrim("x.text").alias("text"), "x.type", "x.confidence"), known, ("row", "key"), "left_anti").withColumn("pat_ord", F.lit(0))
+    new = joined(first.select("row", "key", F.btrim("x.text").alias("text"), "x.type", "x.confidence"), known, ("row", "key"), "left_anti", large=True).withColumn("pat_ord", F.lit(0))
     names = new.filter(F.col("type").startswith("person")).withColumnsRenamed({"text": "name", "confidence": "_sure", "key": "_whole"}).drop("pat_ord")
     p = person(F.col("name"))
     usable = F.when(F.col("part") == "FORMAL", p["title"].isNotNull()).when(F.col("part") == "LAST", F.lower(p["last"]) != F.lower(p["first"])).otherwise(F.lit(True))
     parts = name_parts(names).filter(usable).withColumn("key", key_of(F.col("text")))
     parts = parts.groupBy("row", "key").agg(F.min(F.struct("text", "type", "confidence")).alias("x")).select("row", "key", "x.*", F.lit(1).alias("pat_ord"))
-    parts = joined(joined(parts, known, ("row", "key"), "left_anti"), new.select("row", "key"), ("row", "key"), "left_anti")
+    parts = joined(joined(parts, known, ("row", "key"), "left_anti", large=True), new.select("row", "key"), ("row", "key"), "left_anti", large=True)
     terms = new.unionByName(parts)
 
     own = docs.dropDuplicates(["row"])
-    read = joined(own.select("row", "text"), terms.select("row").distinct(), ("row",), "left_semi").select(F.col("row").alias("session_id"), F.col("row").alias("doc_id"), "text")
-    places = occurrences_of_terms(read, terms.select(F.col("row").alias("session_id"), F.col("text").alias("term")))
+    read = joined(own.select("row", "text"), terms.select("row").distinct(), ("row",), "left_semi", large=True).select(F.col("row").alias("session_id"), F.col("row").alias("doc_id"), "text")
+    places = occurrences_of_terms(read, terms.select(F.col("row").alias("session_id"), F.col("text").alias("term")), large=True)
     places = places.select(F.col("doc_id").alias("row"), key_of(F.col("term")).alias("key"), "s", "e").distinct()
     last = mentions.groupBy("session_id").agg(F.max("doc_seq").alias("_last"))
     rows = joined(own.select("row", "session_id", "doc_id", "doc_seq"), last, ("session_id",), "left").withColumn("doc_seq", F.coalesce(F.col("_last") + 1, F.lit(0)) + F.col("doc_seq")).drop("_last")
-    out = joined(joined(places, terms, ("row", "key")), rows, ("row",)).withColumn("rec_ord", F.lit(FINDING))
+    out = joined(joined(places, terms, ("row", "key"), large=True), rows, ("row",), large=True).withColumn("rec_ord", F.lit(FINDING))
     return out.select("session_id", "doc_id", "doc_seq", "row", "s", "e", "text", "type", "confidence", "rec_ord", "pat_ord", "key")

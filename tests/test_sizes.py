@@ -48,3 +48,12 @@ def test_a_scan_is_in_the_plan_once(spark, sf):
 @pytest.mark.parametrize("query", [findings.position_checks, entities.position_filter])
 def test_texts_are_not_broadcast(spark, sf, query):
     assert "Broadcast" not in query(spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_of_documents_are_not_broadcast(spark, sf):
+    from sealgrove.operators import findings as fi
+    from sealgrove.operators.joins import identified
+
+    docs, known = identified(notes(spark, sf), "text"), entities._found(spark, sf)
+    plan = fi.found_mentions(docs, known, findings._finds(docs))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") <= 1  # the last number of each session
