@@ -57,3 +57,15 @@ def test_terms_of_documents_are_not_broadcast(spark, sf):
     docs, known = identified(notes(spark, sf), "text"), entities._found(spark, sf)
     plan = fi.found_mentions(docs, known, findings._finds(docs))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastExchange") <= 1  # the last number of each session
+
+
+def test_versions_are_counted_along_and_not_paired_with_all_steps(spark):
+    from sealgrove.operators import versions as ve
+
+    rows = [("s", i, "draft" if i % 2 else "save", 1, f"v{i}") for i in range(1, 5)] + [(None, 1, "draft", None, "x"), (None, 2, "clear", None, None)]
+    changes = spark.createDataFrame(rows, ve.CHANGES)
+    out = ve.state_at(ve.versions(changes), changes.select("session_id", "at"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "unboundedfollowing" not in plan and "valid_from" not in "".join(x for x in plan.splitlines() if "Join" in x)
+    got = sorted((str(r["session_id"]), r["at"], r["item"], r["doc_id"], r["text"]) for r in out.collect())
+    assert got == [("None", 1, "draft", None, "x"), ("s", 1, "draft", 1, "v1"), ("s", 2, "draft", 1, "v1"), ("s", 2, "saved", 1, "v1"), ("s", 3, "draft", 1, "v3"), ("s", 3, "saved", 1, "v1"), ("s", 4, "draft", 1, "v3"), ("s", 4, "saved", 1, "v3")]
