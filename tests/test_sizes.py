@@ -3,8 +3,10 @@
 import datetime
 
 import duckdb
+import pyarrow as pa
 import pytest
 
+from sealgrove.operators.dictionary import Words, with_hits
 from sealgrove.operators.recognizers import mentions
 from sealgrove.plans import entities, findings, registry
 from sealgrove.plans.detection import SQL_RULES
@@ -69,3 +71,18 @@ def test_versions_are_counted_along_and_not_paired_with_all_steps(spark):
     assert "unboundedfollowing" not in plan and "valid_from" not in "".join(x for x in plan.splitlines() if "Join" in x)
     got = sorted((str(r["session_id"]), r["at"], r["item"], r["doc_id"], r["text"]) for r in out.collect())
     assert got == [("None", 1, "draft", None, "x"), ("s", 1, "draft", 1, "v1"), ("s", 2, "draft", 1, "v1"), ("s", 2, "saved", 1, "v1"), ("s", 3, "draft", 1, "v3"), ("s", 3, "saved", 1, "v1"), ("s", 4, "draft", 1, "v3"), ("s", 4, "saved", 1, "v3")]
+
+
+def handed(monkeypatch, docs, operator, texts):
+    """The batches that an Arrow pass hands over for one batch of texts."""
+    runs = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: runs.append(run))
+    operator(docs)
+    return list(runs[0](iter([pa.RecordBatch.from_pydict({"text": texts})])))
+
+
+def test_hits_of_many_texts_are_not_held_at_once(spark, monkeypatch):
+    texts = ["ab " * 40_000, None, "ab", "ab " * 40_000, ""]
+    out = handed(monkeypatch, spark.createDataFrame([("",)], "text string"), lambda d: with_hits(d, Words([("ab", "x")])), texts)
+    assert [b.num_rows for b in out] == [1, 3, 1]
+    assert [x for b in out for x in b.column(0).to_pylist()] == texts and [len(x) for b in out for x in b.column(1).to_pylist()] == [40_000, 0, 1, 40_000, 0]
