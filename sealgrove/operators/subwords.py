@@ -12,6 +12,7 @@ the smaller number counts; the word mark alone is no unit.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -25,6 +26,8 @@ UNITS = "array<struct<id:int,s:int,e:int>>"
 WORD, UNKNOWN = "▁", -1
 #: Pieces that a vocabulary may have, and words that a task remembers.
 MAX_PIECES, CACHE = 4_000_000, 200_000
+#: Units of several texts that are handed over at once; those of one text stay together.
+MOST_UNITS = 65_536
 
 
 class Vocabulary:
@@ -104,14 +107,20 @@ def with_units(df: DataFrame, words: Vocabulary, text: str = "text", units: str
     places, at = [df.columns.index(c) for c in keep], df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def handed(batch: pa.RecordBatch, offsets: array, columns: list[array]) -> pa.RecordBatch:
+            made = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], fields=fields)
+            return pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), made)], names=schema.names)
+
         for batch in batches:
-            offsets, flat = [0], []
-            for t in batch.column(at).to_pylist():
-                flat += shared.value.of_text(t)
-                offsets.append(len(flat))
-            columns = [pa.array(c, f.type) for c, f in zip(zip(*flat, strict=True) if flat else [[]] * len(fields), fields, strict=True)]
-            made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, fields=fields))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), made], names=schema.names)
+            first, offsets, columns = 0, array("i", [0]), [array("i") for _ in fields]
+            for row in range(batch.num_rows):
+                for unit in shared.value.of_text(batch.column(at)[row].as_py()):
+                    for c, x in zip(columns, unit, strict=True):
+                        c.append(x)
+                offsets.append(len(columns[0]))
+                if len(columns[0]) >= MOST_UNITS or row + 1 == batch.num_rows:
+                    yield handed(batch.slice(first, row + 1 - first), offsets, columns)
+                    first, offsets, columns = row + 1, array("i", [0]), [array("i") for _ in fields]
 
     return df.mapInArrow(run, schema)
 

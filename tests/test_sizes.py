@@ -8,6 +8,7 @@ import pytest
 
 from sealgrove.operators.dictionary import Words, with_hits
 from sealgrove.operators.recognizers import mentions
+from sealgrove.operators.subwords import Vocabulary, with_units
 from sealgrove.plans import entities, findings, registry
 from sealgrove.plans.detection import SQL_RULES
 from sealgrove.plans.notes import notes
@@ -86,3 +87,11 @@ def test_hits_of_many_texts_are_not_held_at_once(spark, monkeypatch):
     out = handed(monkeypatch, spark.createDataFrame([("",)], "text string"), lambda d: with_hits(d, Words([("ab", "x")])), texts)
     assert [b.num_rows for b in out] == [1, 3, 1]
     assert [x for b in out for x in b.column(0).to_pylist()] == texts and [len(x) for b in out for x in b.column(1).to_pylist()] == [40_000, 0, 1, 40_000, 0]
+
+
+def test_units_of_many_texts_are_not_held_at_once(spark, monkeypatch):
+    texts = ["ab " * 70_000, None, "ab", "ab " * 70_000, ""]
+    out = handed(monkeypatch, spark.createDataFrame([("",)], "text string"), lambda d: with_units(d, Vocabulary([("▁ab", 7)])), texts)
+    assert [b.num_rows for b in out] == [1, 3, 1]
+    assert [x for b in out for x in b.column(0).to_pylist()] == texts and [len(x) for b in out for x in b.column(1).to_pylist()] == [70_000, 0, 1, 70_000, 0]
+    assert out[1].column(1).to_pylist()[1] == [{"id": 7, "s": 0, "e": 2}]
