@@ -54,9 +54,12 @@ def commanded(files: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFra
     own = commands.withColumn("_file", clean_path(F.col("path"))).withColumn("_to", F.when(F.col("command") == "rename", clean_path(F.col("a"))))
     texts = files.select(F.col("path").alias("_file"), F.col("text").alias("_text"))
     goals = files.select(F.col("path").alias("_to"), F.lit(True).alias("_taken"))
-    both = own.join(texts, "_file", "left").join(goals, "_to", "left")
-    nth = F.row_number().over(Window.partitionBy("command", "_to").orderBy("_file"))
-    both = both.withColumn("_taken", F.coalesce("_taken", F.lit(False)) | (F.col("_to").isNotNull() & (nth > 1)))
+    # Goals are looked at before texts come in, and for renames alone, so that no task gets the texts of all others.
+    moves = own.filter("_to is not null").join(goals.hint("merge"), "_to", "left")
+    nth = F.row_number().over(Window.partitionBy("_to").orderBy("_file"))
+    moves = moves.withColumn("_taken", F.coalesce("_taken", F.lit(False)) | (nth > 1))
+    rest = own.filter("_to is null").withColumn("_taken", F.lit(False))
+    both = rest.unionByName(moves).join(texts.hint("merge"), "_file", "left")
     c, gone, lines = F.col("command"), F.col("_text").isNull(), F.split("_text", "\n")
     n = F.when(c == "str_replace", occurrences_of_column(F.col("_text"), F.col("a")))
     outside = (F.col("line") < 0) | (F.col("line") > F.size(lines))

@@ -95,3 +95,18 @@ def test_units_of_many_texts_are_not_held_at_once(spark, monkeypatch):
     assert [b.num_rows for b in out] == [1, 3, 1]
     assert [x for b in out for x in b.column(0).to_pylist()] == texts and [len(x) for b in out for x in b.column(1).to_pylist()] == [70_000, 0, 1, 70_000, 0]
     assert out[1].column(1).to_pylist()[1] == [{"id": 7, "s": 0, "e": 2}]
+
+
+def test_goals_of_renames_are_looked_at_without_texts(spark):
+    from sealgrove.operators import files as fl
+
+    files = spark.createDataFrame([(f"f{k}", f"t{k}") for k in range(6)], "path string, text string")
+    rows = [("delete", "f0", None), ("rename", "f1", "new"), ("rename", "f2", "new"), ("rename", "f3", "f4"), ("rename", "f9", "other"), ("rename", None, "x"), ("rename", "f5", None), ("create", "g", "text")]
+    commands = spark.createDataFrame([(*r, "", 1) for r in rows], "command string, path string, a string, b string, line int")
+    out, answers = fl.commanded(files, commands)
+    plan = answers._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any("_text" in x for x in plan if "Window" in x)
+    got = {(r["command"], r["path"]): r["answer"] for r in answers.collect()}
+    assert len(got) == 8 and got["rename", "f1"] == "Successfully renamed f1 to new" and got["rename", "f2"] == "Error: The destination new already exists"
+    assert got["rename", "f3"] == "Error: The destination f4 already exists" and got["rename", None] == "Error: Missing path"
+    assert sorted((r["path"], r["text"]) for r in out.filter("path <> 'f5' and path is not null").collect()) == [("f2", "t2"), ("f3", "t3"), ("f4", "t4"), ("g", "text"), ("new", "t1")]
