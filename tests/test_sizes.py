@@ -110,3 +110,48 @@ def test_goals_of_renames_are_looked_at_without_texts(spark):
     assert len(got) == 8 and got["rename", "f1"] == "Successfully renamed f1 to new" and got["rename", "f2"] == "Error: The destination new already exists"
     assert got["rename", "f3"] == "Error: The destination f4 already exists" and got["rename", None] == "Error: Missing path"
     assert sorted((r["path"], r["text"]) for r in out.filter("path <> 'f5' and path is not null").collect()) == [("f2", "t2"), ("f3", "t3"), ("f4", "t4"), ("g", "text"), ("new", "t1")]
+
+
+def test_lists_of_words_are_tries_that_match_the_same():
+    import re
+
+    from sealgrove.operators.recognizers import BY_NAME, factored
+
+    text = "Sean te ao EX-WIFE Ngata; her sister Ann Lee, ex-husband Bo. Dr. Jo Smith; Dr Fr Mrs Rev Reverend Sister Mary, 3 July 2001, June 4, 2002, Marchy 1 2000, seant in Ponsonby, Mt Eden, 4 May 1999"
+    for name in ("known_name", "relation_name", "title_name", "date_month_day", "date_day_month", "place_suburb"):
+        pattern = BY_NAME[name].pattern
+        assert factored(pattern) != pattern and not re.search(r"\w{4,}\|\w{4,}\|\w{4,}\|\w{4,}\|\w{4,}\|\w{4,}\|\w{4,}\|\w{4,}\|\w{4,}\|\w{4,}\|\w{4,}\|\w{4,}", factored(pattern))
+        scoped = lambda p: re.sub(r"^\(\?i\)(.*?)\(\?-i\)", r"(?i:\1)", p) if "(?-i)" in p else p
+        found = [m.span() for m in re.finditer(scoped(pattern), text, re.ASCII)]
+        assert found and found == [m.span() for m in re.finditer(scoped(factored(pattern)), text, re.ASCII)]
+    kept = r"\b(?:ab|ab-c|d|e|f|g|h|i|j)\b"
+    assert factored(kept) == kept  # the first of two words that begin at a place counts
+
+
+def test_few_and_many_spans_lose_their_overlaps_alike(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from sealgrove.functions.scan import MENTIONS
+    from sealgrove.operators import spans as sp
+
+    r = random.Random(3)
+    rows = []
+    for n in (0, 1, 2, 5, 61, 62, 63, 200):
+        rows += [(n, [(s := r.randrange(3 * n), s + r.randrange(1, 6), "x" * r.randrange(1, 4), "t", r.choice((0.5, 0.9)), r.randrange(3), k) for k in range(n)]) for _ in range(5)]
+
+    def plain(spans):
+        out = []
+        for x in sorted(spans, key=lambda x: (x[0], x[5], x[6], x[1])):
+            if not out or x[0] >= out[-1][1]:
+                out.append(x)
+            elif (x[4], len(x[2])) > (out[-1][4], len(out[-1][2])):
+                out[-1] = x
+        return out
+
+    df = spark.createDataFrame(rows, f"n int, spans {MENTIONS}").select("spans", sp.without_overlaps(F.col("spans")).alias("kept"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "shiftleft" in plan
+    for x in df.collect():
+        assert [tuple(m) for m in x["kept"]] == plain([tuple(m) for m in x["spans"]])
