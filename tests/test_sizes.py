@@ -155,3 +155,8 @@ def test_few_and_many_spans_lose_their_overlaps_alike(spark):
     assert "shiftleft" in plan
     for x in df.collect():
         assert [tuple(m) for m in x["kept"]] == plain([tuple(m) for m in x["spans"]])
+
+
+def test_notes_are_dealt_to_more_tasks_than_there_are_cores(spark, sf):
+    parts = notes(spark, sf).rdd.getNumPartitions()
+    assert parts >= 8 and parts >= 2 * spark.sparkContext.defaultParallelism
