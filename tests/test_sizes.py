@@ -160,3 +160,51 @@ def test_few_and_many_spans_lose_their_overlaps_alike(spark):
 def test_notes_are_dealt_to_more_tasks_than_there_are_cores(spark, sf):
     parts = notes(spark, sf).rdd.getNumPartitions()
     assert parts >= 8 and parts >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_plain_texts_are_searched_by_batches_and_others_natively_alike(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from sealgrove.operators import recognizers as rc
+
+    r = random.Random(5)
+    words = "Sean dr Dr. Mrs ABC1234 021-555-1234 09 5551234 +64 0800 555 123 a.b@x.nz 3/4/2001 2001-03-04 March 3, 4 2001 May Ponsonby Mt Eden sister Partner Ann Lee Middlemore Hospital 12-34 1,250.5 MRN: X123 CR-12345 High Street".split(" ")
+    odd = ["\x01", "\x03", "é", "K", " "]
+    rows = [(i, "".join(r.choice(words) + r.choice((" ", "", "\x0b", "-", "\n", "\x00")) + (r.choice(odd) if i % 3 == 0 and r.random() < 0.2 else "") for _ in range(i % 40))) for i in range(600)]
+    df = spark.createDataFrame([*rows, (600, None)], "doc_id long, text string")
+    found = lambda: {x["doc_id"]: x["mentions"] for x in rc.detect(df, (*rc.RULES, *rc.MODEL_RULES), exclude=("SEAN", " ann lee ")).select("doc_id", F.array_sort("mentions").alias("mentions")).collect()}
+    assert [x.name for x in rc.RULES if not rc._searched_whole(x)] == ["id_alnum"]
+    by_batches = found()
+    monkeypatch.setattr(rc, "common", lambda pattern: False)
+    assert by_batches == found() and sum(map(len, by_batches.values())) > 5000
+
+
+@pytest.mark.parametrize("pattern", [r"(?=a)b", r"a*", r"\ba?", r"a++", r"a+?", r"[a-z&&[b]]", r"a.b", r"^a", r"a$", r"\va", r"\1", "é", r"[^\W]", r"a{2}+"])
+def test_patterns_that_engines_read_differently_stay_native(pattern):
+    from sealgrove.operators.plain import common
+
+    assert not common(pattern)
+
+
+def test_a_batch_is_searched_in_parts(monkeypatch):
+    from sealgrove.operators import plain
+
+    monkeypatch.setattr(plain, "LONGEST", 6)
+    fields = [pa.field(n, t) for n, t in zip("s e text type confidence rec_ord pat_ord".split(), (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32()), strict=True)]
+    rules = [(r"\bto ([a-z])", 1, ("x",), "t", 0.5, 1, 2), (r"\d", 0, (), "n", 0.9, 3, 4)]
+    got = plain._found(pa.array(["", "to a1", None, "to x", "é1", "1234567", "22"]).slice(1), rules, fields).to_pylist()
+    short = [x and [(m["s"], m["e"], m["text"], m["type"], m["confidence"], m["rec_ord"], m["pat_ord"]) for m in x] for x in got]
+    assert short == [[(3, 4, "a", "t", 0.5, 1, 2), (4, 5, "1", "n", 0.9, 3, 4)], None, [], None, None, [(0, 1, "2", "n", 0.9, 3, 4), (1, 2, "2", "n", 0.9, 3, 4)]]
+
+
+def test_unknown_placeholders_are_made_distinct_behind_the_join(spark):
+    from sealgrove.operators import entities as e
+
+    docs = spark.createDataFrame([("s", 1, "[DATE_A] 1999 [PERSON_B] [PERSON_B] [ID_C_FIRST]"), ("s", 1, "[PERSON_B][DATE_Q] 2001"), (None, 2, "[ID_A]"), ("t", 3, None)], "session_id string, doc_id long, text string")
+    codes = spark.createDataFrame([("s", "[DATE_A]"), (None, "[ID_A]"), ("t", "[PERSON_B]")], "session_id string, code string")
+    out = e.unknown_placeholders(docs, codes, "text")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Aggregate") and plan.count("Aggregate") == 1
+    assert sorted(map(tuple, out.collect())) == [("s", 1, "[DATE_Q]"), ("s", 1, "[ID_C_FIRST]"), ("s", 1, "[PERSON_B]")]
