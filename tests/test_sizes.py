@@ -208,3 +208,94 @@ def test_unknown_placeholders_are_made_distinct_behind_the_join(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.startswith("Aggregate") and plan.count("Aggregate") == 1
     assert sorted(map(tuple, out.collect())) == [("s", 1, "[DATE_Q]"), ("s", 1, "[ID_C_FIRST]"), ("s", 1, "[PERSON_B]")]
+
+
+def test_overlaps_are_settled_by_batches_as_natively(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from sealgrove.operators import recognizers as rc
+    from sealgrove.operators import spans as sp
+
+    r = random.Random(11)
+    words = "Sean dr Mrs ABC1234 021-555-1234 09 5551234 0800 555 123 a.b@x.nz 3/4/2001 2001-03-04 March 3, 4 May 2001 sister Partner Ann Lee 12-34 1,250.5 é \x02".split(" ")
+    rows = [(i, "".join(r.choice(words[: -2 if i % 3 else None]) + r.choice((" ", "", "-")) for _ in range(i % 50))) for i in range(400)]
+    df = spark.createDataFrame([*rows, (400, None)], "doc_id long, text string")
+    settled = rc.settled(df, entities.RULES)
+    assert "_apart" not in settled.columns and "shiftleft" in settled._jdf.queryExecution().optimizedPlan().toString() and settled.columns == ["doc_id", "mentions"]
+    kept = {x["doc_id"]: x["mentions"] for x in settled.collect()}
+    want = {x["doc_id"]: x["m"] for x in rc.detect(df, entities.RULES).select("doc_id", sp.without_overlaps(F.col("mentions")).alias("m")).collect()}
+    assert kept == want and sum(len(x or ()) for x in kept.values()) > 2000
+    lists = (*entities.RULES, Words([("lee", "x")]))
+    assert {x["doc_id"]: x["mentions"] for x in rc.settled(df, lists).collect()} == {x["doc_id"]: x["m"] for x in rc.detect(df, lists).select("doc_id", sp.without_overlaps(F.col("mentions")).alias("m")).collect()}
+
+
+def test_runs_of_overlaps_are_settled_as_one_by_one():
+    import random
+
+    import numpy as np
+
+    from sealgrove.operators.plain import _apart
+
+    r = random.Random(4)
+    for n in [*range(1, 12), 300]:
+        spans = sorted((s := r.randrange(3 * n), s + r.randrange(1, 9), r.choice((0.5, 0.9))) for _ in range(n))
+        kept = []
+        for k, x in enumerate(spans):
+            if not kept or x[0] >= spans[kept[-1]][1]:
+                kept.append(k)
+            elif (x[2], x[1] - x[0]) > (spans[kept[-1]][2], spans[kept[-1]][1] - spans[kept[-1]][0]):
+                kept[-1] = k
+        assert np.flatnonzero(_apart(*(np.array(x) for x in zip(*spans, strict=True)))).tolist() == kept
+
+
+def test_texts_and_spans_are_spliced_in_sorted_order(spark):
+    from pyspark.errors import PythonException
+    from pyspark.sql import functions as F
+
+    from sealgrove.operators.joins import identified
+    from sealgrove.operators.splicing import spliced
+
+    texts = ["", None, "abc", "é😀x😀", "no spans", *(f"{i} äb 😀 c {'x' * (i % 7)}" for i in range(300))]
+    docs = spark.createDataFrame([("s" if i % 2 else None, i, t, {"k": i}) for i, t in enumerate(texts)], "session_id string, doc_id long, text string, more map<string,int>")
+    docs = docs.unionByName(docs.filter("doc_id % 3 = 0"))  # copies
+    rows = identified(docs, "text")
+    cut = {i: [] if t is None or t == "no spans" else [(k, k + 1 + (i + k) % 2, f"[Ü{k}]") for k in range(0, max(len(t) - 1, 0), 2)] for i, t in enumerate(texts)}
+    cut[0] = [(0, 0, "[all]")]
+    spans = spark.createDataFrame([(i, *x) for i, xs in cut.items() for x in xs], "doc_id long, s int, e int, code string").join(rows.select("doc_id", "row"), "doc_id").drop("doc_id")  # the one join of the plan
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)  # spans and copies of a document come in several batches
+    try:
+        out = spliced(rows, spans, "text", "new", "code")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Join") == 1 and "collect_" not in plan and out.columns == ["session_id", "doc_id", "text", "more", "new"]
+        got = [(x["doc_id"], x["session_id"], x["text"], x["more"]["k"], x["new"]) for x in out.collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    def plain(i, t):
+        for s, e, code in reversed(cut[i]):
+            t = t[:s] + code + t[e:]
+        return t
+
+    key = lambda x: (x[0],)
+    want = [(i, "s" if i % 2 else None, t, i, plain(i, t)) for i, t in enumerate(texts) for _ in range(2 if i % 3 == 0 else 1)]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert spliced(rows, spans, "text", "text", "code").columns == ["session_id", "doc_id", "text", "more"]
+    with pytest.raises(PythonException, match="spans overlap"):
+        spliced(rows, spans.withColumn("e", F.col("e") + 3), "text", "new", "code").collect()
+
+
+def test_keys_of_several_columns_meet_by_their_hash(spark):
+    from pyspark.sql import functions as F
+
+    from sealgrove.operators.joins import joined
+
+    a = spark.createDataFrame([("s", "k", 1), (None, "k", 2), ("s", None, 3), ("k", None, 4)], "session_id string, key string, n int")
+    b = spark.createDataFrame([("s", "k", "x"), (None, "k", "y"), ("s", None, "z")], "session_id string, key string, v string")
+    out = joined(a, b, ("session_id", "key"), large=True)
+    keys = out._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin [", 1)[1]
+    assert keys.startswith("xxhash64(session_id")
+    assert sorted((x["n"], x["v"]) for x in out.collect()) == [(1, "x"), (2, "y"), (3, "z")]
+    other = b.withColumn("key", F.lit(1).cast("int"))
+    assert joined(a.withColumn("key", F.lit(1).cast("long")), other, ("session_id", "key")).count() == 5  # hashes of integers of two sizes differ
