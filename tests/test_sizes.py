@@ -299,3 +299,8 @@ def test_keys_of_several_columns_meet_by_their_hash(spark):
     assert sorted((x["n"], x["v"]) for x in out.collect()) == [(1, "x"), (2, "y"), (3, "z")]
     other = b.withColumn("key", F.lit(1).cast("int"))
     assert joined(a.withColumn("key", F.lit(1).cast("long")), other, ("session_id", "key")).count() == 5  # hashes of integers of two sizes differ
+
+
+def test_mentions_are_dealt_by_document_once(spark, sf):
+    plan = findings.result_counts(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
