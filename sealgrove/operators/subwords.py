@@ -15,6 +15,7 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,10 +25,15 @@ from pyspark.sql.types import StructField, StructType
 UNITS = "array<struct<id:int,s:int,e:int>>"
 #: The mark of a word's begin, and the number of unknown units.
 WORD, UNKNOWN = "▁", -1
-#: Pieces that a vocabulary may have, and words that a task remembers.
+#: Pieces that a vocabulary may have, and words that a task remembers, with up to 16 units a word.
 MAX_PIECES, CACHE = 4_000_000, 200_000
 #: Units of several texts that are handed over at once; those of one text stay together.
 MOST_UNITS = 65_536
+#: Characters of a text, up to the next white space, whose words are looked up at once.
+AT_ONCE = 1 << 20
+#: Whether characters are white space; there is none behind the last of these.
+SPACE = np.array([chr(k).isspace() for k in range(0x3002)])
+_GAP = re.compile(r"\s")
 
 
 class Vocabulary:
@@ -44,10 +50,19 @@ class Vocabulary:
                     self.number.append(None)
             if self.number[node] is None:
                 self.number[node] = n
-        self.words: dict[str, list[tuple[int, int, int]]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Forgets the words seen: numbers of words, and their units in columns, those of a word from `begin` on."""
+        self.words: dict[str, int] = {}
+        self.begin, self.columns = array("q", [0]), [array("i") for _ in range(3)]
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"words": {}}
+        return {"child": self.child, "number": self.number}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.forget()
 
     def longest(self, word: str, at: int, node: int = 0) -> tuple[int, int | None]:
         """Where the longest piece from a place on ends, and its number."""
@@ -64,29 +79,49 @@ class Vocabulary:
         end, found = self.longest(piece, 0)
         return found if end == len(piece) else None
 
-    def units(self, word: str) -> list[tuple[int, int, int]]:
+    def units(self, word: str) -> Iterator[tuple[int, int, int]]:
         """(number, start, end) of a word's units."""
+        at, mark = 0, self.child.get((0, WORD))
+        while at < len(word):
+            end, n = self.longest(word, at, mark) if at == 0 and mark is not None else (at, None) if at == 0 else self.longest(word, at)
+            if n is None:
+                end, n = at + 1, self._alone(word[at])
+            yield UNKNOWN if n is None else n, at, end
+            at = end
+
+    def _number(self, word: str) -> int:
         known = self.words.get(word)
         if known is None:
-            known, at, mark = [], 0, self.child.get((0, WORD))
-            while at < len(word):
-                end, n = self.longest(word, at, mark) if at == 0 and mark is not None else (at, None) if at == 0 else self.longest(word, at)
-                if n is None:
-                    end, n = at + 1, self._alone(word[at])
-                known.append((UNKNOWN if n is None else n, at, end))
-                at = end
-            if len(self.words) >= CACHE:
-                self.words = {}
+            for unit in self.units(word):
+                for c, x in zip(self.columns, unit, strict=True):
+                    c.append(x)
+            known = len(self.begin) - 1
+            self.begin.append(len(self.columns[0]))
             if len(word) <= 40:
                 self.words[word] = known
         return known
 
-    def of_text(self, text: str | None) -> list[tuple[int, int, int]]:
-        out = []
-        for m in re.finditer(r"\S+", text or ""):
-            at = m.start()
-            out += [(n, at + s, at + e) for n, s, e in self.units(m.group())]
-        return out
+    def of_text(self, text: str | None) -> np.ndarray:
+        """Numbers, starts and ends of a text's units, as rows."""
+        parts, at = [np.zeros((3, 0), np.int32)], 0
+        while text and at < len(text):
+            gap = _GAP.search(text, at + AT_ONCE)
+            own = text[at : gap.start() if gap else len(text)]
+            known = list(map(self.words.get, words := own.split()))
+            if None in known:
+                known = [self._number(w) if n is None else n for w, n in zip(words, known, strict=True)]
+            space = SPACE[np.minimum(np.frombuffer(own.encode("utf-32-le"), np.uint32), len(SPACE) - 1)]
+            start = np.flatnonzero(~space & np.concatenate(([True], space[:-1]))) + at
+            known, begin = np.array(known, np.int64), np.frombuffer(self.begin, np.int64)
+            count = begin[known + 1] - begin[known]
+            which = np.repeat(begin[known] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            part = np.stack([np.frombuffer(c, np.int32)[which] if len(which) else np.zeros(0, np.int32) for c in self.columns])
+            part[1:] += np.repeat(start, count).astype(np.int32)
+            parts.append(part)
+            at += len(own)
+            if len(self.begin) > CACHE or len(self.columns[0]) > 16 * CACHE:
+                self.forget()
+        return np.concatenate(parts, axis=1)
 
 
 def vocabulary(table: DataFrame) -> Vocabulary:
@@ -107,20 +142,19 @@ def with_units(df: DataFrame, words: Vocabulary, text: str = "text", units: str
     places, at = [df.columns.index(c) for c in keep], df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def handed(batch: pa.RecordBatch, offsets: array, columns: list[array]) -> pa.RecordBatch:
-            made = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], fields=fields)
+        def handed(batch: pa.RecordBatch, found: list[np.ndarray]) -> pa.RecordBatch:
+            made = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(np.concatenate(found, axis=1), fields, strict=True)], fields=fields)
+            offsets = np.cumsum([0, *(x.shape[1] for x in found)])
             return pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), made)], names=schema.names)
 
         for batch in batches:
-            first, offsets, columns = 0, array("i", [0]), [array("i") for _ in fields]
+            first, found, n = 0, [], 0
             for row in range(batch.num_rows):
-                for unit in shared.value.of_text(batch.column(at)[row].as_py()):
-                    for c, x in zip(columns, unit, strict=True):
-                        c.append(x)
-                offsets.append(len(columns[0]))
-                if len(columns[0]) >= MOST_UNITS or row + 1 == batch.num_rows:
-                    yield handed(batch.slice(first, row + 1 - first), offsets, columns)
-                    first, offsets, columns = row + 1, array("i", [0]), [array("i") for _ in fields]
+                found.append(shared.value.of_text(batch.column(at)[row].as_py()))
+                n += found[-1].shape[1]
+                if n >= MOST_UNITS or row + 1 == batch.num_rows:
+                    yield handed(batch.slice(first, row + 1 - first), found)
+                    first, found, n = row + 1, [], 0
 
     return df.mapInArrow(run, schema)
 

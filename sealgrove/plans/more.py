@@ -20,9 +20,10 @@ def subword_units(spark, sf_dir):
     pieces = words.select(F.explode(parts).alias("piece")).distinct().withColumn("id", F.pmod(F.xxhash64("piece"), F.lit(1_000_000)).cast("int"))
     docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = sw.with_units(docs, sw.vocabulary(pieces))
-    out = found.select("doc_id", "units", F.explode(sw.windows(F.col("units"), shared=16)).alias("w"))
+    found = found.select("doc_id", "units", F.size("units").alias("n_units"))  # before the windows, which would each carry all units
+    out = found.select("doc_id", "n_units", F.explode(sw.windows(F.col("units"), shared=16)).alias("w"))
     ids, mask = sw.model_input(F.col("w.units"), 0, 2, 1)
-    return out.select("doc_id", F.size("units").alias("n_units"), F.col("w.window").alias("window"), F.get("w.units", F.lit(0))["s"].alias("s"), F.element_at("w.units", -1)["e"].alias("e"), F.aggregate(mask, F.lit(0), lambda a, x: a + x).alias("n"), F.xxhash64(ids).alias("ids"))
+    return out.select("doc_id", "n_units", F.col("w.window").alias("window"), F.get("w.units", F.lit(0))["s"].alias("s"), F.try_element_at("w.units", F.lit(-1))["e"].alias("e"), F.aggregate(mask, F.lit(0), lambda a, x: a + x).alias("n"), F.xxhash64(ids).alias("ids"))
 
 
 _KIND = "case when turn % 3 = 1 then 'call' when turn % 3 = 2 then 'result' else 'text' end"

@@ -48,6 +48,27 @@ def test_units_against_all_lengths(spark):
         assert [tuple(u) for u in r["units"]] == units_of(pieces, r["text"])
 
 
+def test_words_are_forgotten_and_long_texts_are_cut_at_white_space(monkeypatch):
+    monkeypatch.setattr(sw, "CACHE", 3)
+    monkeypatch.setattr(sw, "AT_ONCE", 7)
+    pieces = {"▁ab": 1, "c": 2, "▁": 3}
+    words = sw.Vocabulary(pieces.items())
+    for text in ("ab abc\u3000\x1fab " * 9, "c" * 50 + " ab", "\u2028" * 20, "d😀 ab\x85ab" * 5):
+        assert [tuple(u) for u in words.of_text(text).T.tolist()] == units_of(pieces, text)
+        assert len(words.begin) < 12
+
+
+def test_empty_texts_have_one_empty_window(spark, tmp_path):
+    from sealgrove.plans.more import subword_units
+
+    spark.createDataFrame([(1, ""), (2, None), (3, " \n"), (4, "Ab")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "ab")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = subword_units(spark, str(tmp_path))
+    assert sorted(tuple(r)[:6] for r in out.collect()) == [(1, 0, 0, None, None, 2), (2, 0, 0, None, None, 2), (3, 0, 0, None, None, 2), (4, 2, 0, 0, 2, 4)]
+    top = out._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+    assert " units#" not in top and "(units#" not in top  # windows don't each carry all units of their text
+
+
 @pytest.mark.parametrize("n", [0, 1, 509, 510, 511, 1004, 1005, 2000])
 def test_windows_lose_nothing(spark, n):
     df = spark.range(1).select(F.expr(f"transform(sequence(0, {n}), i -> named_struct('id', cast(i as int), 's', cast(i as int), 'e', cast(i + 1 as int)))").alias("units")).withColumn("units", F.slice("units", 1, n) if n else F.slice("units", 1, 0))
