@@ -30,8 +30,10 @@ from sealgrove.sources.tables import read_table, written
 
 #: Rows of the sample that codebooks are fitted on, the only ones that reach the driver; dimensions of a code; centroids; rounds of fitting; runs of dimensions with a norm.
 SAMPLE, WIDTH, CENTROIDS, ROUNDS, GROUPS = 4096, 2, 256, 6, 8
-#: Rows of a stored block, and how many a task holds at most of each side, in round numbers; rows that are scored at once.
-BLOCK, ANCHOR_ROWS, CANDIDATE_ROWS, TILE = 8192, 16_384, 131_072, (256, 4096)
+#: Rows of a stored block, of which a file's writer and reader hold a hundred at once; rows that are worth a task, and how many one holds of each side, in round numbers; rows that are scored at once.
+BLOCK, LEAST, ANCHOR_ROWS, CANDIDATE_ROWS, TILE = 1024, 8192, 16_384, 131_072, (256, 4096)
+#: Scored pairs that a task holds before it keeps the first ones of each anchor.
+MOST_PAIRS = 1 << 20
 PACKED = "block long, ids binary, labels binary, vectors binary, kind string, codes binary, norms binary"
 
 
@@ -190,21 +192,40 @@ def _first(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.nda
     return order[nth < k]
 
 
+class Firsts:
+    """The k first pairs (number, id, score) of each number among all that are added: the others are dropped whenever some MOST_PAIRS are held."""
+
+    def __init__(self, k: int):
+        self.k, self.held, self.n = k, [(np.zeros(0, np.int64),) * 3], 0
+
+    def add(self, number: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        self.held.append((number, ids, scores))
+        self.n += len(ids)
+        if self.n > MOST_PAIRS:
+            self.first()
+            self.n = 0
+
+    def first(self) -> tuple[np.ndarray, ...]:
+        number, ids, scores = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        kept = _first(number, ids, scores, self.k)
+        self.held = [(number[kept], ids[kept], scores[kept])]
+        return self.held[0]
+
+
 def _positives(book: Codebook, k: int):
     def run(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(cs):
             return pd.DataFrame({"qid": [], "id": [], "score": []}).astype(np.int64)
         b = Bounds(book, _unpacked(qs, book.dim), _unpacked(cs, book.dim))
         best = np.full((k, len(b.qid)), -np.inf)
-        found = []
+        found = Firsts(k)
         for q, c, lower, upper in b.tiles():
             same = (b.clabel[c][:, None] == b.qlabel[q][None]) & (b.cid[c][:, None] != b.qid[q][None])
             best[:, q] = _floor(best[:, q], np.where(same, lower, -np.inf), k)
             rows, at = np.nonzero(same & (upper >= best[:, q].min(axis=0)))
-            found.append((at + q.start, b.cid[c][rows], b.exact(q, c, rows, at)))
-        at, ids, scores = (np.concatenate(x) for x in zip(*found, strict=True))
-        first = _first(at, ids, scores, k)
-        return pd.DataFrame({"qid": b.qid[at[first]], "id": ids[first], "score": scores[first]})
+            found.add(at + q.start, b.cid[c][rows], b.exact(q, c, rows, at))
+        at, ids, scores = found.first()
+        return pd.DataFrame({"qid": b.qid[at], "id": ids, "score": scores})
 
     return run
 
@@ -216,7 +237,7 @@ def _negatives(book: Codebook, k: int, slots: int):
         b = Bounds(book, _unpacked(qs, book.dim), _unpacked(cs, book.dim))
         lo, hi = (np.concatenate([np.frombuffer(x, np.int64).reshape(-1, slots) for x in qs[name]]) for name in ("lo", "hi"))
         best = np.full((slots, k, len(b.qid)), -np.inf)
-        found = []
+        found = Firsts(k)
         for q, c, lower, upper in b.tiles():
             other = b.clabel[c][:, None] != b.qlabel[q][None]
             other &= b.cid[c][:, None] != b.qid[q][None]
@@ -233,10 +254,9 @@ def _negatives(book: Codebook, k: int, slots: int):
             at, ids = at + q.start, b.cid[c][rows]
             for s in range(slots):
                 within = (scores >= lo[at, s]) & (scores <= hi[at, s])
-                found.append((at[within] * slots + s, ids[within], scores[within]))
-        at, ids, scores = (np.concatenate(x) for x in zip(*found, strict=True))
-        first = _first(at, ids, scores, k)
-        return pd.DataFrame({"qid": b.qid[at[first] // slots], "slot": at[first] % slots, "id": ids[first], "score": scores[first]})
+                found.add(at[within] * slots + s, ids[within], scores[within])
+        at, ids, scores = found.first()
+        return pd.DataFrame({"qid": b.qid[at // slots], "slot": at % slots, "id": ids, "score": scores})
 
     return run
 
@@ -270,7 +290,7 @@ def hard_negatives(rows: DataFrame, anchors: DataFrame, n_positives: int = 5, n_
     anchors = written(anchors, "negatives-anchors")
     n_anchors, n_cands = anchors.count(), cands.agg(F.sum(F.octet_length("ids") / 8)).first()[0] or 0
     tasks = spark.sparkContext.defaultParallelism
-    n_a, n_c = -(-n_anchors // ANCHOR_ROWS) or 1, max(-(-int(n_cands) // CANDIDATE_ROWS), min(2 * tasks, -(-int(n_cands) // BLOCK))) or 1
+    n_a, n_c = -(-n_anchors // ANCHOR_ROWS) or 1, max(-(-int(n_cands) // CANDIDATE_ROWS), min(2 * tasks, -(-int(n_cands) // LEAST))) or 1
     asked = packed(anchors.repartition(n_a, "id"), book)
     positives = _grid(asked, n_a, cands, n_c).applyInPandas(_positives(book, n_positives), "qid long, id long, score long")
     positives = written(_ranked(positives, ("qid",), n_positives), "negatives-positives")

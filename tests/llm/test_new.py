@@ -59,6 +59,19 @@ def test_bounds_hold_for_every_row():
     assert all((upper - lower).mean() < exact.std() for _, _, lower, upper in close.tiles())
 
 
+def test_scored_pairs_of_a_task_are_not_all_held(monkeypatch):
+    monkeypatch.setattr(negatives, "MOST_PAIRS", 100)
+    rng, firsts, every = np.random.default_rng(3), negatives.Firsts(2), []
+    for _ in range(200):
+        part = rng.integers(0, 7, 50), rng.integers(0, 1000, 50), rng.integers(0, 30, 50)
+        firsts.add(*part)
+        every += zip(*(x.tolist() for x in part), strict=True)
+        assert sum(len(x[0]) for x in firsts.held) <= 164
+    want = [x for q in range(7) for x in sorted((x for x in every if x[0] == q), key=lambda x: (-x[2], x[1]))[:2]]
+    assert list(zip(*(x.tolist() for x in firsts.first()), strict=True)) == want
+    assert negatives.BLOCK * 64 * 8 < 1 << 20  # a writer of Parquet holds a hundred rows before it looks at their size
+
+
 def test_negatives_of_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
