@@ -213,3 +213,15 @@ def test_shards_and_sketch_admit_all_frequent_phrases(monkeypatch):
             found[lang, p.strip()] += n
     plain = Counter((lang, " ".join(t.split()[i : i + k])) for lang, t in zip(batch.column(0).to_pylist(), texts, strict=True) for k in (1, 2, 3) for i in range(len(t.split()) - k + 1))
     assert {k: n for k, n in found.items() if n >= 10} == {k: n for k, n in plain.items() if n >= 10}
+
+
+def test_automata_of_a_shard_with_many_phrases_are_several(monkeypatch):
+    rng = np.random.default_rng(5)
+    shard = phrases.Shard([phrases.normal(" ".join(f"w{x}" for x in rng.integers(0, 9, 40)) + ". A b") for _ in range(30)])
+    admitted = phrases._admitted(np.full(phrases.CELLS // 2, 0xFF, np.uint8), shard, 3, "en", 10)
+    rows = lambda: [sorted(zip(*phrases._counted(shard, part), strict=True)) for part in phrases._dealt(shard, admitted)]
+    whole = rows()
+    monkeypatch.setattr(phrases, "PLACES", 200)
+    parts = rows()
+    assert len(whole) == 1 and len(parts) > 8 and max(map(len, parts)) < len(whole[0]) / 4
+    assert sorted(x for p in parts for x in p) == sorted(x for p in whole for x in p)
