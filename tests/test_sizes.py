@@ -5,6 +5,7 @@ import datetime
 import duckdb
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sealgrove.operators.dictionary import Words, with_hits
 from sealgrove.operators.recognizers import mentions
@@ -62,6 +63,31 @@ def test_terms_of_documents_are_not_broadcast(spark, sf):
     assert plan.count("BroadcastExchange") <= 1  # the last number of each session
 
 
+def test_words_of_documents_make_no_rows_to_find_terms(spark, sf):
+    from sealgrove.operators import findings as fi
+    from sealgrove.operators.joins import identified
+
+    docs, known = identified(notes(spark, sf), "text"), entities._found(spark, sf)
+    plan = fi.found_mentions(docs, known, findings._finds(docs))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert len([x for x in plan if "Generate explode" in x and "_terms" not in x and "mentions" not in x]) == 0
+
+
+def test_terms_are_found_in_their_texts_as_by_rows(spark):
+    from sealgrove.operators import findings as fi
+    from sealgrove.operators.review import occurrences_of_terms
+
+    texts = ["Ann saw ann's Anns, anns and Anne; ANN Cole's", "Cole-Smith and cole smith, Coles Smith", "mass Mass masss", None, "", "Éva's éva İstanbul ann"]
+    terms = ["Ann", "Ann Cole", "cole-smith", "Cole Smith", "Coles", "mass", "Mas", "éva", "ann", "!x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("session_id", F.col("doc_id").cast("string"))
+    rows = docs.select("session_id", F.explode(F.array(*map(F.lit, terms))).alias("term"))
+    want = sorted((r["doc_id"], r["term"], r["s"], r["e"]) for r in occurrences_of_terms(docs, rows).collect())
+    first = F.lower(F.regexp_extract("term", rf"^{fi.WORD}+", 0))
+    listed = rows.select("session_id", F.col("term").alias("key"), F.col("term").alias("text"), F.lit("date").alias("type"), F.lit(1.0).alias("confidence"), F.lit(0).alias("pat_ord"), first.alias("first")).filter("first <> ''")
+    listed = listed.groupBy("session_id").agg(F.collect_list(F.struct("key", "text", "type", "confidence", "pat_ord", "first")).alias("t"))
+    got = docs.join(listed, "session_id").select("doc_id", F.explode(fi.terms_in(F.col("text"), F.col("t"))).alias("x")).collect()
+    assert want and sorted((r["doc_id"], r["x"]["key"], r["x"]["s"], r["x"]["e"]) for r in got) == want
+
+
 def test_versions_are_counted_along_and_not_paired_with_all_steps(spark):
     from sealgrove.operators import versions as ve
 
