@@ -170,3 +170,16 @@ def test_mapping_that_is_no_json(spark):
         parts.mapping_of_json(bad).collect()
     some = spark.createDataFrame([("s", '[{"original": " Jo ", "replacement": "[PERSON_A]"}, {"original": "x"}, {"original": "JO", "replacement": "[PERSON_B]"}]')], "session_id string, json string")
     assert [tuple(r) for r in parts.mapping_of_json(some).collect()] == [("s", "jo", "JO", "[PERSON_B]")]
+
+
+def test_mentions_of_a_stream_are_places_with_the_same_texts_and_keys(spark):
+    from sealgrove.operators.spans import key_of
+    from sealgrove.streaming.redaction import TYPES, unpacked
+
+    texts = ["\x1f Ann Cole \x0b", "\t\n\x0c\r X1 \x00", "Éva İx \u3000", "ΟΔΟΣ and Σ", None]
+    rows = [(i, t, 0, len(t or "")) for i, t in enumerate(texts)]
+    for r in spark.createDataFrame(rows, "i int, text string, s int, e int").select("*", key_of(F.col("text")).alias("key")).collect():
+        plain = r["text"] is not None and r["text"].isascii()
+        got = unpacked(r["text"], [r["s"], r["e"], 2], None if plain else [r["key"]])
+        want = [{"s": 0, "e": r["e"], "text": r["text"], "type": TYPES[1], "key": r["key"]}]
+        assert got == ([] if r["text"] is None else want)
