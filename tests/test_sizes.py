@@ -88,6 +88,11 @@ def test_terms_are_found_in_their_texts_as_by_rows(spark):
     assert want and sorted((r["doc_id"], r["x"]["key"], r["x"]["s"], r["x"]["e"]) for r in got) == want
 
 
+def test_marks_move_no_text_but_the_restored_one(spark, sf):
+    plan = findings.restored_marks(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_right_row" not in plan and "AS c3#" in plan and not [x for x in plan.splitlines() if " text#" in x and " AS c2#" in x]
+
+
 def test_versions_are_counted_along_and_not_paired_with_all_steps(spark):
     from sealgrove.operators import versions as ve
 
