@@ -93,6 +93,16 @@ def test_marks_move_no_text_but_the_restored_one(spark, sf):
     assert "_right_row" not in plan and "AS c3#" in plan and not [x for x in plan.splitlines() if " text#" in x and " AS c2#" in x]
 
 
+def test_documents_are_spliced_alike_with_and_without_counts(spark):
+    from sealgrove.operators import entities as e
+
+    rows = [("s", 1, 1, "NHI ABC1234 and ABC1234, é ZZZ0016"), ("s", 1, 1, "NHI ABC1234 and ABC1234, é ZZZ0016"), (None, 2, 2, None), (None, None, 3, ""), ("s", None, 4, "none")]
+    docs = spark.createDataFrame(rows, "session_id string, doc_id long, doc_seq long, text string")
+    (a, _), (b, _) = (e.redact_documents(docs, entities.RULES, counted=x) for x in (True, False))
+    assert a.drop("n_entities").columns == b.columns and "collect_set" not in b._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(repr, a.drop("n_entities").collect())) == sorted(map(repr, b.collect()))
+
+
 def test_versions_are_counted_along_and_not_paired_with_all_steps(spark):
     from sealgrove.operators import versions as ve
 
